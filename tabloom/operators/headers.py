@@ -129,15 +129,18 @@ def looks_like_data(name: Column) -> Column:
     return name.rlike(r"\d+\.\d+.*\d+\.\d+")
 
 
-def target_preflight(df: DataFrame, target: str) -> DataFrame:
-    """One row of checks before training."""
-    one = df.sparkSession.range(1)
-    exists = target in df.columns
-    return one.select(
-        F.lit(target).alias("target"), F.lit(exists).alias("exists"),
-        looks_like_data(F.lit(target)).alias("name_is_data"),
-        F.lit(len([c for c in df.columns if c != target]) >= 1).alias("has_features"),
-    ).withColumn("ok", F.col("exists") & ~F.col("name_is_data") & F.col("has_features"))
+def target_preflight(columns: DataFrame, targets: DataFrame, table: str, name: str = "name") -> DataFrame:
+    """Checks before training, for many tables at once.
+
+    columns: (table, name) one row per column; targets: (table, target). The target
+    must exist, must not look like a data row, and must leave at least one feature.
+    """
+    wanted = targets.select(table, "target").distinct()
+    seen = columns.join(wanted, table).groupBy(table, "target").agg(
+        F.bool_or(F.col(name) == F.col("target")).alias("exists"),
+        (F.count_if(F.col(name) != F.col("target")) >= 1).alias("has_features"))
+    out = seen.withColumn("name_is_data", looks_like_data(F.col("target")))
+    return out.withColumn("ok", F.col("exists") & ~F.col("name_is_data") & F.col("has_features"))
 
 
 def close_column_match(columns: DataFrame, suggestions: DataFrame) -> DataFrame:
