@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.cells import is_numeric, numeric_columns, pandas_dtype, parse_timestamp, string_columns
 from tabloom.operators.profile import SERIES_NAME_PARTS, TIME_NAME_PARTS, distinct_counts, wide_stats
-from tabloom.session import values_frame
+from tabloom.session import beside, values_frame
 
 # Words in a goal that ask for a forecast.
 FORECAST_TERMS = ["forecast", "future", "trend", "seasonal", "time series", "timeseries", "next"]
@@ -97,7 +97,7 @@ def target_signals(df: DataFrame, target: str, order: list[str]) -> DataFrame:
     else:
         dated = isinstance(field.dataType, (T.TimestampType, T.DateType))
         rate = df.sparkSession.range(1).select(F.lit(1.0 if dated else 0.0).alias("date_rate"))
-    return facts.crossJoin(F.broadcast(uniques)).crossJoin(F.broadcast(rate)).select(  # one row each
+    return beside(beside(facts, uniques), rate).select(
         "*", F.lit(numeric).alias("numeric"), F.lit(text).alias("text"),
         F.lit(isinstance(field.dataType, T.BooleanType)).alias("boolean"),
         F.lit(target.lower()).alias("name"))
@@ -145,7 +145,7 @@ def detect_problem_type(df: DataFrame, target: str | None, order: list[str], goa
     signals = target_signals(df, target, order)
     if asks:
         kind = detect_data_type(df, order)
-        signals = signals.crossJoin(F.broadcast(kind)).withColumn("f", F.col("data_type") == "timeseries")
+        signals = beside(signals, kind).withColumn("f", F.col("data_type") == "timeseries")
     else:
         signals = signals.withColumn("f", F.lit(False))
     verdict = problem_rules(F.col("f"))

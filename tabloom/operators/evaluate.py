@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.ordering import MAX_ROWS, running_totals
+from tabloom.session import beside
 
 
 def confusion_matrix(df: DataFrame, group: list[str] = [], y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -60,7 +61,7 @@ def roc_curve(df: DataFrame, group: list[str] = [], y: str = "y", score: str = "
     totals = _score_totals(df, group, y, score, max_rows)
     sizes = df.groupBy(*group).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("__P"),
                                    F.sum((F.col(y) != 1).cast("bigint")).alias("__N"))
-    joined = totals.join(F.broadcast(sizes), group) if group else totals.crossJoin(F.broadcast(sizes))  # one row per model
+    joined = totals.join(F.broadcast(sizes), group) if group else beside(totals, sizes)  # one row per model
     return joined.select(*group, F.col("score").alias("threshold"),
                          (F.col("fp") / F.col("__N")).alias("fpr"), (F.col("tp") / F.col("__P")).alias("tpr"))
 
@@ -86,7 +87,7 @@ def forecast_metrics(df: DataFrame, group: list[str] = [], y: str = "y", yhat: s
 def residuals(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Residual per row and, on every row, the range of the diagonal."""
     ends = df.agg(F.least(F.min(y), F.min(yhat)).alias("line_from"), F.greatest(F.max(y), F.max(yhat)).alias("line_to"))
-    return df.withColumn("residual", F.col(y) - F.col(yhat)).crossJoin(F.broadcast(ends))  # one row
+    return beside(df.withColumn("residual", F.col(y) - F.col(yhat)), ends)
 
 
 def top_importances(df: DataFrame, group: list[str], k: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.cells import is_numeric, numeric_columns
 from tabloom.operators.profile import correlation_matrix, distinct_counts
+from tabloom.session import beside
 
 # Line templates of the data insight list.
 EXAMPLES_LINE = "Your data contains %s examples to learn from."
@@ -33,12 +34,12 @@ def dataset_insights(df: DataFrame, target: str) -> DataFrame:
         F.lit(FACTORS_LINE % (len(df.columns) - 1)),
         F.when(few, F.format_string(CATEGORIES_LINE, "unique_count")).otherwise(F.lit(NUMERIC_LINE % target)),
     ]
-    base = size.crossJoin(F.broadcast(uniques))  # one row each
+    base = beside(size, uniques)
     if number and len(numeric_columns(df)) > 1:
         others = correlation_matrix(df).where((F.col("b") == target) & (F.col("a") != target))
         top = others.where(F.col("corr").isNotNull()).orderBy(F.desc(F.abs("corr")), "a").limit(3)
         names = top.agg(F.sort_array(F.collect_list(F.struct((-F.abs("corr")).alias("k"), "a"))).alias("t"))
-        base = base.crossJoin(F.broadcast(names))
+        base = beside(base, names)
         lines.append(F.when(F.size("t") > 0, F.format_string(
             KEY_FACTORS_LINE, F.array_join(F.transform("t", lambda x: x["a"]), ", "))))
     return base.select(F.posexplode(F.array(*lines)).alias("line_no", "line")).where(F.col("line").isNotNull())

@@ -23,7 +23,7 @@ from tabloom.functions.cells import is_numeric, nan_to_null
 from tabloom.functions.ordering import row_positions
 from tabloom.functions.quantiles import column_quantiles
 from tabloom.operators.profile import distinct_counts, wide_stats
-from tabloom.session import maybe_broadcast
+from tabloom.session import beside, maybe_broadcast
 
 HIGH_MISSING = 0.6
 MAX_CLASS_NUMBERS = 10
@@ -46,7 +46,7 @@ def identify_columns(df: DataFrame, max_numbers: int = MAX_CLASS_NUMBERS) -> Dat
     # Number types considered; other types are categorical.
     numeric = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("bigint", "int", "double", "float")]
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    uniques = distinct_counts(df, df.columns).crossJoin(F.broadcast(rows))  # rows is one row
+    uniques = beside(distinct_counts(df, df.columns), rows)
     few = (F.col("unique_count") <= max_numbers) & (F.col("unique_count") < F.col("rows") * 0.05)
     return uniques.select(
         "column", "unique_count",

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.cells import is_numeric, numeric_columns, pandas_dtype, string_columns
 from tabloom.functions.quantiles import DIRECT_ROWS, column_quantiles
+from tabloom.session import beside
 
 COLUMNS_PER_AGG = 40
 
@@ -200,7 +201,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
     per = wide_stats(df).select("column", "rows", "missing_count")
     totals = per.agg(F.sum("missing_count").alias("total_missing"),
                      F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"))
-    return per.crossJoin(F.broadcast(totals)).select(  # totals is one row
+    return beside(per, totals).select(
         "column", "missing_count", (F.col("missing_count") / F.col("rows") * 100).alias("missing_pct"),
         "total_missing", "columns_with_missing")
 
@@ -245,7 +246,7 @@ def target_correlations(df: DataFrame, target: str, k: int = 5, weak: float = 0.
 def quality_score(df: DataFrame) -> DataFrame:
     """100 minus missing share (up to 30) minus duplicate share (up to 20)."""
     missing = wide_stats(df).agg(F.sum("missing_count").alias("missing"))
-    both = duplicate_rows(df).crossJoin(F.broadcast(missing))  # one row each
+    both = beside(duplicate_rows(df), missing)
     missing_pct = F.col("missing") * 100.0 / (F.col("rows") * len(df.columns))
     score = 100.0 - F.least(missing_pct, F.lit(30.0)) - F.least(F.col("duplicate_pct"), F.lit(20.0))
     return both.select(missing_pct.alias("missing_pct"), "duplicate_pct",
@@ -262,7 +263,7 @@ def target_analysis(df: DataFrame, target: str, k: int = 10) -> DataFrame:
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
     uniques = distinct_counts(df, [target]).select("unique_count")
     top = top_values(df, [target], k).select("value", "n", "rank")
-    return top.crossJoin(F.broadcast(summary)).crossJoin(F.broadcast(uniques))  # one row each
+    return beside(beside(top, summary), uniques)
 
 
 def class_counts(df: DataFrame, label: str, name: str, samples: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.cells import hash_bucket100, normal, row_hash, uniform
 from tabloom.functions.ordering import MAX_ROWS, hash_ranks, row_positions
-from tabloom.session import maybe_broadcast
+from tabloom.session import beside, maybe_broadcast
 
 TEST_PERCENT = 20
 FOLDS = 5
@@ -89,7 +89,7 @@ def extend_from_seed(
         e for c in numeric for e in (F.avg(c).alias(f"__m_{c}"), F.greatest(F.stddev_pop(c), F.lit(0.1)).alias(f"__s_{c}"),
                                      F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))])
     born = df.select(F.col(key).alias("__src")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    born = born.crossJoin(F.broadcast(moments))  # one row
+    born = beside(born, moments)
     new = born.withColumn(key, F.col("__top") + 1 + F.col("__src") * copies + F.col("__copy"))
     for i, c in enumerate(numeric):
         drawn = F.col(f"__m_{c}") + F.col(f"__s_{c}") * normal("__src", "__copy", seed=seed + 13 * i)
@@ -105,6 +105,6 @@ def _draw_category(new: DataFrame, df: DataFrame, column: str, key: str, seed: i
     known = df.where(F.col(column).isNotNull()).select(key, column)
     placed = row_positions(known, [], [key], "__pos").select("__pos", column)
     total = known.agg(F.count("*").alias("__total"))
-    drawn = new.crossJoin(F.broadcast(total)).withColumn(  # one row
+    drawn = beside(new, total).withColumn(
         "__u", F.floor(uniform("__src", "__copy", seed=seed) * F.col("__total")))
     return drawn.join(maybe_broadcast(placed), F.col("__u") == F.col("__pos"), "left").drop("__u", "__pos", "__total")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.cells import is_numeric, nan_to_null
 from tabloom.operators.profile import distinct_counts, top_values, wide_stats
+from tabloom.session import beside
 
 PREVIEW_ROWS = 500
 PAGE_ROWS = 50
@@ -17,7 +18,7 @@ def preview(df: DataFrame, order: list[str], rows: int = PREVIEW_ROWS) -> DataFr
     """The first rows in key order beside the table size."""
     size = df.agg(F.count(F.lit(1)).alias("total_rows"))
     head = nan_to_null(df).orderBy(*order).limit(rows)
-    return head.crossJoin(F.broadcast(size)).withColumns({  # size is one row
+    return beside(head, size).withColumns({
         "total_columns": F.lit(len(df.columns)), "truncated": F.col("total_rows") > rows})
 
 
@@ -54,7 +55,7 @@ def paginate(df: DataFrame, order: list[Column | str], page: int, size: int = PA
     """Page `page` (from 1) beside the row and page totals."""
     totals = df.agg(F.count(F.lit(1)).alias("total"))
     part = df.orderBy(*order).offset(size * (page - 1)).limit(size)
-    return part.crossJoin(F.broadcast(totals)).withColumns({  # totals is one row
+    return beside(part, totals).withColumns({
         "page": F.lit(page), "pages": F.greatest(F.ceil(F.col("total") / size), F.lit(1))})
 
 
@@ -91,4 +92,4 @@ def dashboard_summary(datasets: DataFrame, models: DataFrame) -> DataFrame:
     types = models.where(F.col("problem_type").isNotNull()).groupBy("problem_type").agg(F.lit(1).alias("one"))
     t = types.agg(F.array_join(F.sort_array(F.collect_list("problem_type")), ", ").alias("types"))
     m = models.agg(F.count(F.lit(1)).alias("trained_models"), F.max(F.coalesce("best_score", F.lit(0.0))).alias("best_score"))
-    return d.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(t))  # one row each
+    return beside(beside(d, m), t)

@@ -81,3 +81,8 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def values_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed lookup table; one partition, so joining it costs one task."""
     return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate, which is one row by construction, to every row."""
+    return df.join(F.broadcast(totals))
