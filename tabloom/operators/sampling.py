@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.cells import hash_bucket100, normal, row_hash, uniform
 from tabloom.functions.ordering import MAX_ROWS, hash_ranks, row_positions
+from tabloom.operators.neighbors import knn_join
 from tabloom.session import beside, maybe_broadcast
 
 TEST_PERCENT = 20
@@ -108,3 +109,37 @@ def _draw_category(new: DataFrame, df: DataFrame, column: str, key: str, seed: i
     drawn = beside(new, total).withColumn(
         "__u", F.floor(uniform("__src", "__copy", seed=seed) * F.col("__total")))
     return drawn.join(maybe_broadcast(placed), F.col("__u") == F.col("__pos"), "left").drop("__u", "__pos", "__total")
+
+
+def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """All rows and made-up rows that bring every class to the size of the largest.
+
+    A new row lies between a row of its class and one of that row's k nearest class
+    neighbours. Every row of a class gives its share of the new rows, so the work is
+    spread over the class; neighbours come from the exact blocked join.
+    """
+    sizes = df.groupBy(label).agg(F.count("*").alias("n")).collect()  # one row per class
+    top = max(r["n"] for r in sizes)
+    out = df.select(F.col(key).alias("source"), label, *features, F.lit(0).cast("bigint").alias("copy"))
+    for r in sizes:
+        need, n = top - r["n"], r["n"]
+        if need == 0 or n < 2:
+            continue
+        part = df.where(F.col(label) == r[label])
+        points = part.select(F.col(key).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
+        near = knn_join(points, points, min(k, n - 1), skip_same=True)
+        ranked = hash_ranks(points.withColumn("__h", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))))), [], "__h", "__r")
+        # need = whole copies per row, and one more for the first rows in hash order
+        copies = (F.lit(need // n) + (F.col("__r") < need % n).cast("int")).cast("int")
+        born = ranked.where(copies >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+        pick = (F.floor(uniform("id", "copy", seed=seed) * min(k, n - 1)) + 1).cast("int")
+        chosen = born.withColumn("rank", pick).join(near.select(F.col("qid").alias("id"), "pid", "rank"), ["id", "rank"])
+        other = points.select(F.col("id").alias("pid"), F.col("v").alias("w"))
+        u = uniform("id", "copy", seed=seed + 1)
+        mixed = chosen.join(other, "pid").withColumn("u", u)
+        new = mixed.select(
+            F.col("id").alias("source"), F.lit(r[label]).alias(label),
+            *[(F.col("v")[i] + F.col("u") * (F.col("w")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(features)],
+            F.col("copy").cast("bigint").alias("copy"))
+        out = out.unionByName(new)
+    return out
