@@ -59,7 +59,8 @@ def packed(train: DataFrame) -> DataFrame:
     Iterative training runs hundreds of short jobs over the same rows. Large tables keep
     their partitions.
     """
-    return train.coalesce(max(1, train.count() // ROWS_PER_TASK)).persist()
+    kept = train.persist()
+    return kept.coalesce(max(1, kept.count() // ROWS_PER_TASK))
 
 
 def facts(train: DataFrame) -> tuple[int, float, int]:
@@ -180,43 +181,68 @@ def _next_weights(rows: DataFrame, scored: DataFrame, weight: Column, r: int) ->
     return new
 
 
+STUMP_BINS = 32
+
+
 def fit_adaboost_classifier(train: DataFrame, p: dict) -> Trained:
-    """SAMME: stumps on reweighted rows. Weights are written out every ten rounds."""
-    rounds, classes = p["n_estimators"], max(facts(train)[2], 2)
-    rows = packed(train.select("id", "features", "label").withColumn("w", F.lit(1.0)))
-    stumps: list[tuple[object, float]] = []
-    for r in range(rounds):
-        model = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=SEED + r).fit(rows)
-        scored = model.transform(rows)
-        wrong = (F.col("prediction") != F.col("label")).cast("double")
-        bad, total = scored.agg(F.sum(F.col("w") * wrong), F.sum("w")).first()
-        error = bad / total
-        if error <= 0:
-            stumps.append((model, 1.0))
+    """SAMME over one-split trees.
+
+    Features are cut into bins once. A round is one aggregate, the class weights per
+    bin, from which the driver reads the best split, its error and its vote.
+    """
+    classes = max(facts(train)[2], 2)
+    x = vector_to_array("features")
+    d = len(train.select(x.alias("x")).first()["x"])
+    shares = F.array(*[F.lit(i / STUMP_BINS) for i in range(1, STUMP_BINS)])
+    got = train.select(x.alias("x")).agg(*[F.percentile_approx(F.col("x")[i], shares, 10_000) for i in range(d)]).first()
+    cuts = [sorted(set(c)) for c in got]
+    bins = F.array(*[sum(((x[i] > c).cast("int") for c in cuts[i]), F.lit(0)) for i in range(d)])
+    rows = packed(train.select("id", "label", bins.alias("b"))).withColumn("w", F.lit(1.0))
+    stumps: list[tuple[int, int, int, int, float]] = []
+    for r in range(p["n_estimators"]):
+        table = np.zeros((d, STUMP_BINS, classes))
+        held = rows.select("label", "w", F.posexplode("b").alias("f", "bin")).groupBy("f", "bin", "label").agg(F.sum("w").alias("w"))
+        for f, b, y, w in held.collect():  # features x bins x classes rows
+            table[f, b, int(y)] = w
+        total = table[0].sum()
+        f, cut, left, right, hit = _best_split(table)
+        error = 1 - hit / total
+        if error <= 1e-12:
+            stumps.append((f, cut, left, right, 1.0))
             break
         if error >= 1 - 1 / classes:
             break
         alpha = math.log((1 - error) / error) + math.log(classes - 1)
-        stumps.append((model, alpha))
-        rows = _next_weights(rows, scored, F.col("w") * F.exp(alpha * wrong) / total, r)
+        stumps.append((f, cut, left, right, alpha))
+        wrong = F.when(F.col("b")[f] <= cut, F.lit(left)).otherwise(right) != F.col("label")
+        rows = rows.withColumn("w", F.col("w") * F.when(wrong, math.exp(alpha)).otherwise(1.0) / total)
+        if r % 10 == 9:
+            rows = checkpointed(rows)
     if not stumps:
         raise ValueError("the first stump is no better than chance")
 
     def score(df: DataFrame) -> DataFrame:
-        out = df
-        for i, (m, _) in enumerate(stumps):
-            out = m.transform(out).withColumnRenamed("prediction", f"__p{i}").drop("rawPrediction", "probability")
-        votes = [sum((F.when(F.col(f"__p{i}") == c, a).otherwise(0.0) for i, (_, a) in enumerate(stumps)), F.lit(0.0))
-                 for c in range(classes)]
-        # one projection per step keeps the expression tree of the votes from being copied
-        out = out.withColumn("__v", F.array(*votes)).drop(*[f"__p{i}" for i in range(len(stumps))])
-        total = sum(a for _, a in stumps)
+        out = df.withColumn("__b", bins)
+        side = [F.when(F.col("__b")[f] <= cut, F.lit(left)).otherwise(right) for f, cut, left, right, _ in stumps]
+        votes = [sum((F.when(s == c, t[4]).otherwise(0.0) for s, t in zip(side, stumps)), F.lit(0.0)) for c in range(classes)]
+        out = out.withColumn("__v", F.array(*votes)).drop("__b")
+        total = sum(t[4] for t in stumps)
         return out.withColumn("prediction", (F.array_position("__v", F.array_max("__v")) - 1).cast("double")).withColumn(
             "probability", F.transform("__v", lambda v: v / total)).drop("__v")
 
     return Trained(score)
 
 
+def _best_split(table: np.ndarray) -> tuple[int, int, int, int, float]:
+    """(feature, bin, left class, right class, weight predicted right) with the lowest Gini impurity."""
+    left = table.cumsum(axis=1)
+    right = table.sum(axis=1, keepdims=True) - left
+    purity = sum((s ** 2).sum(axis=2) / np.maximum(s.sum(axis=2), 1e-300) for s in (left, right))
+    f, cut = np.unravel_index(purity.argmax(), purity.shape)
+    a, b = left[f, cut], right[f, cut]
+    return int(f), int(cut), int(a.argmax()), int(b.argmax()) if b.sum() > 0 else int(a.argmax()), float(a.max() + b.max())
+
+
 def random_bins(train: DataFrame, bins: int = 32) -> Score:
     """Replace each feature by its cell between random cut points of its range."""
     x = vector_to_array("features")
