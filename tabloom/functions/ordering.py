@@ -98,34 +98,32 @@ def carried(
 ) -> DataFrame:
     """Add, per output name, the nearest non-null value at or before the row
     (`forward`) or at or after it."""
+    # looking ahead is looking back in reverse order: a frame open at its far end costs a rescan per row
+    side = F.asc if forward else F.desc
     if largest_group(df, keys) <= max_rows:
-        return df.withColumns({n: _nearest(v, _over(keys, order), forward) for n, v in values.items()})
+        w = _over(keys, [side(c) for c in order])
+        return df.withColumns({n: _nearest(v, w) for n, v in values.items()})
     placed = _spread_positions(df, keys, order, "__pos").withColumn("__chunk", F.floor(F.col("__pos") / max_rows))
     temps = {f"__c_{n}": v for n, v in values.items()}
     placed = placed.withColumns(temps)
-    local = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
-    filled = placed.withColumns({f"__l_{n}": _nearest(F.col(f"__c_{n}"), local, forward) for n in values})
+    local = Window.partitionBy(*keys, "__chunk").orderBy(side("__pos"))
+    filled = placed.withColumns({f"__l_{n}": _nearest(F.col(f"__c_{n}"), local) for n in values})
     pick = F.max_by if forward else F.min_by
     ends = placed.groupBy(*keys, "__chunk").agg(*[
         pick(F.col(f"__c_{n}"), F.when(F.col(f"__c_{n}").isNotNull(), F.col("__pos"))).alias(f"__e_{n}")
         for n in values
     ])
-    chain = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__chunk")
-    frame = (chain.rowsBetween(Window.unboundedPreceding, -1) if forward
-             else chain.rowsBetween(1, Window.unboundedFollowing))
-    side = F.last if forward else F.first
+    frame = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(side("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "__chunk", *[
-        side(f"__e_{n}", ignorenulls=True).over(frame).alias(f"__p_{n}") for n in values])
+        F.last(f"__e_{n}", ignorenulls=True).over(frame).alias(f"__p_{n}") for n in values])
     joined = _join_keys(filled, maybe_broadcast(ends), [*keys, "__chunk"], "left")
     out = joined.withColumns({n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__p_{n}")) for n in values})
     drop = [f"__{t}_{n}" for n in values for t in "clp"]
     return out.drop("__pos", "__chunk", *drop)
 
 
-def _nearest(value: Column, w: Window, forward: bool) -> Column:
-    if forward:
-        return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def _nearest(value: Column, w: Window) -> Column:
+    return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def running_totals(

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tabloom.session import checkpointed, maybe_broadcast
 
 DIRECT_ROWS = 2_000_000
+SMALL_ROWS = 50_000
+MEDIUM_FACTOR = 10
 ACCURACY = 10_000
 
 
@@ -41,24 +43,99 @@ def _direct(data: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     return data.groupBy(*keys).agg(*exprs)
 
 
-def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], direct_rows: int = DIRECT_ROWS):
-    """{column: [quantiles]} collected as fitted parameters (columns x probs numbers)."""
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], direct_rows: int = DIRECT_ROWS,
+                     small_rows: int = SMALL_ROWS):
+    """{column: [quantiles]} collected as fitted parameters (columns x probs numbers).
+
+    Small tables use `percentile`, which keeps every distinct value in a slow map. Medium
+    ones are read twice: a sketch brackets each rank, then only the values inside the
+    bracket (about half a percent of the rows) come to the driver. Large ones stay distributed.
+    """
     if not columns:
         return {}
     rows = df.agg(F.count("*")).first()[0]
-    if rows <= direct_rows:
-        exprs = [
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-        got = df.agg(*exprs).first()
-        return {c: (got[i] or [None] * len(probs)) for i, c in enumerate(columns)}
-    long = long_numeric(df, columns)
-    table = exact_quantiles(long, ["column"], "value", probs, direct_rows)
+    if rows <= small_rows:
+        return _direct_columns(df, columns, probs)
+    if rows <= direct_rows * MEDIUM_FACTOR:
+        return _by_probes(df, columns, probs)
+    table = exact_quantiles(long_numeric(df, columns), ["column"], "value", probs, direct_rows)
     got = {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in table.collect()}
     return {c: got.get(c, [None] * len(probs)) for c in columns}
 
 
+def _direct_columns(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list]:
+    # one branch per column: each scans its own column, and the branches run side by side
+    grid = F.array(*[F.lit(float(p)) for p in probs])
+    parts = [df.agg(F.percentile(F.col(c).cast("double"), grid).alias("q")).select(F.lit(c).alias("column"), "q") for c in columns]
+    got = {r["column"]: r["q"] for r in reduce(DataFrame.unionByName, parts).collect()}
+    return {c: (got[c] or [None] * len(probs)) for c in columns}
+
+
+def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list]:
+    accuracy = 1000
+    margin = 2.5 / accuracy
+    grid = [min(max(q, 0.0), 1.0) for p in probs for q in (p - margin, p + margin)]
+    parts = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        parts.append(df.agg(F.percentile_approx(x, F.array(*[F.lit(g) for g in grid]), accuracy).alias("cuts"), F.count(x).alias("n"),
+                            F.min(x).alias("lo"), F.max(x).alias("hi")).select(F.lit(c).alias("column"), "cuts", "n", "lo", "hi"))
+    marks = {r["column"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    parts, spans = [], {}
+    for c in columns:
+        m, x = marks[c], F.col(c).cast("double")
+        if not m["n"]:
+            continue
+        for i, p in enumerate(probs):
+            lo = m["lo"] if p <= margin else m["cuts"][2 * i]
+            hi = m["hi"] if p >= 1 - margin else m["cuts"][2 * i + 1]
+            spans[c, i] = (lo, hi)
+            inside = df.where(x >= lo).where(x <= hi).groupBy(x.alias("x")).agg(F.count("*").alias("k"))
+            parts.append(inside.select(F.lit(c).alias("column"), F.lit(i).alias("i"), "x", "k"))
+            below = df.agg(F.count_if(x < lo).alias("k"))
+            parts.append(below.select(F.lit(c).alias("column"), F.lit(i).alias("i"), F.lit(None).cast("double").alias("x"), "k"))
+    if not parts:
+        return {c: [None] * len(probs) for c in columns}
+    below, held = {}, {}
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        if r["x"] is None:
+            below[r["column"], r["i"]] = r["k"]
+        else:
+            held.setdefault((r["column"], r["i"]), []).append((r["x"], r["k"]))
+    out, missed = {}, set()
+    for c in columns:
+        got = []
+        for i, p in enumerate(probs):
+            if not marks[c]["n"]:
+                got.append(None)
+                continue
+            value = _pick(held.get((c, i), []), below[c, i], (marks[c]["n"] - 1) * p)
+            if value is None:
+                missed.add(c)  # the sketch was off; count this column in full
+            got.append(value)
+        out[c] = got
+    if missed:
+        out.update(_direct_columns(df, sorted(missed), probs))
+    return out
+
+
+def _pick(values: list[tuple[float, int]], below: int, position: float) -> float | None:
+    """Linear quantile at a fractional rank, or None if the values do not cover it."""
+    lo, hi = int(position), int(position) + (position > int(position))
+    a = b = None
+    upto = below
+    for x, k in sorted(values):
+        if a is None and upto <= lo < upto + k:
+            a = x
+        if upto <= hi < upto + k:
+            b = x
+            break
+        upto += k
+    if a is None or b is None:
+        return None
+    return a if a == b else a * (hi - position) + b * (position - lo)
+
+
 def long_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) pairs of the numeric columns, one scan."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)

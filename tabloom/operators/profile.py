@@ -17,7 +17,9 @@ from tabloom.functions.cells import is_numeric, numeric_columns, pandas_dtype, s
 from tabloom.functions.quantiles import DIRECT_ROWS, column_quantiles
 from tabloom.session import beside
 
-COLUMNS_PER_AGG = 40
+# columns (or column pairs) per aggregate: keeps generated code small, and blocks run side by side,
+# each scanning only its columns
+COLUMNS_PER_AGG = 3
 
 # Name parts that mark a column as a time column, and the shorter list for series data.
 TIME_NAME_PARTS = ["date", "time", "datetime", "timestamp", "created", "updated"]

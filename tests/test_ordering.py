@@ -64,6 +64,8 @@ def test_quantile_brackets(rows):
     same(a, b)
     big = rows.sparkSession.range(20000).select((F.col("id") * 104729 % 19997 / 7).alias("x"), F.lit(2.0).alias("y"))
     exact = column_quantiles(big, ["x", "y"], [0.25, 0.5, 0.9])
-    narrow = column_quantiles(big, ["x", "y"], [0.25, 0.5, 0.9], direct_rows=200)
+    narrow = column_quantiles(big, ["x", "y"], [0.25, 0.5, 0.9], direct_rows=200, small_rows=10)
+    probed = column_quantiles(big, ["x", "y"], [0.25, 0.5, 0.9], small_rows=10)
     for c in exact:
         assert exact[c] == pytest.approx(narrow[c])
+        assert exact[c] == pytest.approx(probed[c])
