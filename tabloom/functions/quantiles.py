@@ -90,10 +90,9 @@ def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[st
             lo = m["lo"] if p <= margin else m["cuts"][2 * i]
             hi = m["hi"] if p >= 1 - margin else m["cuts"][2 * i + 1]
             spans[c, i] = (lo, hi)
-            inside = df.where(x >= lo).where(x <= hi).groupBy(x.alias("x")).agg(F.count("*").alias("k"))
-            parts.append(inside.select(F.lit(c).alias("column"), F.lit(i).alias("i"), "x", "k"))
-            below = df.agg(F.count_if(x < lo).alias("k"))
-            parts.append(below.select(F.lit(c).alias("column"), F.lit(i).alias("i"), F.lit(None).cast("double").alias("x"), "k"))
+            # values in the bracket keep their count, all smaller ones share the NULL group
+            counts = df.where(x <= hi).groupBy(F.when(x >= lo, x).alias("x")).agg(F.count("*").alias("k"))
+            parts.append(counts.select(F.lit(c).alias("column"), F.lit(i).alias("i"), "x", "k"))
     if not parts:
         return {c: [None] * len(probs) for c in columns}
     below, held = {}, {}
@@ -109,7 +108,7 @@ def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[st
             if not marks[c]["n"]:
                 got.append(None)
                 continue
-            value = _pick(held.get((c, i), []), below[c, i], (marks[c]["n"] - 1) * p)
+            value = _pick(held.get((c, i), []), below.get((c, i), 0), (marks[c]["n"] - 1) * p)
             if value is None:
                 missed.add(c)  # the sketch was off; count this column in full
             got.append(value)

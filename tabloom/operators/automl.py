@@ -42,9 +42,9 @@ def test_metrics(preds: DataFrame, classify: bool, binary: bool) -> DataFrame:
     return out.withColumn("roc_auc", F.lit(None).cast("double"))
 
 
-def _run_all(jobs: list, parallel: int) -> list:
+def _run_all(spark, jobs: list, parallel: int) -> list:
     with ThreadPool(parallel) as pool:
-        return pool.map(inheritable_thread_target(lambda j: j()), jobs)
+        return pool.map(inheritable_thread_target(spark)(lambda j: j()), jobs)
 
 
 def automl(
@@ -92,7 +92,7 @@ def automl(
             row.update(status="failed", error=str(e).split("\n")[0][:200], trained=None)
         return row
 
-    rows = _run_all([lambda n=n: one(n) for n in names], parallel)
+    rows = _run_all(spark, [lambda n=n: one(n) for n in names], parallel)
     table = _board(spark, rows, metric, CLASS_METRICS if classify else VALUE_METRICS, bool(folds))
     return table, {r["model"]: r["trained"] for r in rows if r["trained"] is not None}
 
