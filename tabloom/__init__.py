@@ -1 +1,8 @@
 """Tabular machine learning as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with the job, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -63,7 +63,9 @@ def ols(g: np.ndarray, use: list[int], ridge: np.ndarray | None = None) -> tuple
     """(coefficients, residual sum, inverse) of the last entry on the entries `use`."""
     a, b = g[np.ix_(use, use)], g[use, -1]
     a = a + (np.diag(ridge) if ridge is not None else 0)
-    inv = np.linalg.pinv(a, hermitian=True)
+    # columns brought to one scale, so that only true collinearity is cut off
+    d = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+    inv = np.linalg.pinv(a * d[:, None] * d[None, :], rcond=1e-12, hermitian=True) * d[:, None] * d[None, :]
     coef = inv @ b
     rss = g[-1, -1] - 2 * coef @ b + coef @ g[np.ix_(use, use)] @ coef
     return coef, max(float(rss), 1e-300), inv

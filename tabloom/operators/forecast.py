@@ -349,8 +349,7 @@ def lookback_regression(df: DataFrame, keys: list[str], time: str, y: str, lookb
         "__row": F.array(F.lit(1.0), *[F.lag(y, k).over(w).cast("double") for k in range(1, lookback + 1)], F.col(y).cast("double"))})
 
     def solve(g: np.ndarray, row: dict) -> list[dict]:
-        ridge = np.full(len(g) - 1, 1e-6 * max(g[-1, -1], 1e-12) / max(g[0, 0], 1))
-        return [{"coef": ols(g, list(range(len(g) - 1)), ridge)[0].tolist()}]
+        return [{"coef": ols(g, list(range(len(g) - 1)))[0].tolist()}]
 
     fits = solve_each(cross_products(wide, keys, "__row"), keys, solve, "coef array<double>")
     state = _tail(df.where(F.col(y).isNotNull()), keys, time, [y], lookback).join(fits, keys).where(F.size("tail") == lookback)

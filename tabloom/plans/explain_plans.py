@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabloom.functions.cells import tidy
-from tabloom.operators import explain, headers, predict
+from tabloom.operators import explain, headers, models, predict
 from tabloom.plans.frames import PEOPLE
 from tabloom.plans.model_plans import TEXT_FEATURES, VALUE_FEATURES, class_table, fitted, value_table
 from tabloom.plans.registry import Frame, query
@@ -93,6 +94,15 @@ def document_batch(spark, d):
     return predict.batch_predict(trained, test, ["low", "high"], order="id")
 
 
+@query("batch_predict_line", """WITH m AS (SELECT regr_slope(o_totalprice, o_custkey) AS a, regr_intercept(o_totalprice, o_custkey) AS b FROM orders)
+SELECT o_orderkey AS id, round(round_even(a * o_custkey + b, 4), 2) AS prediction, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders, m""")
+def orders_batch(spark, d):
+    t = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("label"),
+                                        array_to_vector(F.array(F.col("o_custkey").cast("double"))).alias("features"))
+    out = predict.batch_predict(models.fit_linear(t, {}), t, order="id")
+    return out.select("id", tidy(F.col("prediction"), 2).alias("prediction"), "row_index")
+
+
 RAW = Frame("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_linenumber AS DOUBLE) - 2 AS prediction", "l_extendedprice / 7 AS value")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.cells import tidy
 from tabloom.operators import forecast as fc
 from tabloom.operators import timeseries as ts
 from tabloom.plans.frames import READINGS
@@ -92,3 +93,24 @@ def order_cutoffs(spark, d):
 @query("lookback_regression")
 def hourly_lookback(spark, d):
     return fc.lookback_regression(hourly(spark, d), KEYS, "ts", "y", 24, 12)
+
+
+_HOURLY_SQL = """t AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts, avg(value) AS y FROM events GROUP BY 1, 2),
+c AS (SELECT series, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM t GROUP BY 1),
+g AS (SELECT c.series, c.ts, last_value(t.y IGNORE NULLS) OVER (PARTITION BY c.series ORDER BY c.ts ROWS UNBOUNDED PRECEDING) AS y
+ FROM c LEFT JOIN t ON c.series = t.series AND c.ts = t.ts),
+l AS (SELECT series, ts, y, lag(y) OVER (PARTITION BY series ORDER BY ts) AS x, row_number() OVER (PARTITION BY series ORDER BY ts) AS k FROM g)"""
+
+
+@query("arima_first_order", f"""WITH {_HOURLY_SQL}, r AS (SELECT * FROM l WHERE k > {fc.LONG_AR + fc.MAX_Q})
+SELECT series, round(regr_slope(y, x), 5) AS ar, round(regr_intercept(y, x), 4) AS const,
+ round((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / count(*), 4) AS sigma2, count(*) AS n FROM r GROUP BY 1""")
+def hourly_ar1(spark, d):
+    fit = fc.arima_fit(hourly(spark, d), KEYS, "ts", "y", order=(1, 0))
+    return fit.select("series", tidy(F.col("ar")[0], 5).alias("ar"), tidy(F.col("const"), 4).alias("const"), tidy(F.col("sigma2"), 4).alias("sigma2"), "n")
+
+
+@query("lookback_line", f"""WITH {_HOURLY_SQL}, f AS (SELECT series, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, arg_max(y, ts) AS last FROM l GROUP BY 1)
+SELECT series, 1 AS step, round(a * last + b, 3) AS yhat FROM f UNION ALL SELECT series, 2, round(a * (a * last + b) + b, 3) FROM f""")
+def hourly_next(spark, d):
+    return fc.lookback_regression(hourly(spark, d), KEYS, "ts", "y", 1, 2).withColumn("yhat", tidy(F.col("yhat"), 3))

@@ -91,6 +91,28 @@ def price_line(spark, d):
     return spark.range(1).select(tidy(F.lit(float(m.coefficients[0])), 4).alias("slope"), tidy(F.lit(float(m.intercept)), 3).alias("intercept"))
 
 
+_LINE_SQL = """WITH t AS (SELECT l_quantity / 10 AS x, l_extendedprice / 10000 AS y FROM lineitem),
+s AS (SELECT covar_pop(x, y) AS xy, var_pop(x) AS xx, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM t), b AS (SELECT *, {slope} AS slope FROM s)
+SELECT round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept FROM b"""
+
+
+def _one_feature(key: str, name: str, slope: str) -> None:
+    """One feature has a closed form under every penalty."""
+
+    @query(key, _LINE_SQL.format(slope=slope))
+    def run(spark, d, name=name):
+        t = load(spark, d, "lineitem").select(
+            (F.col("l_extendedprice") / 10000).alias("label"), array_to_vector(F.array(F.col("l_quantity") / 10)).alias("features"))
+        entry = models.REGRESSORS[name]
+        m = entry.fit(t, dict(entry.params)).model
+        return spark.range(1).select(tidy(F.lit(float(m.coefficients[0])), 4).alias("slope"), tidy(F.lit(float(m.intercept)), 3).alias("intercept"))
+
+
+_one_feature("ridge_line", "ridge", "xy / (xx + 1.0 / n)")
+_one_feature("lasso_line", "lasso", "sign(xy) * greatest(abs(xy) - 1.0, 0) / xx")
+_one_feature("elasticnet_line", "elasticnet", "sign(xy) * greatest(abs(xy) - 0.5, 0) / (xx + 0.5)")
+
+
 def _unavailable(key: str, name: str) -> None:
     @query(key)
     def run(spark, d, name=name):

@@ -169,7 +169,10 @@ def loaded_predictions(spark, d):
 
 # ---- streams over the event table ----
 
-@query("stream_rate_alerts")
+@query("stream_rate_alerts", """WITH e AS (SELECT event_type AS key, epoch_us(ts) AS us FROM events), m AS (SELECT max(us) // 1000 * 1000 - 600000000 AS closed FROM e),
+w AS (SELECT key, (us // 10000000 - i) * 10000000 AS a FROM (SELECT key, us, unnest(range(6)) AS i FROM e)),
+c AS (SELECT key, a, count(*) AS hits FROM w GROUP BY 1, 2)
+SELECT key, make_timestamp(a) AS start, make_timestamp(a + 60000000) AS "end", hits FROM c, m WHERE hits > 1 AND a + 60000000 <= closed""")
 def rate_alerts(spark, d):
     s = events.read_stream(spark, d, "events").withColumn("key", F.col("event_type"))
     return events.run_available(events.stream_rate_alerts(s, "key", limit=1), scratch(spark, "alerts"))

@@ -72,9 +72,10 @@ def generic_headers(spark, d):
 CONTEXTS = Frame("documents", "doc_id", "concat('Housing ', source) AS context", "n_chars % 20 AS n_columns")
 
 
-@query("canonical_headers")
+@query("canonical_headers", f"""SELECT doc_id, context, n_columns, CASE WHEN n_columns = 14 AND contains(lower(context), 'housing')
+ THEN '{",".join(headers.HOUSING_COLUMNS)}' END AS headers FROM ({CONTEXTS.sql})""")
 def housing_headers(spark, d):
-    return headers.canonical_headers(CONTEXTS(spark, d))
+    return headers.canonical_headers(CONTEXTS(spark, d)).withColumn("headers", F.array_join("headers", ","))
 
 
 @query("set_headers", "SELECT n_nationkey AS nation_id, n_name AS nation, n_regionkey AS region_id FROM nation")

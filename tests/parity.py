@@ -65,6 +65,16 @@ def compare(spark_df, con, sql):
     return None
 
 
+WIDTHS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE"}
+
+
+def widths(spark_df, con, sql):
+    """Columns whose declared types differ."""
+    theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    mine = {f.name: WIDTHS.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema.fields}
+    return {c: (mine[c], theirs[c]) for c in mine if mine[c] != theirs.get(c)}
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     folder = f"/root/testdata/sf{sf}"
