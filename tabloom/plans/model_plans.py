@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.cells import tidy
-from tabloom.operators import automl, cluster, models, neighbors, sampling
+from tabloom.operators import automl, cluster, models, neighbors, prep, sampling
 from tabloom.plans.registry import Frame, query
 from tabloom.session import load
 
@@ -29,9 +29,8 @@ def document_features(spark, d) -> DataFrame:
 
 
 def class_table(spark, d) -> DataFrame:
-    t = document_features(spark, d)
-    from tabloom.operators import prep
-
+    # a few numbers per document; reading the texts again for every pass would cost far more
+    t = document_features(spark, d).persist()
     t = prep.scale(t, prep.fit_standard(t, TEXT_FEATURES))
     return t.select("id", "label", array_to_vector(F.array(*TEXT_FEATURES)).alias("features"))
 
@@ -46,9 +45,7 @@ def value_columns(spark, d) -> DataFrame:
 
 
 def value_table(spark, d) -> DataFrame:
-    t = value_columns(spark, d)
-    from tabloom.operators import prep
-
+    t = value_columns(spark, d).persist()
     t = prep.scale(t, prep.fit_standard(t, VALUE_FEATURES))
     return t.select("id", "label", array_to_vector(F.array(*VALUE_FEATURES)).alias("features"))
 
