@@ -75,6 +75,24 @@ def tidy(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
+def round_exact(c: Column, digits: int = 2) -> Column:
+    """Round by the exact binary value, half to even, as Python does.
+
+    The product with a power of ten is rounded itself; splitting the number gives the
+    part lost there, which decides the seeming ties.
+    """
+    s = float(10 ** digits)
+    x = c.cast("double")
+    p = x * s
+    t = x * F.lit(float((1 << 27) + 1))
+    high = t - (t - x)
+    lost = (high * s - p) + (x - high) * s
+    low = F.floor(p)
+    tie = (p - low) == 0.5
+    whole = F.when(tie & (lost > 0), low + 1).when(tie & (lost < 0), low).when(tie, F.bround(p, 0)).otherwise(F.floor(p + 0.5))
+    return whole / s
+
+
 # Number syntax, also used per white-space part.
 NUMBER_PATTERN = r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?$"
 

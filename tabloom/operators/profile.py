@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.cells import is_numeric, numeric_columns, pandas_dtype, string_columns
+from tabloom.functions.cells import is_numeric, numeric_columns, pandas_dtype, round_exact, string_columns
 from tabloom.functions.quantiles import DIRECT_ROWS, column_quantiles
 from tabloom.session import beside
 
@@ -252,7 +252,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     missing_pct = F.col("missing") * 100.0 / (F.col("rows") * len(df.columns))
     score = 100.0 - F.least(missing_pct, F.lit(30.0)) - F.least(F.col("duplicate_pct"), F.lit(20.0))
     return both.select(missing_pct.alias("missing_pct"), "duplicate_pct",
-                       F.greatest(F.lit(0.0), F.bround(score, 2)).alias("quality_score"))
+                       F.greatest(F.lit(0.0), round_exact(score, 2)).alias("quality_score"))
 
 
 def target_analysis(df: DataFrame, target: str, k: int = 10) -> DataFrame:
