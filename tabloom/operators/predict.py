@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.cells import round_exact
 from tabloom.functions.ordering import row_positions
 from tabloom.operators.models import Trained
 from tabloom.operators.prep import category_dictionary, ordinal_encode
@@ -26,16 +27,16 @@ def decode_prediction(prediction: Column, classes: list[str]) -> Column:
 
 
 def round_prediction(prediction: Column, digits: int = API_DIGITS) -> Column:
-    """Half to even, as the reference rounds."""
-    return F.bround(prediction, digits)
+    """Rounded as Python rounds."""
+    return round_exact(prediction, digits)
 
 
 def confidence(probability: Column, digits: int = API_DIGITS) -> Column:
-    return F.bround(F.array_max(probability), digits)
+    return round_exact(F.array_max(probability), digits)
 
 
 def confidence_percent(probability: Column) -> Column:
-    return F.bround(F.array_max(probability) * 100, 1)
+    return round_exact(F.array_max(probability) * 100, 1)
 
 
 def class_probabilities(df: DataFrame, classes: list[str], probability: str = "probability") -> DataFrame:
