@@ -126,7 +126,7 @@ def scaled_readings(spark, d):
 f AS (SELECT series, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value FROM g),
 q AS (SELECT series, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM f GROUP BY 1),
 p AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM t)
-SELECT f.series, f.ts, round((least(greatest(value, lo), hi) - m) / s, 6) + 0.0 AS value FROM f JOIN q ON f.series = q.series, p""")
+SELECT f.series, f.ts, CASE WHEN value IS NOT NULL THEN round((least(greatest(value, lo), hi) - m) / s, 6) + 0.0 END AS value FROM f JOIN q ON f.series = q.series, p""")
 def prepared(spark, d):
     out = ts.ts_prepare(READINGS(spark, d), KEYS, "ts", ["value"], "H", "ffill", clip=True, robust=False)
     return out.withColumn("value", tidy(F.col("value")))
