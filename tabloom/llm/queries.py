@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import minhash, mixing, quality, sharding
+from tabloom.llm import minhash, mixing, packing, quality, secrets, sharding
 from tabloom.llm.oracles import MIXING_SQL, QUALITY_SQL
 from tabloom.session import load
 
@@ -13,6 +13,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(load(spark, sf_dir, "documents"))
 
@@ -21,9 +25,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(load(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), packing.public_tokenizer())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_source_mixing, op7_sharding, op9_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op3_secret_scan, op4_source_mixing, op7_sharding, op8_best_fit_packing, op9_quality_rules,
+    )
+}
 ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL}
