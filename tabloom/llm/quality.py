@@ -20,8 +20,8 @@ from tabloom.llm.base import SPACES, boxed, stored, unboxed, words
 #: rule: (numerator, denominator, least spread in parts per thousand). A fence is q3 + REACH * max(q3 - q1, spread).
 RULES = {
     "symbols": ("n_symbols", "n_words", 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 100),
-    "repeats": ("n_repeat_words", "n_words", 100),
+    "dup_lines": ("n_dup_lines", "n_lines", 250),
+    "repeats": ("n_repeat_words", "n_words", 140),
     "capitals": ("n_capitals", "word_chars", 120),
     "word_length": ("word_chars", "n_words", 1000),
 }
