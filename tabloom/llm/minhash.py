@@ -31,7 +31,7 @@ BINS = BANDS * ROWS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Members of a block in the exact comparison of buckets that a star does not settle.
-BLOCK = 128
+BLOCK = 512
 
 _EDGES = (np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)).astype(np.uint64)
 _ORDERS = np.array([np.random.default_rng(1_000 + i).permutation(BINS) for i in range(BINS)])
