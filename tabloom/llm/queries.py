@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import extract, minhash, mixing, packing, quality, secrets, sharding
+from tabloom.llm import extract, minhash, mixing, packing, quality, secrets, sharding, toxicity
 from tabloom.llm.oracles import MIXING_SQL, QUALITY_SQL
 from tabloom.session import load
 
@@ -21,6 +21,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(load(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(load(spark, sf_dir, "pages"))
 
@@ -40,7 +44,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op3_secret_scan, op4_source_mixing, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules,
+        op1_minhash_near_dedup, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules,
     )
 }
 ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL}
