@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import extract, minhash, mixing, packing, quality, secrets, sharding, toxicity
+from tabloom.llm import extract, hnsw, minhash, mixing, packing, quality, secrets, sharding, toxicity
 from tabloom.llm.oracles import MIXING_SQL, QUALITY_SQL
 from tabloom.session import load
 
@@ -41,10 +41,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(load(spark, sf_dir, "documents"))
 
 
+def op10_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules,
+        op1_minhash_near_dedup, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search,
     )
 }
 ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL}
