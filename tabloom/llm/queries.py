@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import extract, hnsw, minhash, mixing, packing, quality, secrets, sharding, toxicity
+from tabloom.llm import extract, hnsw, lm, minhash, mixing, packing, quality, secrets, sharding, toxicity
 from tabloom.llm.oracles import MIXING_SQL, QUALITY_SQL
 from tabloom.session import load
 
@@ -13,6 +13,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_bloom_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search,
+        op1_minhash_near_dedup, op2_bloom_lm_scoring, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search,
     )
 }
 ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL}
