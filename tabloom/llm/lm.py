@@ -5,7 +5,8 @@ into buckets by their leading bits, so a task sends one small array per bucket i
 merges its arrays into exact counts. An n-gram of count c has level 1 + floor(log_BASE c) and enters the filter once for
 each level up to its own; every bucket is a segment of the filter, as large as its entries need.
 
-Scoring. Probing levels upwards until one is missing reads the quantised count back. A bigram's probability mixes its
+Scoring. Probing levels upwards until one is missing reads the quantised count back; one pass does so for all texts and
+stores the levels. A bigram's probability mixes its
 quantised relative frequency with the unigram's; the weight depends on the level of the history and is the best of a grid
 by leave-one-out likelihood over all training texts. The end of a text is a token and the history of the next start.
 
@@ -29,11 +30,11 @@ from tabloom.llm.shingles import WordHashes, mix, words_of
 HELD_OUT_OF = 10
 BASE = 1.5
 LEVELS = 64
-BITS, PROBES = 10, 4
+BITS, PROBES = 12, 4
 FILTER_BYTES = 128 << 20
 HEAD = 1 << 20
 #: Tokens per bucket, and n-grams a task holds before it sends them on.
-BUCKET_TOKENS, HELD = 4_000_000, 3_000_000
+BUCKET_TOKENS, HELD = 1_000_000, 1_500_000
 CUTOFFS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 1 << 20]
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 END = np.uint64(0x5BD1E995C0FFEE11)
@@ -58,44 +59,48 @@ def _parts(hashes: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes >> np.uint64(64 - shift), (hashes << np.uint64(shift)) >> np.uint64(24)
 
 
-def _bits(bucket: np.ndarray, key: np.ndarray, level: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places (PROBES, n) of an entry inside its segment."""
-    x = mix(((bucket << np.uint64(40)) | key) + mix(level.astype(np.uint64) + np.uint64(77)))
-    first, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(first + np.uint64(k) * step) % size for k in range(PROBES)])
+def _word_and_mask(bucket: np.ndarray, key: np.ndarray, level: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of its segment (`size` words) that holds an entry, and the entry's bits in it."""
+    x = mix(((bucket << np.uint64(40)) | key) + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+    word = ((x >> np.uint64(32)) * size) >> np.uint64(32)
+    mask = np.uint64(1) << (x & np.uint64(63))
+    for k in range(1, PROBES):
+        mask |= np.uint64(1) << ((x >> np.uint64(6 * k)) & np.uint64(63))
+    return word, mask
 
 
 class Filter:
-    """The assembled filter."""
+    """The assembled filter: a Bloom filter whose probes for one entry fall into one 64-bit word."""
+
+    CHUNK = 1 << 15
 
     def __init__(self, segments: list[tuple[int, bytes]], shift: int) -> None:
         self.shift = shift
         self.start = np.zeros(1 << shift, np.uint64)
-        self.size = np.full(1 << shift, 8, np.uint64)
-        at, parts = 8, [bytes(1)]
+        self.size = np.ones(1 << shift, np.uint64)
+        at, parts = 1, [bytes(8)]
         for bucket, data in segments:
             if data:
-                self.start[bucket], self.size[bucket] = at, 8 * len(data)
+                self.start[bucket], self.size[bucket] = at, len(data) // 8
                 parts.append(data)
-                at += 8 * len(data)
+                at += len(data) // 8
         self.data = b"".join(parts)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Quantised counts by repeated membership probes."""
-        table = np.frombuffer(self.data, np.uint8)
-        bucket, key = _parts(hashes, self.shift)
+        table = np.frombuffer(self.data, np.uint64)
         out = np.zeros(len(hashes), np.int64)
-        live = np.arange(len(hashes))
-        for level in range(1, LEVELS):
-            b, k = bucket[live], key[live]
-            at = _bits(b, k, np.array([level]), self.size[b]) + self.start[b]
-            found = np.ones(len(live), bool)
-            for row in at:
-                found &= (table[row >> np.uint64(3)] >> (row & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-            live = live[found]
-            if not len(live):
-                break
-            out[live] = level
+        for first in range(0, len(hashes), self.CHUNK):
+            bucket, key = _parts(hashes[first : first + self.CHUNK], self.shift)
+            start, size = self.start[bucket], self.size[bucket]
+            live = np.arange(first, first + len(key))
+            for level in range(1, LEVELS):
+                word, mask = _word_and_mask(bucket, key, level, size)
+                found = (table[start + word] & mask) == mask
+                if not found.any():
+                    break
+                bucket, key, start, size, live = bucket[found], key[found], start[found], size[found], live[found]
+                out[live] = level
         return out
 
 
@@ -104,12 +109,15 @@ def _segment(bucket: int, keys: np.ndarray, counts: np.ndarray, cutoff: int) ->
     total = int(levels.sum())
     if not total:
         return b""
-    bits = np.zeros(-(-total * BITS // 64) * 64, bool)
+    words = np.zeros(-(-total * BITS // 64), np.uint64)
     for level in range(1, int(levels.max()) + 1):
         own = keys[levels >= level]
-        at = _bits(np.full(len(own), bucket, np.uint64), own, np.array([level]), np.uint64(len(bits)))
-        bits[at.ravel()] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+        word, mask = _word_and_mask(np.full(len(own), bucket, np.uint64), own, level, np.uint64(len(words)))
+        order = np.argsort(word)
+        word, mask = word[order], mask[order]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[first]] |= np.bitwise_or.reduceat(mask, first)
+    return words.tobytes()
 
 
 def _tokens(texts: list, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -289,49 +297,56 @@ class Words:
         return np.concatenate([x for p in parts for x in (p, [0])]).astype(np.int64), starts
 
 
-def _estimates(tokens: np.ndarray, words: Words, less: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Relative frequency after the history, unigram probability, and level of the history; `less` occurrences are
-    taken out of every count (leave-one-out)."""
-    model = words.model
+def _probed(tokens: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: level of the bigram, level of the history, and the unigram's count (exact where it is broadcast)."""
     before = np.concatenate([[0], tokens[:-1]])
-    pair = MEAN[model.bloom.levels(bigrams(words.hash[before], words.hash[tokens]))]
-    level = words.level[before]
+    pair = words.model.bloom.levels(bigrams(words.hash[before], words.hash[tokens]))
     known = words.count[tokens]
-    own = np.where(known >= 0, known, MEAN[words.level[tokens]])
-    history = MEAN[level] - less
-    share = np.minimum(np.maximum(pair - less, 0) / np.maximum(history, 1), 1.0)
-    share[history <= 0] = 0
-    return share, (np.maximum(own - less, 0) + 0.1) / model.floor, np.where(history > 0, level, 0)
+    return pair.astype(np.uint8), words.level[before].astype(np.uint8), np.where(known >= 0, known, MEAN[words.level[tokens]])
+
+
+def _estimates(pair: np.ndarray, history: np.ndarray, own: np.ndarray, less: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Relative frequency after the history, unigram probability, and level of the history; `less` occurrences are
+    taken out of every count (leave-one-out)."""
+    among = MEAN[history] - less
+    share = np.minimum(np.maximum(MEAN[pair] - less, 0) / np.maximum(among, 1), 1.0)
+    share[among <= 0] = 0
+    return share, (np.maximum(own - less, 0) + 0.1) / floor, np.where(among > 0, history, 0)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def _fit_weights(texts: DataFrame, model) -> np.ndarray:
-    """Weight of the bigram for each history level: the best of GRID by leave-one-out likelihood over all texts."""
+def _columns(batch: pa.RecordBatch, k: int, size: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The probed levels and counts of some rows, behind one another."""
+    part = batch.slice(k, size)
+    return tuple(np.frombuffer(b"".join(part.column(n).to_pylist()), t) for n, t in (("pair", np.uint8), ("history", np.uint8), ("own", np.float32)))
+
+
+def _fit_weights(probed: DataFrame, floor: float) -> np.ndarray:
+    """Weight of the bigram for each history level: the best of GRID by leave-one-out likelihood over all training texts."""
     names = [f"g{i}" for i in range(len(GRID))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(model.value), np.zeros((LEVELS + 1, len(GRID)))
+        sums = np.zeros((LEVELS + 1, len(GRID)))
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                tokens, _ = words.of(batch.column(0).slice(k, 512).to_pylist())
-                share, single, level = _estimates(tokens, words, 1)
+            for k in range(0, batch.num_rows, 64):
+                share, single, level = _estimates(*_columns(batch, k, 64), 1, floor)
                 for j, g in enumerate(GRID):
-                    sums[:, j] += np.bincount(level, np.log10(g * share + (1 - g) * single), LEVELS + 1)
+                    sums[:, j] += np.bincount(level, np.log(g * share + (1 - g) * single), LEVELS + 1)
         used = np.flatnonzero(sums.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(sums[used, j]) for j in range(len(GRID))]], names=["level", *names])
 
-    rows = texts.mapInArrow(run, "level int, " + ", ".join(f"{n} double" for n in names))
+    rows = probed.where("not held_out").select("pair", "history", "own").mapInArrow(run, "level int, " + ", ".join(f"{n} double" for n in names))
     out = np.zeros(LEVELS + 1)
     for row in rows.groupBy("level").agg(*[F.sum(n).alias(n) for n in names]).collect():  # one row per level
         out[row["level"]] = GRID[int(np.argmax([row[n] for n in names]))] if row["level"] else 0
     return out
 
 
-def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[object, DataFrame, int, int, np.ndarray]:
-    """The broadcast model, exact word counts, the numbers of tokens and of different tokens, and the bigram weights."""
+def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[object, DataFrame, int, int]:
+    """The broadcast model, exact word counts, and the numbers of tokens and of different tokens."""
     sc = texts.sparkSession.sparkContext
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shift = max(5, int(chars // 6 // BUCKET_TOKENS).bit_length())
@@ -357,8 +372,7 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) ->
     parts = [(r["bucket"], bytes(r["segment"])) for r in segments.select("bucket", "segment").toLocalIterator()]  # at most filter_bytes
     model = Model(Filter(parts, shift), (keys[order], np.asarray(top.column("c")).astype(np.int64)[order]), total["n"], total["v"])
     del parts
-    first = sc.broadcast(model)
-    return first, words, total["n"], total["v"], _fit_weights(texts, first)
+    return sc.broadcast(model), words, total["n"], total["v"]
 
 
 def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
@@ -367,43 +381,61 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -
     Null and empty texts are the end token alone. Repeated rows are trained on and scored each for itself. Without
     training texts all counts are 0 and both scores follow from the smoothing alone. An empty table gives an empty result.
     """
-    model, words, n, v, weights = fit(docs.where(~held_out(F.col("doc_id"))).select("text"), filter_bytes, head)
+    model, words, n, v = fit(docs.where(~held_out(F.col("doc_id"))).select("text"), filter_bytes, head)
     kind = dict(docs.dtypes)["doc_id"]
     floor = n + 0.1 * (v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words(model.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 tokens, starts = table.of(part.column(1).to_pylist())
-                share, single, level = _estimates(tokens, table, 0)
-                weight = weights[level]
-                total = np.add.reduceat(np.log10(weight * share + (1 - weight) * single), starts)
+                pair, history, own = _probed(tokens, table)
+                own = own.astype(np.float32)
                 count = table.count[tokens]
-                sizes = np.diff(np.append(starts, len(tokens)))
+                ends = np.append(starts[1:], len(tokens))
                 base = np.add.reduceat(np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / floor), 0.0), starts)
                 known = np.add.reduceat((count > 0).astype(np.int64), starts)
-                doc = np.repeat(np.arange(len(starts)), sizes)
+                doc = np.repeat(np.arange(len(starts)), ends - starts)
                 rare = np.flatnonzero(count < 0)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(starts)))]).astype(np.int32)
-                hashes = table.hash[tokens[rare]].view(np.int64)
+                cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (pair, history, own)]
+                rare_words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.hash[tokens[rare]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(known), pa.array(base), pa.array(total),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))],
-                    names=["doc_id", "n_tokens", "known", "base", "score", "rare"],
-                )
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>")
-    scored = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+                    [part.column(0), pa.array(ends - starts), pa.array(known), pa.array(base), rare_words, *cut],
+                    names=["doc_id", "n_tokens", "known", "base", "rare", "pair", "history", "own"],
+                )
+
+    schema = f"doc_id {kind}, n_tokens long, known long, base double, rare array<long>, pair binary, history binary, own binary"
+    rows = docs.select("doc_id", "text").mapInArrow(probe, schema)
+    probed = stored(rows.withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out(F.col("doc_id"))}), "probed")
+    weights = _fit_weights(probed, floor)
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                share, single, level = _estimates(*_columns(batch, k, 64), 0, floor)
+                weight = weights[level]
+                part = batch.slice(k, 64)
+                starts = np.concatenate([[0], np.cumsum(part.column("n_tokens").to_numpy())[:-1]]).astype(np.int64)
+                total = np.add.reduceat(np.log10(weight * share + (1 - weight) * single), starts)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in ("doc_id", "held_out", "n_tokens", "known", "base", "row")], pa.array(total)],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "row", "score"],
+                )
+
+    columns = ["doc_id", "held_out", "n_tokens", "known", "base", "row", "pair", "history", "own"]
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, row long, score double"
+    scored = probed.select(columns).mapInArrow(mixed, schema)
+    rare = probed.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     term = F.col("times") * F.log10((c + F.lit(0.1)) / F.lit(floor))
     found = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum(term).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
     return scored.join(found, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
+        "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
     )

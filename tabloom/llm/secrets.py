@@ -165,8 +165,10 @@ def redact(text: str | None) -> str | None:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`, with secrets in `text` replaced; an integer column `n_chars` follows the text."""
-    names, schema = docs.columns, docs.schema
-    counted = any(f.name == "n_chars" and isinstance(f.dataType, T.IntegralType) for f in schema)
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow functions cannot take every column name
+    schema = docs.schema
+    counted = any(n == "n_chars" and isinstance(f.dataType, T.IntegralType) for n, f in zip(names, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,4 +182,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 arrays[names.index("n_chars")] = pa.array(new, n.type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)

@@ -27,7 +27,7 @@ ORDER, DECAY = 3, 0.6
 LANDMARKS = 24
 LANDMARK_LENGTH = 10
 #: Labelled documents of each class used for training.
-SAMPLE = 1_500
+SAMPLE = 800
 #: Negative sentences of each clean training document.
 NEGATIVES = 12
 ROUNDS = 3
@@ -149,7 +149,7 @@ class Model:
 
 
 def _grams(word: str) -> set[str]:
-    return {word[i : i + n] for n in range(4, 8) for i in range(len(word) - n + 1)}
+    return {word[i : i + n] for n in range(4, 7) for i in range(len(word) - n + 1)}
 
 
 def _around(word: str, part: str) -> set[str]:
@@ -161,15 +161,18 @@ def _around(word: str, part: str) -> set[str]:
 
 def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int) -> list[str]:
     """Strings that stand out in toxic documents, each once, and some common clean words beside them."""
-    grams = {w: _grams(w) for w in set().union(*toxic, *clean)}
     t, c = Counter(), Counter()
-    for seen, docs in ((t, toxic), (c, clean)):
-        for words in docs:
-            seen.update(set().union(*[grams[w] for w in words]))
+    for words in toxic:
+        t.update(set().union(*map(_grams, words)))
     ratio = len(toxic) / max(len(clean), 1)
     least = max(5, len(toxic) // 200)
-    strong = {g for g, n in t.items() if n >= least and n - c[g] * ratio > 4 * (c[g] * ratio + 1) ** 0.5}
-    of_word = {w: own for w, g in grams.items() if (own := g & strong)}
+    frequent = {g for g, n in t.items() if n >= least}
+    of_word = {w: _grams(w) & frequent for w in set().union(*toxic, *clean)}
+    for words in clean:
+        c.update(set().union(*[of_word[w] for w in words]))
+    strong = {g for g in frequent if t[g] - c[g] * ratio > 4 * (c[g] * ratio + 1) ** 0.5}
+    del t
+    of_word = {w: own for w, g in of_word.items() if (own := g & strong)}
     left = [{w for w in words if w in of_word} for words in toxic]
     chosen: list[str] = []
     for _ in range(count * 3 // 4):
@@ -218,7 +221,8 @@ def train(texts: list[str], labels: list[int], count: int = LANDMARKS, seed: int
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
-    forms = [[plain(w) for w in words] for words in split]
+    known: dict[str, str] = {}
+    forms = [[known.get(w) or known.setdefault(w, plain(w)) for w in words] for words in split]
     sets = [set(f) for f in forms]
     marks = pick_landmarks([s for s, v in zip(sets, y) if v], [s for s, v in zip(sets, y) if not v], count)
     if not marks:
