@@ -6,7 +6,7 @@ stripped of everything but letters and digits, and get a start mark. A word is d
 strings; whitening by the landmarks' own kernel matrix is the Nyström map, on which a linear machine with squared hinge
 loss is trained. A sentence is as toxic as its worst word. As labels belong to documents, the worst sentence of a toxic
 document is its positive example and the worst sentences of clean ones join the negatives, chosen anew in every round. A
-document scores as its worst sentence, through a logistic curve.
+document scores by its worst words and by how many lie on the toxic side, through a logistic curve.
 
 Training reads at most SAMPLE labelled documents of each class, the first in a seeded order; scoring reads every text.
 """
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from tabloom.llm.base import map_batches, stored
 
 ORDER, DECAY = 3, 0.6
-LANDMARKS = 24
+LANDMARKS = 28
+#: How many of them are ordinary words.
+COMMON = 4
 LANDMARK_LENGTH = 10
 #: Labelled documents of each class used for training.
 SAMPLE = 800
@@ -132,20 +134,27 @@ def sentence_starts(words: list[str]) -> np.ndarray:
     return np.array([0, *[e for e in ends if e < len(words)]], np.int64)
 
 
+def described(values: np.ndarray) -> list[float]:
+    """What a document's word margins say: the worst, the worst three, and how many lie on the toxic side."""
+    top = np.sort(np.partition(values, -3)[-3:])[::-1] if len(values) > 3 else np.sort(values)[::-1]
+    top = np.concatenate([top, np.full(3 - len(top), -1.0)])
+    over = np.maximum(values + 0.5, 0).sum()
+    return [top[0], top.mean(), np.log1p(over), np.log1p(over) / np.log1p(len(values) + 20)]
+
+
 @dataclass
 class Model:
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray
 
-    def margins(self, texts: list[list[str]], kernels: WordKernels) -> np.ndarray:
-        """Largest sentence margin of each text of words; a text without words has that of a word that matches nothing."""
-        return np.array([v.max() + self.bias if len(v) else self.bias for v in kernels.margins(texts)])
-
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -40, 40)))
+    def scores(self, texts: list[list[str]], kernels: WordKernels) -> np.ndarray:
+        """Probability of each text of words; a text without words has the features of one that matches nothing."""
+        if not texts:
+            return np.zeros(0)
+        x = np.array([[*described(v + self.bias), 1.0] for v in kernels.margins(texts)])
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -40, 40)))
 
 
 def _grams(word: str) -> set[str]:
@@ -174,23 +183,26 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int) ->
     del t
     of_word = {w: own for w, g in of_word.items() if (own := g & strong)}
     left = [{w for w in words if w in of_word} for words in toxic]
+    told = [0] * len(left)
     chosen: list[str] = []
-    for _ in range(count * 3 // 4):
+    for _ in range(count - COMMON):
         # documents explained least so far decide which string comes next
-        now = Counter()
-        for words in left:
-            now.update(set().union(*[of_word[w] for w in words]))
-        if not now:
-            break
-        best = max(now, key=lambda g: (now[g] / (1 + c[g] * ratio), len(g), g))
-        if now[best] < least:
+        now, weight = Counter(), Counter()
+        for words, k in zip(left, told):
+            for g in set().union(*[of_word[w] for w in words]):
+                now[g] += 1
+                weight[g] += 0.5**k
+        usable = [g for g in now if now[g] >= least]
+        if not usable:
             break
+        best = max(usable, key=lambda g: (weight[g] / (1 + c[g] * ratio), len(g), g))
         # the longest string around it that is nearly as frequent
         near = Counter()
         for words in left:
             near.update(set().union(*[_around(w, best) for w in words]))
         best = max((g for g in near if near[g] >= 0.8 * near[best]), key=lambda g: (len(g), near[g], g))
         chosen.append(best)
+        told = [k + any(best in w for w in words) for words, k in zip(left, told)]
         left = [{w for w in words if best not in w} for words in left]
     common = Counter()
     for words in clean:
@@ -260,9 +272,8 @@ def train(texts: list[str], labels: list[int], count: int = LANDMARKS, seed: int
         sign = np.concatenate([np.full(len(x), 1.0 if i < 2 else -1.0) for i, x in enumerate(sets_)])
         w = _fit(np.vstack(sets_), sign, np.concatenate([np.full(len(x), 0.25 / len(x)) for x in sets_]))
         value = z @ w[:-1] + w[-1]
-    margin = np.array([value[i].max() if len(i) else w[-1] for i in at])
-    slope, offset = _platt(margin, y)
-    return Model(marks, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), slope, offset)
+    features = np.array([described(value[i]) for i in at])
+    return Model(marks, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), _curve(features, y))
 
 
 def _bent(words: list[str], rng: np.random.Generator) -> list[str]:
@@ -284,20 +295,21 @@ def suggested(marks: list[str], sets: list[set[str]], y: np.ndarray) -> int:
     return len(marks)
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through margins, with Platt's smoothed targets."""
+def _curve(features: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Logistic curve over the features, with Platt's smoothed targets and a small penalty."""
     pos, neg = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.c_[margin, np.ones(len(margin))]
-    w = np.array([1.0, 0.0])
-    for _ in range(100):
+    x = np.c_[features, np.ones(len(y))]
+    penalty = ridge * np.diag([1.0] * features.shape[1] + [1e-3])
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target))
+        h = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (p - target) + penalty @ w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w
 
 
 _KEPT: dict[bytes, WordKernels] = {}
@@ -344,7 +356,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batch: dict[str, list], kernels: WordKernels | None) -> dict[str, list]:
         texts = [(t or "").split() for t in batch["text"]]
-        value = model.scores(model.margins(texts, kernels)) if model else np.zeros(len(texts))
+        value = model.scores(texts, kernels) if model else np.zeros(len(texts))
         return {"doc_id": batch["doc_id"], "score": value.tolist()}
 
     scored = map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, score double", run, make)

@@ -93,7 +93,7 @@ def test_gaps_are_tolerated():
     bad = [" ".join(rng.choices(usual, k=10) + ["idiot"] + rng.choices(usual, k=10)) + ". " for _ in range(80)]
     model = toxicity.train(texts + bad, [0] * 80 + [1] * 80, count=8)
     tables = toxicity.WordKernels(model.landmarks, model.weights)
-    score = lambda t: model.scores(model.margins([t.split()], tables))[0]
+    score = lambda t: model.scores([t.split()], tables)[0]
     assert score("what an idiot you are") > 0.7 and score("what an i.d.i.o.t") > 0.7 and score("the garden house") < 0.3
     assert score("what an idxiot") > score("the garden") and score("") < 0.3
 
