@@ -2,7 +2,7 @@
 
 The kernel of two words weighs their common subsequences of ORDER characters, gaps included, by DECAY to the length they
 span, and is normalized; so inserted or dropped characters weaken a match instead of ending it. Words are lower-cased,
-stripped of everything but letters and digits, and get a start mark. A word is described by its kernels with LANDMARKS
+stripped of everything but letters and digits, and get a start and an end mark. A word is described by its kernels with LANDMARKS
 strings; whitening by the landmarks' own kernel matrix is the Nyström map, on which a linear machine with squared hinge
 loss is trained. A sentence is as toxic as its worst word. As labels belong to documents, the worst sentence of a toxic
 document is its positive example and the worst sentences of clean ones join the negatives, chosen anew in every round. A
@@ -25,8 +25,8 @@ from tabloom.llm.base import map_batches, stored
 
 ORDER, DECAY = 3, 0.6
 LANDMARKS = 28
-#: How many of them are ordinary words.
-COMMON = 4
+#: How many of them are ordinary words, and how many are the clean words that a first machine takes for toxic ones.
+COMMON, HARD = 2, 6
 LANDMARK_LENGTH = 10
 #: Labelled documents of each class used for training.
 SAMPLE = 800
@@ -41,8 +41,8 @@ _ENDS = ".!?;:"
 
 
 def plain(word: str) -> str:
-    """Start mark and the letters and digits of a word."""
-    return "^" + _OTHER.sub("", word.lower())
+    """The letters and digits of a word between a start and an end mark."""
+    return "^" + _OTHER.sub("", word.lower()) + "$"
 
 
 def _spread(width: int) -> np.ndarray:
@@ -185,7 +185,7 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int) ->
     left = [{w for w in words if w in of_word} for words in toxic]
     told = [0] * len(left)
     chosen: list[str] = []
-    for _ in range(count - COMMON):
+    for _ in range(count - COMMON - HARD):
         # documents explained least so far decide which string comes next
         now, weight = Counter(), Counter()
         for words, k in zip(left, told):
@@ -207,7 +207,7 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int) ->
     common = Counter()
     for words in clean:
         common.update(w for w in words if 4 <= len(w) <= LANDMARK_LENGTH)
-    chosen += [w for w, _ in common.most_common(count) if w not in chosen][: count - len(chosen)]
+    chosen += [w for w, _ in common.most_common(count) if w not in chosen][: count - HARD - len(chosen)]
     return [w[:LANDMARK_LENGTH] for w in chosen]
 
 
@@ -239,13 +239,8 @@ def train(texts: list[str], labels: list[int], count: int = LANDMARKS, seed: int
     marks = pick_landmarks([s for s, v in zip(sets, y) if v], [s for s, v in zip(sets, y) if not v], count)
     if not marks:
         return None
-    kernels = WordKernels(marks)
-    own = kernels.of(marks).astype(np.float64)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    whiten = vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T
     vocabulary = sorted(set().union(*sets))
     place = {w: i for i, w in enumerate(vocabulary)}
-    z = kernels.of(vocabulary) @ whiten
     at = [np.array([place[f] for f in words], np.int64) for words in forms]
     starts = [sentence_starts(words) if words else None for words in split]
     rng = np.random.default_rng(seed)
@@ -258,20 +253,29 @@ def train(texts: list[str], labels: list[int], count: int = LANDMARKS, seed: int
         best = np.maximum.reduceat(v, starts[k])
         return np.unique([np.flatnonzero(v == top)[0] for top in np.sort(best)[::-1][:most]])
 
-    # before there is a machine, the word nearest to a landmark that toxic documents suggest
-    strange = kernels.of(vocabulary)[:, : suggested(marks, sets, y)]
-    value = strange.max(1) if strange.shape[1] else np.zeros(len(vocabulary))
     usual = np.unique(np.concatenate([at[k][rng.permutation(len(at[k]))[:NEGATIVES]] for k in clean]))
-    hard: list[np.ndarray] = []
-    w = np.zeros(len(marks) + 1)
-    for turn in range(ROUNDS + 1):
-        positive = np.concatenate([at[k][witnesses(k, value, 1)] for k in toxic])
-        hard += [at[k][witnesses(k, value, 1)] for k in clean]
-        bent = kernels.of(_bent([vocabulary[i] for i in np.unique(positive)], rng)) @ whiten
-        sets_ = [z[positive], bent, z[usual], z[np.concatenate(hard)]]
-        sign = np.concatenate([np.full(len(x), 1.0 if i < 2 else -1.0) for i, x in enumerate(sets_)])
-        w = _fit(np.vstack(sets_), sign, np.concatenate([np.full(len(x), 0.25 / len(x)) for x in sets_]))
-        value = z @ w[:-1] + w[-1]
+    start = WordKernels(marks).of(vocabulary)[:, : suggested(marks, sets, y)]
+    # before there is a machine, the word nearest to a landmark that toxic documents suggest
+    value = start.max(1) if start.shape[1] else np.zeros(len(vocabulary))
+    for again in range(2):
+        kernels = WordKernels(marks)
+        own = kernels.of(marks).astype(np.float64)
+        values, vectors = np.linalg.eigh((own + own.T) / 2)
+        whiten = vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T
+        z = kernels.of(vocabulary) @ whiten
+        hard: list[np.ndarray] = []
+        for turn in range(ROUNDS):
+            positive = np.concatenate([at[k][witnesses(k, value, 1)] for k in toxic])
+            hard += [at[k][witnesses(k, value, 1)] for k in clean]
+            bent = kernels.of(_bent([vocabulary[i] for i in np.unique(positive)], rng)) @ whiten
+            sets_ = [z[positive], bent, z[usual], z[np.concatenate(hard)]]
+            sign = np.concatenate([np.full(len(x), 1.0 if i < 2 else -1.0) for i, x in enumerate(sets_)])
+            w = _fit(np.vstack(sets_), sign, np.concatenate([np.full(len(x), 0.25 / len(x)) for x in sets_]))
+            value = z @ w[:-1] + w[-1]
+        if not again:
+            times = Counter(i for k in clean for i in np.unique(at[k]) if value[i] > 0)
+            marks = marks + [vocabulary[i][:LANDMARK_LENGTH] for i, _ in times.most_common(HARD)]
+            marks = list(dict.fromkeys(marks))
     features = np.array([described(value[i]) for i in at])
     return Model(marks, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), _curve(features, y))
 
