@@ -25,19 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.base import stored
-from tabloom.llm.shingles import WordHashes, mix, words_of
+from tabloom.llm.shingles import WordHashes, mix
 
 HELD_OUT_OF = 10
 BASE = 1.5
 LEVELS = 64
-BITS, PROBES = 12, 4
+BITS, PROBES = 10, 4
 FILTER_BYTES = 128 << 20
 HEAD = 1 << 20
 #: Tokens per bucket, and n-grams a task holds before it sends them on.
-BUCKET_TOKENS, HELD = 1_000_000, 1_500_000
+BUCKET_TOKENS, HELD = 1_000_000, 1_000_000
 CUTOFFS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 1 << 20]
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
-END = np.uint64(0x5BD1E995C0FFEE11)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = BASE ** np.arange(1, LEVELS)
 #: Middle of the counts that share a level.
@@ -89,7 +88,7 @@ class Filter:
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Quantised counts by repeated membership probes."""
         table = np.frombuffer(self.data, np.uint64)
-        out = np.zeros(len(hashes), np.int64)
+        out = np.zeros(len(hashes), np.uint8)
         for first in range(0, len(hashes), self.CHUNK):
             bucket, key = _parts(hashes[first : first + self.CHUNK], self.shift)
             start, size = self.start[bucket], self.size[bucket]
@@ -120,18 +119,19 @@ def _segment(bucket: int, keys: np.ndarray, counts: np.ndarray, cutoff: int) ->
     return words.tobytes()
 
 
-def _tokens(texts: list, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts behind one another, each text closed by END, and where each text begins."""
-    parts, starts, at = [], [], 0
-    for text in texts:
-        words = words_of(text)
-        row = np.empty(len(words) + 1, np.uint64)
-        row[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        row[-1] = END
-        parts.append(row)
-        starts.append(at)
-        at += len(row)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(starts, np.int64)
+#: Stands for END among the words of joined texts; this byte occurs in no UTF-8 text.
+_MARK = b"\xff"
+END = WordHashes()[_MARK]
+
+
+def _split(texts: list) -> list[bytes]:
+    """Lower-cased words of all texts behind one another, each text closed by the mark."""
+    return (b" \xff ".join([t.encode("utf-8", "replace") if t else b"" for t in texts]) + b" \xff").lower().split() if texts else []
+
+
+def _tokens(texts: list, hashes: WordHashes) -> np.ndarray:
+    """Token hashes of all texts behind one another, each text closed by END."""
+    return hashes.of(_split(texts))
 
 
 def _histories(tokens: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def partial_counts(texts: DataFrame, shift: int) -> DataFrame:
 
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                tokens, _ = _tokens(batch.column(0).slice(k, 512).to_pylist(), hashes)
+                tokens = _tokens(batch.column(0).slice(k, 512).to_pylist(), hashes)
                 waiting[1].append(tokens)
                 waiting[2].append(bigrams(_histories(tokens), tokens))
                 size += len(tokens)
@@ -254,47 +254,53 @@ class Model:
         self.head = head
 
 
+class _Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        at = self[word] = len(self)
+        return at
+
+
 class Words:
-    """Hash, exact count (-1: not among the head) and level of each word seen so far, in tables of bounded size."""
+    """Hash, exact count (-1: not among the head), level and base term of each word seen so far, in tables of bounded
+    size. END has place 0."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, model: Model) -> None:
-        self.model, self.hashes = model, WordHashes()
-        self.hashes.LIMIT = 1 << 60
+        self.model = model
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.hash, self.count, self.level = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._add([])
-
-    def _add(self, fresh: list[bytes]) -> None:
-        h = self.hashes.of(fresh)
-        self.hashes.clear()
-        if not len(self.hash):
-            h = np.concatenate([[END], h]).astype(np.uint64)
+        self.place = _Places({_MARK: 0})
+        self.place.fresh = []
+        self.used = 0
+        self.hash, self.count, self.level = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.uint8)
+        self._add(np.array([END], np.uint64))
+
+    def _add(self, h: np.ndarray) -> None:
         keys, counts = self.model.head
         at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
         count = np.where(keys[at] == h, counts[at], -1) if len(keys) else np.full(len(h), -1)
-        self.hash, self.count = np.concatenate([self.hash, h]), np.concatenate([self.count, count])
-        self.level = np.concatenate([self.level, self.model.bloom.levels(h)])
+        end = self.used + len(h)
+        if end > len(self.hash):
+            room = max(end, 2 * len(self.hash))
+            self.hash, self.count, self.level = (np.resize(x, room) for x in (self.hash, self.count, self.level))
+        self.hash[self.used : end], self.count[self.used : end], self.level[self.used : end] = h, count, self.model.bloom.levels(h)
+        self.used = end
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the tokens of all texts (END is 0) and where each text begins."""
-        if len(self.place) > self.LIMIT:
+        """Places of the tokens of all texts and where each text begins."""
+        if self.used > self.LIMIT:
             self._reset()
-        place = self.place
-        split = [words_of(t) for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in place))
-        if fresh:
-            first = len(place) + 1
-            self._add(fresh)
-            place.update((w, first + i) for i, w in enumerate(fresh))
-        parts = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in split]
-        sizes = np.array([len(p) + 1 for p in parts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        return np.concatenate([x for p in parts for x in (p, [0])]).astype(np.int64), starts
+        words = _split(texts)
+        tokens = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if self.place.fresh:
+            self._add(WordHashes().of(self.place.fresh))
+            self.place.fresh = []
+        return tokens, np.concatenate([[0], np.flatnonzero(tokens == 0)[:-1] + 1]) if len(tokens) else tokens
 
 
 def _probed(tokens: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,7 +308,7 @@ def _probed(tokens: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, n
     before = np.concatenate([[0], tokens[:-1]])
     pair = words.model.bloom.levels(bigrams(words.hash[before], words.hash[tokens]))
     known = words.count[tokens]
-    return pair.astype(np.uint8), words.level[before].astype(np.uint8), np.where(known >= 0, known, MEAN[words.level[tokens]])
+    return pair.astype(np.uint8), words.level[before], np.where(known >= 0, known, MEAN[words.level[tokens]])
 
 
 def _estimates(pair: np.ndarray, history: np.ndarray, own: np.ndarray, less: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -388,14 +394,15 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words(model.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
                 tokens, starts = table.of(part.column(1).to_pylist())
                 pair, history, own = _probed(tokens, table)
                 own = own.astype(np.float32)
                 count = table.count[tokens]
                 ends = np.append(starts[1:], len(tokens))
-                base = np.add.reduceat(np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / floor), 0.0), starts)
+                terms = np.where(table.count >= 0, np.log10((np.maximum(table.count, 0) + 0.1) / floor), 0.0)
+                base = np.add.reduceat(terms[tokens], starts)
                 known = np.add.reduceat((count > 0).astype(np.int64), starts)
                 doc = np.repeat(np.arange(len(starts)), ends - starts)
                 rare = np.flatnonzero(count < 0)
