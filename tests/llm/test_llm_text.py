@@ -88,14 +88,15 @@ def test_held_out_accuracy(spark):
 
 def test_gaps_are_tolerated():
     rng = random.Random(1)
-    usual = ["house", "garden", "river", "winter", "paper", "light", "morning", "stone"]
+    usual = ["house", "garden", "river", "winter", "paper", "light", "morning", "stone", "what", "an", "you", "are", "the"]
     texts = [" ".join(rng.choices(usual, k=20)) + ". " for _ in range(80)]
-    bad = [" ".join(rng.choices(usual, k=10) + ["idiot"] + rng.choices(usual, k=10)) + ". " for _ in range(80)]
-    model = toxicity.train(texts + bad, [0] * 80 + [1] * 80, count=8)
+    insult = lambda: [rng.choice(["idiot", "moron"])]
+    bad = [" ".join(rng.choices(usual, k=10) + insult() + rng.choices(usual, k=10)) + ". " for _ in range(80)]
+    model = toxicity.train(texts + bad, [0] * 80 + [1] * 80, count=16)
     tables = toxicity.WordKernels(model.landmarks, model.weights)
     score = lambda t: model.scores([t.split()], tables)[0]
     assert score("what an idiot you are") > 0.7 and score("what an i.d.i.o.t") > 0.7 and score("the garden house") < 0.3
-    assert score("what an idxiot") > score("the garden") and score("") < 0.3
+    assert score("what an idxiot") > 0.7 and score("") < 0.3
 
 
 def test_toxicity_of_odd_tables(edges, nothing, spark):
