@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.base import stored
+from tabloom.llm.base import small_batches, stored
 from tabloom.llm.shingles import WordHashes, mix
 
 HELD_OUT_OF = 10
@@ -197,8 +197,11 @@ def partial_counts(texts: DataFrame, shift: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
 
 
-def merged_counts(partial: DataFrame, shift: int, cutoff: int) -> DataFrame:
-    """Per bucket: its filter segment, the entries it would have at each cutoff, and its exact word counts as bytes."""
+def merged_counts(partial: DataFrame, shift: int, cutoff: int, common: int) -> DataFrame:
+    """Per bucket: its filter segment and the entries it would have at each cutoff.
+
+    Words seen `common` times and more stay out of the filter, as their exact counts are broadcast.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -219,22 +222,21 @@ def merged_counts(partial: DataFrame, shift: int, cutoff: int) -> DataFrame:
             else:
                 exact[kind] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         words, pairs = exact[1], exact[2]
-        all_keys = np.concatenate([_parts(words[0], shift)[1], pairs[0]])
-        all_counts = np.concatenate([words[1], pairs[1]])
+        rare = words[1] < common
+        all_keys = np.concatenate([_parts(words[0][rare], shift)[1], pairs[0]])
+        all_counts = np.concatenate([words[1][rare], pairs[1]])
         levels = level_of(all_counts)
         return pa.table({
             "bucket": pa.array([bucket], pa.int32()),
             "segment": pa.array([_segment(bucket, all_keys, all_counts, cutoff)], pa.binary()),
             "entries": pa.array([[int(levels[all_counts >= c].sum()) for c in CUTOFFS]], pa.list_(pa.int64())),
-            "words": pa.array([words[0].astype("<u8").tobytes()], pa.binary()),
-            "times": pa.array([words[1].astype("<u8").tobytes()], pa.binary()),
         })
 
-    schema = "bucket int, segment binary, entries array<long>, words binary, times binary"
+    schema = "bucket int, segment binary, entries array<long>"
     return stored(partial.groupBy("bucket").applyInArrow(run, schema), "segments")
 
 
-def _word_counts(segments: DataFrame) -> DataFrame:
+def _word_counts(partial: DataFrame) -> DataFrame:
     """Exact (word hash, count) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,8 @@ def _word_counts(segments: DataFrame) -> DataFrame:
                 columns = [pa.array(np.frombuffer(x, "<i8")) for x in (words, times)]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "c"])
 
-    return stored(segments.select("words", "times").mapInArrow(run, "word long, c long"), "words")
+    rows = partial.where("kind = 1").select("keys", "counts").mapInArrow(run, "word long, c long")
+    return stored(rows.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
 class Model:
@@ -288,7 +291,8 @@ class Words:
         if end > len(self.hash):
             room = max(end, 2 * len(self.hash))
             self.hash, self.count, self.level = (np.resize(x, room) for x in (self.hash, self.count, self.level))
-        self.hash[self.used : end], self.count[self.used : end], self.level[self.used : end] = h, count, self.model.bloom.levels(h)
+        level = np.where(count > 0, level_of(np.maximum(count, 0)), self.model.bloom.levels(h))
+        self.hash[self.used : end], self.count[self.used : end], self.level[self.used : end] = h, count, level
         self.used = end
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -356,13 +360,10 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) ->
     sc = texts.sparkSession.sparkContext
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shift = max(5, int(chars // 6 // BUCKET_TOKENS).bit_length())
-    partial = stored(partial_counts(texts, shift), "partial")
-    segments = merged_counts(partial, shift, 1)
-    sizes = segments.select([F.sum(F.col("entries")[i]).alias(str(c)) for i, c in enumerate(CUTOFFS)]).first()
-    fits = next((c for i, c in enumerate(CUTOFFS) if (sizes[i] or 0) * BITS <= 8 * filter_bytes), CUTOFFS[-1])
-    if fits > 1:
-        segments = merged_counts(partial, shift, fits)
-    words = _word_counts(segments)
+    with small_batches(texts.sparkSession):
+        partial = stored(partial_counts(texts, shift), "partial")
+    # words need their exact counts first; the filter of every cutoff follows from the same partial counts
+    words = _word_counts(partial)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # powers of two bound how many words have at least a count
     rows = words.groupBy(F.length(F.bin("c")).alias("p")).count().collect()
@@ -372,6 +373,11 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) ->
         if room < 0:
             break
         least = 1 << (row["p"] - 1)
+    segments = merged_counts(partial, shift, 1, least)
+    sizes = segments.select([F.sum(F.col("entries")[i]).alias(str(c)) for i, c in enumerate(CUTOFFS)]).first()
+    fits = next((c for i, c in enumerate(CUTOFFS) if (sizes[i] or 0) * BITS <= 8 * filter_bytes), CUTOFFS[-1])
+    if fits > 1:
+        segments = merged_counts(partial, shift, fits, least)
     top = words.where(F.col("c") >= least).toArrow()  # at most `head` rows
     keys = np.asarray(top.column("word")).astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -394,8 +400,8 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words(model.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
                 tokens, starts = table.of(part.column(1).to_pylist())
                 pair, history, own = _probed(tokens, table)
                 own = own.astype(np.float32)
@@ -416,7 +422,8 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -
 
     schema = f"doc_id {kind}, n_tokens long, known long, base double, rare array<long>, pair binary, history binary, own binary"
     rows = docs.select("doc_id", "text").mapInArrow(probe, schema)
-    probed = stored(rows.withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out(F.col("doc_id"))}), "probed")
+    with small_batches(docs.sparkSession):
+        probed = stored(rows.withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out(F.col("doc_id"))}), "probed")
     weights = _fit_weights(probed, floor)
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
