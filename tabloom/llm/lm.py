@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.base import small_batches, stored
+from tabloom.llm.base import forget, small_batches, stored
 from tabloom.llm.shingles import WordHashes, mix
 
 HELD_OUT_OF = 10
@@ -34,7 +34,7 @@ BITS, PROBES = 10, 4
 FILTER_BYTES = 128 << 20
 HEAD = 1 << 20
 #: Tokens per bucket, and n-grams a task holds before it sends them on.
-BUCKET_TOKENS, HELD = 1_000_000, 1_000_000
+BUCKET_TOKENS, HELD = 1_000_000, 600_000
 CUTOFFS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 1 << 20]
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -270,7 +270,7 @@ class Words:
     """Hash, exact count (-1: not among the head), level and base term of each word seen so far, in tables of bounded
     size. END has place 0."""
 
-    LIMIT = 200_000
+    LIMIT = 120_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -377,13 +377,16 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) ->
     sizes = segments.select([F.sum(F.col("entries")[i]).alias(str(c)) for i, c in enumerate(CUTOFFS)]).first()
     fits = next((c for i, c in enumerate(CUTOFFS) if (sizes[i] or 0) * BITS <= 8 * filter_bytes), CUTOFFS[-1])
     if fits > 1:
+        forget(segments)
         segments = merged_counts(partial, shift, fits, least)
+    forget(partial)
     top = words.where(F.col("c") >= least).toArrow()  # at most `head` rows
     keys = np.asarray(top.column("word")).astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     parts = [(r["bucket"], bytes(r["segment"])) for r in segments.select("bucket", "segment").toLocalIterator()]  # at most filter_bytes
     model = Model(Filter(parts, shift), (keys[order], np.asarray(top.column("c")).astype(np.int64)[order]), total["n"], total["v"])
     del parts
+    forget(segments)
     return sc.broadcast(model), words, total["n"], total["v"]
 
 
