@@ -18,8 +18,8 @@ from tabloom.session import beside, checkpointed, maybe_broadcast, values_frame
 
 K_RANGE = (2, 10)
 RESTARTS = 10
-SEED_ROWS = 4_096  # rows the k-means++ starts are drawn from; every pass reads all rows
-MAX_PASSES = 100
+SEED_ROUNDS = 5  # oversampling rounds over all rows before the k-means++ starts
+MAX_PASSES = 300
 
 
 def scaled_vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -30,27 +30,48 @@ def scaled_vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 # ---- k-means ----
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    centers = [x[rng.integers(len(x))]]
+def _plus_plus(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    centers = [x[rng.choice(len(x), p=weight / weight.sum())]]
     d2 = ((x - centers[0]) ** 2).sum(axis=1)
     for _ in range(k - 1):
-        p = d2 / d2.sum() if d2.sum() > 0 else None
+        mass = d2 * weight
+        p = mass / mass.sum() if mass.sum() > 0 else None
         centers.append(x[rng.choice(len(x), p=p)])
         d2 = np.minimum(d2, ((x - centers[-1]) ** 2).sum(axis=1))
     return np.array(centers)
 
 
+def _candidates(points: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start candidates and how many rows each stands for, by k-means||.
+
+    Every round reads all rows and keeps each with probability `size` times its share of the squared distance to the
+    candidates so far; about `size` rows a round are expected, whatever the number of rows.
+    """
+    first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).toPandas()
+    found = _matrix(first["v"])
+    for turn in range(SEED_ROUNDS):
+        near = points.select("id", "v", nearest_distance(F.col("v"), found).alias("d2"))
+        total = near.agg(F.sum("d2")).first()[0]
+        if not total:
+            break
+        u = F.pmod(F.xxhash64("id", F.lit(seed + 1 + turn)), F.lit(1 << 40)) / float(1 << 40)
+        found = np.concatenate([found, _matrix(near.where(u < F.col("d2") * (size / total)).toPandas()["v"])]) if total else found
+    counts = {r["label"]: r["count"] for r in points.groupBy(nearest_center(F.col("v"), found).alias("label")).count().collect()}
+    return found, np.array([counts.get(i, 0) for i in range(len(found))], dtype=float)
+
+
 def kmeans_runs(points: DataFrame, ks: list[int], restarts: int = RESTARTS, seed: int = 42, tol: float = 1e-4) -> dict[int, tuple[float, np.ndarray]]:
     """{k: (inertia, centers)} of the best restart per k.
 
     All runs of all k share each pass over the data: tasks send back one partial sum
     per center, the driver holds only the centers.
     """
-    start = _matrix(points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SEED_ROWS).toPandas()["v"])
+    start, weight = _candidates(points, 2 * max(ks), seed)
     rng = np.random.default_rng(seed)
-    runs = [(k, _plus_plus(start, k, rng)) for k in ks for _ in range(restarts)]
+    runs = [(k, _plus_plus(start, weight, k, rng)) for k in ks for _ in range(restarts)]
     inertia = [math.inf] * len(runs)
-    limit = tol * float(start.var(axis=0).mean())
+    spread = points.agg(F.array(*[F.var_pop(F.col("v")[i]) for i in range(start.shape[1])]).alias("v")).first()["v"]
+    limit = tol * float(np.mean(spread))
     live = list(range(len(runs)))
     for _ in range(MAX_PASSES):
         sums = _pass(points, {r: runs[r][1] for r in live})
@@ -112,14 +133,23 @@ def _pass(points: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[
     return {r: tuple(a) for r, a in out.items()}
 
 
+def _closest(v: Column, centers: np.ndarray) -> Column:
+    """(d, i): squared distance and index of the closest center, as a JVM expression; ties to the lower index."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+
+    def measure(c: Column, i: Column) -> Column:
+        d = F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        return F.struct(d.alias("d"), i.cast("int").alias("i"))
+
+    return F.array_min(F.transform(table, measure))
+
+
 def nearest_center(v: Column, centers: np.ndarray) -> Column:
-    """Index of the closest center, as a JVM expression; ties to the lower index."""
-    spots = []
-    for i, c in enumerate(centers):
-        target = F.array(*[F.lit(float(x)) for x in c])
-        d = F.aggregate(F.zip_with(v, target, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        spots.append(F.struct(d.alias("d"), F.lit(i).alias("i")))
-    return F.array_min(F.array(*spots))["i"]
+    return _closest(v, centers)["i"]
+
+
+def nearest_distance(v: Column, centers: np.ndarray) -> Column:
+    return _closest(v, centers)["d"]
 
 
 def cluster_assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -128,9 +158,9 @@ def cluster_assign(points: DataFrame, centers: np.ndarray) -> DataFrame:
 
 def kmeans_sweep(
     points: DataFrame, k_range: tuple[int, int] = K_RANGE, restarts: int = RESTARTS, seed: int = 42,
-    include_dbscan: bool = False, eps: float = 0.5, min_samples: int = 5,
+    include_dbscan: bool = True, eps: float = 0.5, min_samples: int = 5,
 ) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """Model table (model, n_clusters, inertia, silhouette, calinski_harabasz, davies_bouldin, best) and the centers.
+    """Model table (model, n_clusters, inertia, silhouette, calinski_harabasz, davies_bouldin, n_noise, best) and the centers.
 
     The silhouettes of all k come from one blocked pass over the pairs.
     """
@@ -150,9 +180,12 @@ def kmeans_sweep(
     table = labelled.select("id", "v", F.array(*[f"l{i}" for i in range(len(names))]).alias("labels")).persist()
     scores = silhouette(table, len(names))
     shape = cluster_shape(table, len(names))
+    noise = table.select(F.posexplode("labels").alias("labeling", "label")).groupBy("labeling").agg(
+        F.count_if(F.col("label") < 0).alias("n_noise"))  # one row per model
     meta = values_frame(points.sparkSession, list(zip(range(len(names)), names, inertias)), "labeling int, model string, inertia double")
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("silhouette"), "labeling")  # one row per model
-    out = meta.join(F.broadcast(scores), "labeling", "left").join(F.broadcast(shape), "labeling", "left")
+    out = meta.join(F.broadcast(scores), "labeling", "left").join(F.broadcast(shape), "labeling", "left").join(
+        F.broadcast(noise), "labeling", "left")
     out = out.withColumns({"silhouette": F.coalesce("silhouette", F.lit(-1.0)), "calinski_harabasz": F.coalesce("calinski_harabasz", F.lit(0.0)),
                            "davies_bouldin": F.coalesce("davies_bouldin", F.lit(float("inf"))), "n_clusters": F.coalesce("n_clusters", F.lit(0))})
     return out.withColumn("best", F.row_number().over(w) == 1).drop("labeling"), {k: c for k, (_, c) in runs.items()}
@@ -220,7 +253,8 @@ def cluster_shape(points: DataFrame, labelings: int = 1) -> DataFrame:
 
 # ---- DBSCAN ----
 
-MAX_DIMS = 4
+#: Cells around a cell are looked up by the coordinates of the first columns; the others are compared after the join.
+GRID_COLUMNS = {1: 1, 2: 2, 3: 3, 4: 4}
 
 
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -232,8 +266,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
     full cells are linked by comparing bounding boxes of ever smaller parts.
     """
     d = len(columns)
-    if d > MAX_DIMS:
-        raise ValueError(f"DBSCAN grid supports up to {MAX_DIMS} columns, got {d}; project the data first")
+    k = GRID_COLUMNS.get(d, 2)
     side = eps / math.sqrt(d) * (1 - 1e-9)
     xs = [f"x{i}" for i in range(d)]
     cs = [f"c{i}" for i in range(d)]
@@ -244,17 +277,17 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
     pts = checkpointed(pts.join(maybe_broadcast(sizes.select(*cs, "full")), cs))
 
     reach = math.ceil(math.sqrt(d))
-    steps = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if sum(max(abs(v) - 1, 0) ** 2 for v in o) < d]
+    steps = [o for o in itertools.product(range(-reach, reach + 1), repeat=k) if sum(max(abs(v) - 1, 0) ** 2 for v in o) < d]
     offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in steps])
-    shifted = [(F.col(c) + F.col("o")[i]).alias(c) for i, c in enumerate(cs)]
+    shifted = [(F.col(c) + F.col("o")[i]).alias(c) for i, c in enumerate(cs[:k])]
 
     # sparse rows against the rows of the cells around them
     sparse = pts.where(~F.col("full"))
     probes = sparse.withColumn("o", F.explode(offsets)).select(
         F.col("id").alias("p"), *[F.col(x).alias(f"p{x}") for x in xs], *shifted)
-    probes = probes.join(maybe_broadcast(sizes.select(*cs)), cs, "left_semi")
+    probes = probes.join(maybe_broadcast(sizes.select(*cs[:k]).distinct()), cs[:k], "left_semi")
     close = sum(((F.col(x) - F.col(f"p{x}")) * (F.col(x) - F.col(f"p{x}")) for x in xs), F.lit(0.0)) <= eps * eps
-    met = pts.join(probes, cs).where(close)
+    met = pts.join(probes, cs[:k]).where(close)
     # partial counts per full cell, single rows from sparse cells
     near = met.groupBy("p", "full", *cs, F.when(~F.col("full"), F.col("id")).alias("q")).agg(F.count("*").alias("n"))
     near = checkpointed(near)
@@ -268,7 +301,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
     to_cell = from_core.where("full").join(maybe_broadcast(full), cs).select(row_node("p").alias("a"), cell_node.alias("b"))
     to_row = from_core.where("NOT full").join(maybe_broadcast(core), F.col("q") == core["id"], "left_semi").select(
         row_node("p").alias("a"), row_node("q").alias("b"))
-    links = _cell_links(pts.where("full"), full, offsets, shifted, cs, xs, side, eps)
+    links = _cell_links(pts.where("full"), full, offsets, shifted, cs, k, xs, side, eps)
     edges = to_cell.unionByName(to_row).unionByName(links)
     nodes = full.select(cell_node.alias("a"), F.col("low_id").alias("first")).unionByName(
         core.select(row_node("id").alias("a"), F.col("id").alias("first")))
@@ -289,13 +322,14 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
         F.col("id").alias(key), F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
-def _cell_links(points, full, offsets, shifted, cs, xs, side, eps) -> DataFrame:
+def _cell_links(points, full, offsets, shifted, cs, k, xs, side, eps) -> DataFrame:
     """Edges between full cells whose closest rows are within eps."""
     spark = points.sparkSession
     ordered = F.struct(*cs)
     far = full.withColumn("o", F.explode(offsets)).select(
         F.col("low_id").alias("a"), F.struct(*cs).alias("own"), *shifted)
-    pairs = far.join(full, cs).where(F.col("own") < ordered).select("a", F.col("low_id").alias("b"))
+    gap = sum((F.pow(F.greatest(F.abs(F.col(f"own.{c}") - F.col(c)) - 1, F.lit(0)), F.lit(2)) for c in cs), F.lit(0.0))
+    pairs = far.join(full, cs[:k]).where((F.col("own") < ordered) & (gap < len(cs))).select("a", F.col("low_id").alias("b"))
     edge_schema = "a struct<kind:int,id:bigint>, b struct<kind:int,id:bigint>"
     node = lambda c: F.struct(F.lit(0).alias("kind"), F.col(c).cast("bigint").alias("id"))
     owned = checkpointed(points.join(maybe_broadcast(full), cs).select(F.col("low_id").alias("cell"), *xs))

@@ -20,7 +20,7 @@ from tabloom.functions.cells import is_numeric
 from tabloom.functions.gram import cross_products, ols, solve_each
 from tabloom.functions.ordering import framed
 from tabloom.operators import evaluate
-from tabloom.session import maybe_broadcast
+from tabloom.session import checkpointed, maybe_broadcast
 
 MAX_P, MAX_Q, MAX_D = 5, 5, 2
 LONG_AR = 12
@@ -28,6 +28,15 @@ LONG_AR = 12
 ADF_5_PERCENT = -2.86154
 
 
+def _beside_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls included; `b` has one row per key."""
+    b = b.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return a.join(b, on, how).drop(*[f"__key_{k}" for k in keys])
+
+
 def _lags(w, column: str, upto: int) -> list[Column]:
     return [F.lag(column, k).over(w) for k in range(1, upto + 1)]
 
@@ -37,11 +46,14 @@ def _lags(w, column: str, upto: int) -> list[Column]:
 def adf_order(df: DataFrame, keys: list[str], time: str, y: str, max_d: int = MAX_D) -> DataFrame:
     """(keys..., d, stat0.., lag0..): smallest d whose lag-d difference has no unit root, else max_d.
 
-    The lag length is chosen by AIC from 0 up to the usual length for the series.
+    The lag length is chosen by AIC from 0 up to the usual length for the series' own row count; lags beyond it are set
+    to zero, so that they cost the series no rows. A series too short for any statistic keeps order 0.
     """
-    n = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    longest = max(1, int(12 * (n / 100) ** 0.25))
-    out = None
+    sizes = checkpointed(df.groupBy(*keys).agg(F.count("*").alias("__n"))).withColumn(
+        "__longest", F.greatest(F.lit(1), F.floor(12 * F.pow(F.col("__n") / 100, F.lit(0.25)))).cast("int"))
+    longest = sizes.agg(F.max("__longest")).first()[0] or 1
+    df = _beside_keys(df, maybe_broadcast(sizes.drop("__n")), keys)
+    out = sizes.select(*keys)
     for d in range(max_d + 1):
         if d:
             base = framed(df, keys, [time], d, 0, lambda w, d=d: {"__x": F.col(y) - F.lag(y, d).over(w)}).where(F.col("__x").isNotNull())
@@ -49,20 +61,22 @@ def adf_order(df: DataFrame, keys: list[str], time: str, y: str, max_d: int = MA
             base = df.where(F.col(y).isNotNull()).withColumn("__x", F.col(y).cast("double"))
         wide = framed(base, keys, [time], longest + 1, 0, lambda w: {
             "__row": F.array(F.lit(1.0), F.lag("__x", 1).over(w), *[
-                F.lag("__x", k).over(w) - F.lag("__x", k + 1).over(w) for k in range(1, longest + 1)],
+                F.when(F.col("__longest") < k, 0.0).otherwise(F.lag("__x", k).over(w) - F.lag("__x", k + 1).over(w))
+                for k in range(1, longest + 1)],
                 F.col("__x") - F.lag("__x", 1).over(w))})
         stats = solve_each(cross_products(wide, keys, "__row"), keys, _adf_stat, "stat double, lag int")
         stats = stats.select(*keys, F.col("stat").alias(f"stat{d}"), F.col("lag").alias(f"lag{d}"))
-        out = stats if out is None else out.join(stats, keys, "left")
+        out = _beside_keys(out, stats, keys, "left")
     rule = F.lit(None)
     for d in range(max_d + 1):
-        rule = F.when(F.col("stat0") < ADF_5_PERCENT, 0) if d == 0 else rule.when(F.col(f"stat{d}") < ADF_5_PERCENT, d)
+        rule = F.when(F.col("stat0").isNull() | (F.col("stat0") < ADF_5_PERCENT), 0) if d == 0 else rule.when(F.col(f"stat{d}") < ADF_5_PERCENT, d)
     return out.withColumn("d", rule.otherwise(max_d))
 
 
 def _adf_stat(g: np.ndarray, row: dict) -> list[dict]:
     n = g[0, 0]
-    longest = min(len(g) - 3, max(0, int(12 * (n / 100) ** 0.25)), max(0, int(n) // 2 - 4))
+    used = int(np.count_nonzero(np.diag(g)[2:-1]))  # lags beyond the series' own length are all zero
+    longest = min(used, max(0, int(12 * (n / 100) ** 0.25)), max(0, int(n) // 2 - 4))
     best = None
     for lag in range(longest + 1):
         use = list(range(2 + lag))
@@ -86,12 +100,19 @@ def difference(df: DataFrame, keys: list[str], time: str, y: str, orders: DataFr
 
 
 def with_innovations(z: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Add `e`, the residual of a long autoregression of z."""
-    wide = framed(z, keys, [time], LONG_AR, 0, lambda w: {"__lags": F.array(F.lit(1.0), *_lags(w, "z", LONG_AR))})
+    """Add `e`, the residual of an autoregression of z over LONG_AR lags, or a third of the rows of a shorter series."""
+    sizes = checkpointed(z.groupBy(*keys).agg(F.greatest(F.lit(1), F.least(F.lit(LONG_AR), F.floor(F.count("*") / 3))).cast("int").alias("__reach")))
+    z = z.join(maybe_broadcast(sizes), keys)
+    wide = framed(z, keys, [time], LONG_AR, 0, lambda w: {"__lags": F.array(F.lit(1.0), *[
+        F.when(F.col("__reach") < k, 0.0).otherwise(lag.cast("double")) for k, lag in enumerate(_lags(w, "z", LONG_AR), 1)])})
+    wide = wide.drop("__reach")
     rows = wide.withColumn("__row", F.concat("__lags", F.array("z")))
 
     def solve(g: np.ndarray, row: dict) -> list[dict]:
-        return [{"ar": ols(g, list(range(len(g) - 1)))[0].tolist()}]
+        use = [i for i in range(len(g) - 1) if g[i, i] > 0]
+        ar = np.zeros(len(g) - 1)
+        ar[use] = ols(g, use)[0]
+        return [{"ar": ar.tolist()}]
 
     fits = solve_each(cross_products(rows, keys, "__row"), keys, solve, "ar array<double>")
     joined = wide.join(maybe_broadcast(fits), keys)
@@ -201,17 +222,26 @@ SEASON_SCALE, CHANGEPOINT_SCALE = 10.0, 0.05
 INTERVAL = 0.8
 
 
-def auto_seasons(df: DataFrame, keys: list[str], time: str) -> list[str]:
-    """Seasonalities the data can show: long enough and dense enough."""
+def season_flags(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """(keys..., __yearly, __weekly, __daily): seasonalities each series can show, being long and dense enough."""
     day = 86_400_000_000
-    spans = df.groupBy(*keys).agg(((F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / day).alias("days"), F.count("*").alias("n"))
-    r = spans.agg(F.max("days").alias("days"), F.min(F.try_divide("days", F.col("n") - 1)).alias("gap")).first()
-    days, gap = r["days"] or 0, r["gap"] if r["gap"] is not None else 1e9
-    return [s for s, need, widest in (("yearly", 730, 365), ("weekly", 14, 7), ("daily", 2, 1)) if days >= need and gap < widest]
+    spans = df.groupBy(*keys).agg(((F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / day).alias("__days"), F.count("*").alias("__n"))
+    gap = F.coalesce(F.try_divide("__days", F.col("__n") - 1), F.lit(1e9))
+    rules = (("yearly", 730, 365), ("weekly", 14, 7), ("daily", 2, 1))
+    return spans.select(*keys, *[((F.col("__days") >= need) & (gap < widest)).alias(f"__{s}") for s, need, widest in rules])
+
+
+def auto_seasons(df: DataFrame, keys: list[str], time: str) -> list[str]:
+    """Seasonalities that at least one series can show."""
+    r = season_flags(df, keys, time).agg(*[F.max(f"__{s}").alias(s) for s in SEASONS]).first()
+    return [s for s in SEASONS if r[s]]
 
 
-def _design(time: str, seasons: list[str], extra: list[str]) -> tuple[Column, dict[str, tuple[int, int]]]:
-    """Design row as an array expression and the slice (from 1, length) of each part; needs `__start` and `__end`."""
+def _design(time: str, seasons: list[str], extra: list[str], flagged: bool = False) -> tuple[Column, dict[str, tuple[int, int]]]:
+    """Design row as an array expression and the slice (from 1, length) of each part; needs `__start` and `__end`.
+
+    With `flagged` a season is zero where its flag column is false.
+    """
     t = (F.unix_micros(time) - F.unix_micros("__start")) / F.greatest(F.unix_micros("__end") - F.unix_micros("__start"), F.lit(1))
     cells = [F.lit(1.0), t]
     cells += [F.greatest(t - CHANGEPOINT_RANGE * (j + 1) / (CHANGEPOINTS + 1), F.lit(0.0)) for j in range(CHANGEPOINTS)]
@@ -222,7 +252,8 @@ def _design(time: str, seasons: list[str], extra: list[str]) -> tuple[Column, di
         start = len(cells) + 1
         for k in range(1, order + 1):
             angle = 2 * math.pi * k / period * days
-            cells += [F.sin(angle), F.cos(angle)]
+            waves = [F.sin(angle), F.cos(angle)]
+            cells += [F.when(F.col(f"__{s}"), x).otherwise(0.0) for x in waves] if flagged else waves
         parts[s] = (start, 2 * order)
     if extra:
         parts["extra"] = (len(cells) + 1, len(extra))
@@ -241,16 +272,21 @@ def with_holidays(df: DataFrame, time: str, holidays: DataFrame, names: list[str
 
 
 def seasonal_fit(df: DataFrame, keys: list[str], time: str, y: str, seasons: list[str] | None = None, extra: list[str] = [],
-                 multiplicative: bool = False) -> DataFrame:
+                 multiplicative: bool = False, season_scale: float = SEASON_SCALE, changepoint_scale: float = CHANGEPOINT_SCALE) -> DataFrame:
     """(keys..., start, end, scale, sigma, coef): piecewise-linear trend and Fourier seasons by ridge regression.
 
-    The multiplicative form fits the logarithm of a positive y.
+    Without `seasons` each series gets those it can show itself; the coefficients of the others are zero, so that
+    forecasts take the union of all. The multiplicative form fits the logarithm of a positive y.
     """
-    seasons = auto_seasons(df, keys, time) if seasons is None else seasons
     data = df.where(F.col(y).isNotNull())
+    flagged = seasons is None
+    if flagged:
+        flags = checkpointed(season_flags(data, keys, time))
+        seasons = auto_seasons(data, keys, time)
+        data = data.join(maybe_broadcast(flags), keys)
     value = F.log(y) if multiplicative else F.col(y).cast("double")
     ends = data.groupBy(*keys).agg(F.min(time).alias("__start"), F.max(time).alias("__end"), F.max(F.abs(value)).alias("__scale"))
-    design, _ = _design(time, seasons, extra)
+    design, _ = _design(time, seasons, extra, flagged)
     rows = data.join(maybe_broadcast(ends), keys).withColumn(
         "__row", F.concat(design, F.array(value / F.greatest("__scale", F.lit(1e-300)))))
     grams = cross_products(rows, keys, "__row")
@@ -258,8 +294,8 @@ def seasonal_fit(df: DataFrame, keys: list[str], time: str, y: str, seasons: lis
 
     def solve(g: np.ndarray, row: dict) -> list[dict]:
         n, use = g[0, 0], list(range(len(g) - 1))
-        weight = np.concatenate([np.full(2, 1e-8), np.full(CHANGEPOINTS, CHANGEPOINT_SCALE ** -2), np.full(seasonal, SEASON_SCALE ** -2),
-                                 np.full(len(use) - 2 - CHANGEPOINTS - seasonal, SEASON_SCALE ** -2)])
+        weight = np.concatenate([np.full(2, 1e-8), np.full(CHANGEPOINTS, changepoint_scale ** -2), np.full(seasonal, season_scale ** -2),
+                                 np.full(len(use) - 2 - CHANGEPOINTS - seasonal, season_scale ** -2)])
         noise = 0.01
         for _ in range(5):  # the noise level sets how strongly the priors pull
             coef, rss, _ = ols(g, use, weight * noise)
@@ -286,13 +322,19 @@ def predict_at_dates(dates: DataFrame, keys: list[str], time: str, fits: DataFra
     return rows.select(*dates.columns, lift(total).alias("yhat"), lift(total - band).alias("yhat_lower"), lift(total + band).alias("yhat_upper"), *comps)
 
 
-def seasonal_forecast(fits: DataFrame, keys: list[str], time: str, periods: int, freq: str, seasons: list[str]) -> DataFrame:
-    """The `periods` times after each series' end."""
+def seasonal_forecast(fits: DataFrame, keys: list[str], time: str, periods: int, freq: str, seasons: list[str],
+                      regressors: DataFrame | None = None, extra: list[str] = []) -> DataFrame:
+    """The `periods` times after each series' end.
+
+    `regressors` has the keys, the time and the `extra` columns of the fit for the times to come; a missing value is 0.
+    """
     step = {"D": "INTERVAL 1 DAY", "H": "INTERVAL 1 HOUR", "W": "INTERVAL 7 DAYS", "M": "INTERVAL 1 MONTH"}[freq]
     first = F.col("end") + F.expr(step)
     last = F.col("end") + F.expr(step) * periods
     dates = fits.select(*keys, F.explode(F.sequence(first, last, F.expr(step))).alias(time))
-    return predict_at_dates(dates, keys, time, fits, seasons)
+    if extra:
+        dates = dates.join(regressors.select(*keys, time, *extra), [*keys, time], "left").fillna(0.0, extra)
+    return predict_at_dates(dates, keys, time, fits, seasons, extra)
 
 
 def seasonal_components(df: DataFrame, keys: list[str], time: str, fits: DataFrame, seasons: list[str]) -> DataFrame:
@@ -329,11 +371,11 @@ def cv_windows(df: DataFrame, keys: list[str], time: str, cutoffs: DataFrame, ho
 def rolling_origin_cv(df: DataFrame, keys: list[str], time: str, y: str, initial: int = 365, period: int = 30, horizon: int = 30,
                       seasons: list[str] | None = None) -> DataFrame:
     """(keys..., cutoff, rmse, mae, mape, r2) of the seasonal model refitted at every cutoff."""
-    seasons = auto_seasons(df, keys, time) if seasons is None else seasons
+    shown = auto_seasons(df, keys, time) if seasons is None else seasons
     rows = cv_windows(df, keys, time, cv_cutoffs(df, keys, time, initial, period, horizon), horizon)
     both = [*keys, "cutoff"]
-    fits = seasonal_fit(rows.where("role = 'train'"), both, time, y, seasons)
-    preds = predict_at_dates(rows.where("role = 'test'"), both, time, fits, seasons)
+    fits = seasonal_fit(rows.where("role = 'train'"), both, time, y, shown)
+    preds = predict_at_dates(rows.where("role = 'test'"), both, time, fits, shown)
     return evaluate.regression_metrics(preds, both, y, "yhat")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.cells import is_numeric, numeric_columns
-from tabloom.operators.profile import correlation_matrix, distinct_counts
+from tabloom.operators.profile import distinct_counts, target_correlations
 from tabloom.session import beside
 
 # Line templates of the data insight list.
@@ -36,9 +36,8 @@ def dataset_insights(df: DataFrame, target: str) -> DataFrame:
     ]
     base = beside(size, uniques)
     if number and len(numeric_columns(df)) > 1:
-        others = correlation_matrix(df).where((F.col("b") == target) & (F.col("a") != target))
-        top = others.where(F.col("corr").isNotNull()).orderBy(F.desc(F.abs("corr")), "a").limit(3)
-        names = top.agg(F.sort_array(F.collect_list(F.struct((-F.abs("corr")).alias("k"), "a"))).alias("t"))
+        top = target_correlations(df, target).where(F.col("rank") <= 3)
+        names = top.agg(F.sort_array(F.collect_list(F.struct("rank", F.col("feature").alias("a")))).alias("t"))
         base = beside(base, names)
         lines.append(F.when(F.size("t") > 0, F.format_string(
             KEY_FACTORS_LINE, F.array_join(F.transform("t", lambda x: x["a"]), ", "))))

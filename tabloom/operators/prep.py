@@ -288,7 +288,9 @@ class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable,
                 names += [f"{c}_{v}" for v in s["categories"].get(c, [])]
             else:
                 names.append(c)
-        return names + [f"missing_{c}" for c in s.get("cat_gaps", [])]
+        for c in s.get("cat_gaps", []):
+            names += [f"missing_{c}_{v}" for v in ("False", "True")] if s["encoding"] == "onehot" else [f"missing_{c}"]
+        return names
 
     def _transform(self, df: DataFrame) -> DataFrame:
         s = self.info()
@@ -310,7 +312,9 @@ class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable,
             else:
                 parts.append(F.array(F.greatest(code - 1, F.lit(0)).cast("double")))
         for c in s.get("cat_gaps", []):
-            parts.append(F.array(F.col(c).isNull().cast("double")))
+            gap = F.col(c).isNull()
+            cells = [~gap, gap] if s["encoding"] == "onehot" else [gap]
+            parts.append(F.array(*[x.cast("double") for x in cells]))
         vector = array_to_vector(nan_safe(F.concat(*parts)))
         return nan_to_null(df).withColumn(self.getOrDefault("outputCol"), vector)
 

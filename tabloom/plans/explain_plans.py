@@ -77,7 +77,7 @@ def order_sentences(spark, d):
 @query("shap_sampled")
 def customer_shapley(spark, d):
     trained, test = fitted(value_table(spark, d), "decision_tree", False)
-    return explain.shap_sampled(trained.score, F.col("prediction"), test, VALUE_FEATURES, permutations=4)
+    return explain.shap_sampled(trained.score, F.col("prediction"), test, VALUE_FEATURES)
 
 
 @query("predict_explain")

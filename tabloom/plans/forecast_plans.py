@@ -33,18 +33,19 @@ def difference_order(spark, d):
 @query("arima_fit")
 def hourly_arima(spark, d):
     t = hourly(spark, d)
-    return fc.arima_fit(t, KEYS, "ts", "y", fc.adf_order(t, KEYS, "ts", "y"))
+    return fc.arima_fit(t, KEYS, "ts", "y", checkpointed(fc.adf_order(t, KEYS, "ts", "y")))
 
 
 @query("arima_forecast")
 def hourly_arima_ahead(spark, d):
     t = hourly(spark, d)
-    return fc.arima_forecast(t, KEYS, "ts", "y", checkpointed(fc.arima_fit(t, KEYS, "ts", "y", d=0)), 24)
+    return fc.arima_forecast(t, KEYS, "ts", "y", checkpointed(fc.arima_fit(t, KEYS, "ts", "y", checkpointed(fc.adf_order(t, KEYS, "ts", "y")))), 24)
 
 
 @query("arima_diagnostics")
 def hourly_arima_checks(spark, d):
-    return fc.arima_diagnostics(fc.arima_fit(hourly(spark, d), KEYS, "ts", "y", d=1), KEYS)
+    t = hourly(spark, d)
+    return fc.arima_diagnostics(fc.arima_fit(t, KEYS, "ts", "y", checkpointed(fc.adf_order(t, KEYS, "ts", "y"))), KEYS)
 
 
 @query("seasonal_fit")
@@ -56,14 +57,14 @@ def daily_seasons(spark, d):
 def daily_ahead(spark, d):
     t = daily(spark, d)
     seasons = fc.auto_seasons(t, KEYS, "ts")
-    return fc.seasonal_forecast(fc.seasonal_fit(t, KEYS, "ts", "y", seasons), KEYS, "ts", 30, "D", seasons)
+    return fc.seasonal_forecast(fc.seasonal_fit(t, KEYS, "ts", "y"), KEYS, "ts", 30, "D", seasons)
 
 
 @query("seasonal_components")
 def daily_parts(spark, d):
     t = daily(spark, d)
     seasons = fc.auto_seasons(t, KEYS, "ts")
-    return fc.seasonal_components(t, KEYS, "ts", fc.seasonal_fit(t, KEYS, "ts", "y", seasons), seasons)
+    return fc.seasonal_components(t, KEYS, "ts", fc.seasonal_fit(t, KEYS, "ts", "y"), seasons)
 
 
 @query("prepare_ds_y", "SELECT o_orderdate AS ds, o_orderkey AS y FROM orders")
@@ -73,7 +74,12 @@ def orders_series(spark, d):
 
 @query("rolling_origin_cv")
 def daily_cv(spark, d):
-    return fc.rolling_origin_cv(daily(spark, d), KEYS, "ts", "y", 365, 180, 30)
+    return fc.rolling_origin_cv(daily(spark, d), KEYS, "ts", "y")
+
+
+@query("cv_metrics")
+def daily_cv_summary(spark, d):
+    return fc.cv_metrics(fc.rolling_origin_cv(daily(spark, d), KEYS, "ts", "y"), KEYS)
 
 
 _CUT_SQL = """WITH r AS (SELECT o_orderstatus AS series, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1),

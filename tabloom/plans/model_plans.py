@@ -110,15 +110,6 @@ _one_feature("lasso_line", "lasso", "sign(xy) * greatest(abs(xy) - 1.0, 0) / xx"
 _one_feature("elasticnet_line", "elasticnet", "sign(xy) * greatest(abs(xy) - 0.5, 0) / (xx + 0.5)")
 
 
-def _unavailable(key: str, name: str) -> None:
-    @query(key)
-    def run(spark, d, name=name):
-        return automl.automl(class_table(spark, d), True, [name], folds=None)[0].select("model", "status", "score")
-
-
-_unavailable("train_xgboost", "xgboost")
-_unavailable("train_lightgbm", "lightgbm")
-
 QUICK = {"n_estimators": 5, "max_depth": 4}
 
 
@@ -302,7 +293,7 @@ def customer_sweep(spark, d):
 @query("cluster_assign")
 def customer_clusters(spark, d):
     points = customer_points(spark, d).persist()
-    centers = cluster.kmeans_runs(points, [4], 3)[4][1]
+    centers = cluster.kmeans_runs(points, [4])[4][1]
     return cluster.cluster_assign(points, centers).select("id", "label")
 
 

@@ -127,6 +127,11 @@ def run_quota(spark, d):
     return records.quota_24h(RUNS(spark, d))
 
 
+@query("dataset_quota", """SELECT user_id, count(*) AS datasets, count(*) >= 3 AS blocked FROM events WHERE event_type = 'click' GROUP BY 1""")
+def upload_quota(spark, d):
+    return records.dataset_quota(RUNS(spark, d))
+
+
 @query("rate_limit_hits", """WITH t AS (SELECT user_id % 3 AS key, event_type = 'purchase' AS paid, epoch_us(ts) AS happened FROM events),
 c AS (SELECT key, paid, happened, count(*) AS n FROM t GROUP BY ALL),
 w AS (SELECT *, sum(n) OVER (PARTITION BY key, paid ORDER BY happened RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS h FROM c)

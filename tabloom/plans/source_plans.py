@@ -41,16 +41,6 @@ def first_rows(spark, d):
     return delimited.scan_limit(load(spark, d, "orders"), 5)
 
 
-@query("list_objects")
-def table_files(spark, d):
-    return files.list_objects(spark, d)
-
-
-@query("largest_matching_file")
-def largest_table(spark, d):
-    return files.largest_matching_file(files.list_objects(spark, d), [".csv", ".parquet", ".xls"])
-
-
 @query("sink_csv", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
 def write_csv(spark, d):
     path = scratch(spark, "orders-csv")

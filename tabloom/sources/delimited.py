@@ -12,7 +12,15 @@ UNNAMED_SHARE = 0.25
 
 
 def _head(spark: SparkSession, path: str, n: int = SNIFF_LINES) -> list[str]:
-    return [r["value"] for r in spark.read.text(path).limit(n).collect()]
+    """First lines of the first file by name."""
+    files = sorted(spark.read.text(path).inputFiles())
+    return [r["value"] for r in spark.read.text(files[0]).limit(n).collect()] if files else []
+
+
+def _lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """Lines of all files; with a header, without the first line of each file."""
+    reader = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("header", header)
+    return reader.option("enforceSchema", True).csv(path)
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -50,12 +58,10 @@ def scan_csv(spark: SparkSession, path: str, header: bool = True, schema: T.Stru
 
 def scan_whitespace_table(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Table whose fields are separated by runs of white space; numbers become doubles."""
-    text = spark.read.text(path)
+    text = _lines(spark, path, header)
     lines = _head(spark, path)
     names = lines[0].split() if header else [f"_c{i}" for i in range(len(lines[0].split()))]
     rows = text.where(F.trim("value") != "")
-    if header:
-        rows = rows.where(F.col("value") != lines[0])
     parts = F.split(F.trim("value"), r"\s+")
     df = rows.select(*[F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
     # a column is numeric when every value of it is a number
