@@ -5,6 +5,7 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +48,28 @@ def _run_all(spark, jobs: list, parallel: int) -> list:
         return pool.map(inheritable_thread_target(spark)(lambda j: j()), jobs)
 
 
+def balanced(train: DataFrame) -> DataFrame:
+    """(id, label, features) and made-up rows for the smaller classes; their ids are hashes of source and number."""
+    first = train.select("features").first()
+    if first is None:
+        return train
+    names = [f"f{i}" for i in range(len(first["features"]))]
+    wide = train.select("id", "label", vector_to_array("features").alias("x")).select(
+        "id", "label", *[F.col("x")[i].alias(c) for i, c in enumerate(names)])
+    made = sampling.smote(wide, "id", "label", names).where("copy > 0")
+    return train.select("id", "label", "features").unionByName(made.select(
+        F.xxhash64("source", "copy").alias("id"), F.col("label").cast(train.schema["label"].dataType).alias("label"),
+        array_to_vector(F.array(*names)).alias("features")))
+
+
 def automl(
     df: DataFrame, classify: bool, names: list[str] | None = None, folds: int | None = 5, config: dict | None = None,
-    parallel: int = PARALLEL,
+    parallel: int = PARALLEL, balance: bool = False,
 ) -> tuple[DataFrame, dict[str, Trained]]:
     """Leaderboard and trained models.
 
+    With `balance`, SMOTE brings every class of the training part to the size of the largest; the test part stays as it is.
+
     With `folds`, models are ranked by mean cross-validation score (accuracy or R2) on the
     training part; without, by the score on the test part. A model that fails becomes a row
     with status `failed`, one whose package is missing `unavailable`.
@@ -64,6 +81,8 @@ def automl(
     names = [n for n in (names or list(registry)) if n in registry]
     split = prepare_split(df, classify)
     train = split.where("part = 'train'").drop("part")
+    if balance and classify:
+        train = balanced(train)
     if folds:
         train = sampling.kfold_assign(train, ["id"], "label" if classify else None, folds)
     train, test = models.packed(train), split.where("part = 'test'").drop("part").persist()

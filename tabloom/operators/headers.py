@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tabloom.functions.cells import is_numeric, is_numeric_like, pandas_dtype
 from tabloom.functions.quantiles import column_quantiles
 from tabloom.operators.profile import first_categories, wide_stats
+from tabloom.session import maybe_broadcast
 
 MAX_NAME = 64
 # Names that say nothing, matched against the whole lower-case name.
@@ -149,5 +150,5 @@ def close_column_match(columns: DataFrame, suggestions: DataFrame) -> DataFrame:
     columns: (column, pos) of one table, a checked small side; suggestions: (suggested).
     """
     lowered, wanted = F.lower("column"), F.lower("suggested")
-    hits = suggestions.join(F.broadcast(columns), F.contains(lowered, wanted))
+    hits = suggestions.join(maybe_broadcast(columns), F.contains(lowered, wanted))
     return hits.groupBy("suggested").agg(F.min_by("column", "pos").alias("column"))

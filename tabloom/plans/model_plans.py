@@ -115,12 +115,12 @@ QUICK = {"n_estimators": 5, "max_depth": 4}
 
 @query("automl_classify")
 def classify_documents(spark, d):
-    return automl.automl(class_table(spark, d), True, ["logistic_regression", "random_forest", "decision_tree", "knn"], 5, QUICK)[0]
+    return automl.automl(class_table(spark, d), True, ["logistic_regression", "random_forest", "decision_tree", "knn"])[0]
 
 
 @query("automl_regress")
 def regress_customers(spark, d):
-    return automl.automl(value_table(spark, d), False, ["linear_regression", "ridge", "lasso", "elasticnet", "decision_tree"], 5, QUICK)[0]
+    return automl.automl(value_table(spark, d), False, ["linear_regression", "ridge", "lasso", "elasticnet", "decision_tree"])[0]
 
 
 @query("automl_holdout")
@@ -128,6 +128,11 @@ def holdout_documents(spark, d):
     return automl.automl(class_table(spark, d), True, folds=None, config=QUICK)[0]
 
 
+@query("automl_balanced")
+def balanced_training(spark, d):
+    return automl.automl(class_table(spark, d), True, ["logistic_regression", "decision_tree"], None, balance=True)[0]
+
+
 @query("config_overrides")
 def configured(spark, d):
     return automl.automl(class_table(spark, d), True, ["random_forest"], None, {"n_estimators": 7, "max_depth": 3})[0]
@@ -136,7 +141,7 @@ def configured(spark, d):
 @query("ensemble_top3")
 def best_three(spark, d):
     t = value_table(spark, d)
-    board, trained = automl.automl(t, False, ["linear_regression", "ridge", "decision_tree", "lasso"], None, QUICK)
+    board, trained = automl.automl(t, False, ["linear_regression", "ridge", "decision_tree", "lasso"], None)
     return automl.ensemble_top3(t, False, board, trained)
 
 

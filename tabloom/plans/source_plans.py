@@ -168,11 +168,13 @@ def rate_alerts(spark, d):
     return events.run_available(events.stream_rate_alerts(s, "key", limit=1), scratch(spark, "alerts"))
 
 
-@query("stream_payment_dedup")
+@query("stream_payment_dedup", "SELECT event_id AS payment_id, user_id, ts FROM events WHERE event_type = 'purchase'")
 def deduped_payments(spark, d):
-    s = events.read_stream(spark, d, "events").where("event_type = 'purchase'").withColumn(
-        "payment_id", F.concat_ws("-", "user_id", F.to_date("ts").cast("string")))
-    out = events.stream_payment_dedup(s, ["payment_id"]).select("payment_id", "user_id", "ts")
+    s = events.read_stream(spark, d, "events").where("event_type = 'purchase'").select(
+        F.col("event_id").alias("payment_id"), "user_id", "ts")
+    again = events.read_stream(spark, d, "events").where("event_type = 'purchase'").select(
+        F.col("event_id").alias("payment_id"), "user_id", "ts")
+    out = events.stream_payment_dedup(s.union(again), ["payment_id"])
     return events.run_available(out, scratch(spark, "payments"))
 
 

@@ -189,3 +189,13 @@ def test_clipping_removes_spikes(spark):
     y[0], y[-1] = 99999, -99999
     out = ts.winsorize(series(spark, y), ["series"], ["y"]).agg(F.max("y"), F.min("y")).first()
     assert out[0] < 1000 and out[1] > -1000
+
+
+def test_balanced_training_part(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, int(i % 10 == 0), Vectors.dense([float(i % 10), float(i % 7)])) for i in range(100)]
+    train = spark.createDataFrame(rows, ["id", "label", "features"])
+    counts = {r.label: r["count"] for r in automl.balanced(train).groupBy("label").count().collect()}
+    assert counts == {0: 90, 1: 90}
+    assert automl.balanced(train).select("id").distinct().count() == 180
