@@ -81,23 +81,24 @@ def select_by_type(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def target_signals(df: DataFrame, target: str, order: list[str]) -> DataFrame:
-    """One row of facts about the target that the rules need."""
+    """One row of facts about the target that the rules need, all from one count per value."""
     field = df.schema[target]
     c = F.col(target)
     numeric, text = is_numeric(field.dataType), isinstance(field.dataType, T.StringType)
-    x = c.cast("double") if numeric else None
+    x = F.col("v").cast("double") if numeric else None
     cut = F.floor(F.abs(x)) * F.signum(x) if numeric else None
     whole = F.bool_and(F.abs(x - cut) <= 1e-8 + 1e-5 * F.abs(cut)) if numeric else F.lit(False)
-    facts = df.where(c.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(whole, F.lit(False)).alias("integer_like"))
-    uniques = distinct_counts(df, [target]).select(F.col("unique_count").alias("uniques"))
+    values = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    facts = values.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(whole, F.lit(False)).alias("integer_like"),
+        F.count("*").alias("uniques"))
     if text:
         head = df.where(c.isNotNull()).orderBy(*order).limit(HEAD)
         rate = head.agg(F.coalesce(F.avg(parse_timestamp(c).isNotNull().cast("int")), F.lit(0.0)).alias("date_rate"))
     else:
         dated = isinstance(field.dataType, (T.TimestampType, T.DateType))
         rate = df.sparkSession.range(1).select(F.lit(1.0 if dated else 0.0).alias("date_rate"))
-    return beside(beside(facts, uniques), rate).select(
+    return beside(facts, rate).select(
         "*", F.lit(numeric).alias("numeric"), F.lit(text).alias("text"),
         F.lit(isinstance(field.dataType, T.BooleanType)).alias("boolean"),
         F.lit(target.lower()).alias("name"))

@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,10 @@ from tabloom.functions.cells import is_numeric, nan_to_null
 from tabloom.functions.ordering import row_positions
 from tabloom.functions.quantiles import column_quantiles
 from tabloom.operators.profile import distinct_counts, wide_stats
-from tabloom.session import beside, maybe_broadcast
+from tabloom.session import beside, checkpointed, maybe_broadcast, scratch, values_frame
 
 HIGH_MISSING = 0.6
 MAX_CLASS_NUMBERS = 10
-# dictionaries up to this size may be stored inside a fitted model
-STORED_CATEGORIES = 50_000
 
 
 def missing_ratios(df: DataFrame) -> DataFrame:
@@ -229,29 +227,36 @@ class _PreprocessParams(Params):
     robust = Param(Params._dummy(), "robust", "robust instead of standard scaling", TypeConverters.toBoolean)
     addIndicator = Param(Params._dummy(), "addIndicator", "add missing indicators", TypeConverters.toBoolean)
     encoding = Param(Params._dummy(), "encoding", "onehot or ordinal", TypeConverters.toString)
+    scaleNumeric = Param(Params._dummy(), "scaleNumeric", "scale numeric columns", TypeConverters.toBoolean)
+    categoricalFill = Param(Params._dummy(), "categoricalFill", "constant for missing categories instead of the mode", TypeConverters.toString)
+    dropHighMissing = Param(Params._dummy(), "dropHighMissing", "drop columns with a larger missing share", TypeConverters.toFloat)
     state = Param(Params._dummy(), "state", "fitted parameters as JSON", TypeConverters.toString)
 
 
 class TabularPreprocessor(Estimator, _PreprocessParams, DefaultParamsReadable, DefaultParamsWritable):
     """Numeric branch (fill, indicator, scale, drop constants) and categorical branch
-    (mode, one-hot or codes), assembled into one vector."""
+    (mode or a constant, one-hot or codes), assembled into one sparse or dense vector.
+
+    Categories are a stored table, joined when transforming, so their number is not limited.
+    """
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCol="features", numericStrategy="median", robust=True,
-                 addIndicator=True, encoding="onehot"):
+                 addIndicator=True, encoding="onehot", scaleNumeric=True, categoricalFill=None, dropHighMissing=HIGH_MISSING):
         super().__init__()
-        self._setDefault(outputCol="features", numericStrategy="median", robust=True, addIndicator=True, encoding="onehot")
+        self._setDefault(outputCol="features", numericStrategy="median", robust=True, addIndicator=True, encoding="onehot",
+                         scaleNumeric=True, categoricalFill="", dropHighMissing=HIGH_MISSING)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> TabularPreprocessorModel:
         g = self.getOrDefault
         x = nan_to_null(df.select(*g("inputCols")))
-        x = drop_high_missing(x)
+        x = drop_high_missing(x, g("dropHighMissing"))
         kinds = {r["column"]: r["kind"] for r in identify_columns(x).collect()}
         numbers = [c for c in x.columns if kinds[c] == "numeric"]
         cats = [c for c in x.columns if kinds[c] == "categorical"]
         state = {"numbers": numbers, "cats": cats, "encoding": g("encoding"), "fills": {}, "modes": {}, "scaling": {},
-                 "indicators": [], "categories": {}, "dropped": [c for c in g("inputCols") if c not in x.columns]}
+                 "indicators": [], "sizes": {}, "categories": "", "dropped": [c for c in g("inputCols") if c not in x.columns]}
         if numbers:
             state["fills"] = fit_fill(x, numbers, g("numericStrategy"))
             gaps = columns_with_nulls(x, numbers) if g("addIndicator") else []
@@ -259,18 +264,19 @@ class TabularPreprocessor(Estimator, _PreprocessParams, DefaultParamsReadable, D
             full = missing_indicators(x, gaps)
             full = impute_numeric(full, state["fills"])
             names = numbers + [f"missing_{c}" for c in gaps]
-            state["scaling"] = fit_robust(full, names) if g("robust") else fit_standard(full, names)
+            fit = fit_robust if g("robust") else fit_standard
+            state["scaling"] = fit(full, names) if g("scaleNumeric") else {c: (0.0, 1.0) for c in names}
             constant = set(constant_columns(full, names))
             state["kept"] = [c for c in names if c not in constant]
         if cats:
-            state["modes"] = fit_mode(x, cats)
+            fill = g("categoricalFill")
+            state["modes"] = {c: fill for c in cats} if fill else fit_mode(x, cats)
             state["cat_gaps"] = columns_with_nulls(x, cats) if g("addIndicator") else []
-            dictionary = category_dictionary(x, cats)
-            n = dictionary.count()
-            if n > STORED_CATEGORIES:
-                raise ValueError(f"{n} categories do not fit a stored model; encode with category_dictionary and ordinal_encode")
-            for r in dictionary.orderBy("column", "code").collect():
-                state["categories"].setdefault(r["column"], []).append(r["value"])
+            filled = x.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(state["modes"].get(c))) for c in cats})
+            state["categories"] = scratch(df.sparkSession, "categories")
+            category_dictionary(filled, cats).write.parquet(state["categories"])
+            dictionary = df.sparkSession.read.parquet(state["categories"])
+            state["sizes"] = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}  # a row per column
         model = TabularPreprocessorModel()
         model._set(outputCol=g("outputCol"), state=json.dumps(state))
         return model
@@ -280,12 +286,21 @@ class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable,
     def info(self) -> dict:
         return json.loads(self.getOrDefault("state"))
 
+    def dictionary(self) -> DataFrame:
+        """(column, value, code) of all categories: the table at the path in the model's state, in the shared folder."""
+        return SparkSession.active().read.parquet(self.info()["categories"])
+
     def feature_names(self) -> list[str]:
+        """One name per place of the vector."""
         s = self.info()
         names = list(s.get("kept", []))
+        values: dict[str, list[str]] = {}
+        if s["cats"] and s["encoding"] == "onehot":
+            for r in self.dictionary().orderBy("column", "code").collect():
+                values.setdefault(r["column"], []).append(r["value"])
         for c in s["cats"]:
             if s["encoding"] == "onehot":
-                names += [f"{c}_{v}" for v in s["categories"].get(c, [])]
+                names += [f"{c}_{v}" for v in values.get(c, [])]
             else:
                 names.append(c)
         for c in s.get("cat_gaps", []):
@@ -293,7 +308,7 @@ class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable,
         return names
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        s = self.info()
+        s, output = self.info(), self.getOrDefault("outputCol")
         parts: list[Column] = []
         for c in s.get("kept", []):
             centre, spread = s["scaling"][c]
@@ -301,22 +316,38 @@ class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable,
                 x = F.col(c[len("missing_"):]).isNull().cast("double")
             else:
                 x = F.coalesce(F.col(c).cast("double"), F.lit(s["fills"][c]))
-            parts.append(F.array((x - F.lit(centre)) / F.lit(spread)))
-        for c in s["cats"]:
-            values = s["categories"].get(c, [])
-            code = F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"),
-                                    F.coalesce(F.col(c).cast("string"), F.lit(s["modes"].get(c))))
-            if s["encoding"] == "onehot":
-                spots = F.sequence(F.lit(1), F.lit(max(len(values), 1)))
-                parts.append(F.transform(spots, lambda i, k=code: (i == k).cast("double")))
-            else:
-                parts.append(F.array(F.greatest(code - 1, F.lit(0)).cast("double")))
+            parts.append((x - F.lit(centre)) / F.lit(spread))
+        gaps: list[Column] = []
         for c in s.get("cat_gaps", []):
             gap = F.col(c).isNull()
-            cells = [~gap, gap] if s["encoding"] == "onehot" else [gap]
-            parts.append(F.array(*[x.cast("double") for x in cells]))
-        vector = array_to_vector(nan_safe(F.concat(*parts)))
-        return nan_to_null(df).withColumn(self.getOrDefault("outputCol"), vector)
+            gaps += [x.cast("double") for x in ([~gap, gap] if s["encoding"] == "onehot" else [gap])]
+        # the input columns travel in a struct; encoding works on copies
+        row = nan_to_null(df)
+        box = row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("__row"), *[
+            F.coalesce(F.col(c).cast("string"), F.lit(s["modes"].get(c))).alias(f"__c{i}") for i, c in enumerate(s["cats"])],
+            array_to_vector(nan_safe(F.array(*parts).cast("array<double>"))).alias("__numbers"),
+            array_to_vector(nan_safe(F.array(*gaps).cast("array<double>"))).alias("__gaps"))
+        pieces = ["__numbers"]
+        if s["cats"]:
+            codes = [f"__c{i}" for i in range(len(s["cats"]))]
+            renamed = self.dictionary().join(F.broadcast(values_frame(df.sparkSession, list(zip(s["cats"], codes)), "column string, short string")), "column")
+            dictionary = checkpointed(renamed.select(F.col("short").alias("column"), "value", "code"))
+            if s["encoding"] == "onehot":
+                box = one_hot(box, codes, dictionary)
+                pieces += [f"{c}_vec" for c in codes]
+            else:
+                box = ordinal_encode(box, codes, dictionary)
+                box = box.withColumns({c: F.col(c).cast("double") for c in codes})
+                pieces += codes
+        out = VectorAssembler(inputCols=[*pieces, "__gaps"], outputCol="__features").transform(box)
+        return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in row.columns if c != output], F.col("__features").alias(output))
+
+    def inverse_numbers(self, df: DataFrame) -> DataFrame:
+        """Add `inverse`, a struct of the numeric columns in their own units, read back from the vector."""
+        s = self.info()
+        x = vector_to_array(self.getOrDefault("outputCol"))
+        cells = [(x[i] * s["scaling"][c][1] + s["scaling"][c][0]).alias(c) for i, c in enumerate(s.get("kept", [])) if c in s["numbers"]]
+        return df.withColumn("inverse", F.struct(*cells)) if cells else df
 
 
 def nan_safe(values: Column) -> Column:
