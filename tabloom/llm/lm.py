@@ -10,17 +10,21 @@ stores the levels. A bigram's probability mixes its
 quantised relative frequency with the unigram's; the weight depends on the level of the history and is the best of a grid
 by leave-one-out likelihood over all training texts. The end of a text is a token and the history of the next start.
 
-The filter is broadcast and bounded by FILTER_BYTES: with more n-grams, those below the smallest sufficient count leave
-the filter and score by their unigram. Exact unigram counts for the base score are broadcast for at most HEAD tokens,
-the most frequent; all others are looked up by a shuffle join.
+The filter holds every n-gram at every size. Up to FILTER_BYTES it is broadcast; a larger one stays a table of segments,
+and each chunk of texts sends one array of its different n-grams to every bucket and gets their levels back, so both ways
+yield equal scores. Exact unigram counts for the base score are broadcast for at most HEAD tokens, the most frequent; all
+others are looked up by a shuffle join.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +35,11 @@ HELD_OUT_OF = 10
 BASE = 1.5
 LEVELS = 64
 BITS, PROBES = 10, 4
-FILTER_BYTES = 128 << 20
+#: Largest filter to broadcast, and bytes of text that look up a larger one together.
+FILTER_BYTES, CHUNK_BYTES = 128 << 20, 4 << 20
 HEAD = 1 << 20
 #: Tokens per bucket, and n-grams a task holds before it sends them on.
 BUCKET_TOKENS, HELD = 1_000_000, 600_000
-CUTOFFS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 1 << 20]
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 _K = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = BASE ** np.arange(1, LEVELS)
@@ -68,6 +72,29 @@ def _word_and_mask(bucket: np.ndarray, key: np.ndarray, level: int, size: np.nda
     return word, mask
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """40-bit keys in five bytes each."""
+    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _probe(table: np.ndarray, bucket: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Quantised counts by repeated membership probes in the segments that begin at `start`."""
+    out, live = np.zeros(len(key), np.uint8), np.arange(len(key))
+    for level in range(1, LEVELS):
+        word, mask = _word_and_mask(bucket, key, level, size)
+        found = (table[start + word] & mask) == mask
+        if not found.any():
+            break
+        bucket, key, start, size, live = bucket[found], key[found], start[found], size[found], live[found]
+        out[live] = level
+    return out
+
+
 class Filter:
     """The assembled filter: a Bloom filter whose probes for one entry fall into one 64-bit word."""
 
@@ -91,19 +118,31 @@ class Filter:
         out = np.zeros(len(hashes), np.uint8)
         for first in range(0, len(hashes), self.CHUNK):
             bucket, key = _parts(hashes[first : first + self.CHUNK], self.shift)
-            start, size = self.start[bucket], self.size[bucket]
-            live = np.arange(first, first + len(key))
-            for level in range(1, LEVELS):
-                word, mask = _word_and_mask(bucket, key, level, size)
-                found = (table[start + word] & mask) == mask
-                if not found.any():
-                    break
-                bucket, key, start, size, live = bucket[found], key[found], start[found], size[found], live[found]
-                out[live] = level
+            out[first : first + len(key)] = _probe(table, bucket, key, self.start[bucket], self.size[bucket])
         return out
 
 
-def _segment(bucket: int, keys: np.ndarray, counts: np.ndarray, cutoff: int) -> bytes:
+class Answers:
+    """Quantised counts that were looked up for one chunk of texts: buckets, keys and levels."""
+
+    def __init__(self, parts: list[tuple[int, bytes, bytes]], shift: int) -> None:
+        self.shift = shift
+        whole = [np.uint64(bucket << 40) | _unpacked(keys) for bucket, keys, _ in parts]
+        self.known = np.concatenate(whole) if whole else np.zeros(0, np.uint64)
+        self.level = np.frombuffer(b"".join(levels for _, _, levels in parts), np.uint8)
+        order = np.argsort(self.known)
+        self.known, self.level = self.known[order], self.level[order]
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(hashes), np.uint8)
+        bucket, key = _parts(hashes, self.shift)
+        whole = bucket << np.uint64(40) | key
+        at = np.minimum(np.searchsorted(self.known, whole), len(self.known) - 1)
+        return np.where(self.known[at] == whole, self.level[at], 0).astype(np.uint8)
+
+
+def _segment(bucket: int, keys: np.ndarray, counts: np.ndarray, cutoff: int = 1) -> bytes:
     levels = np.where(counts >= cutoff, level_of(counts), 0)
     total = int(levels.sum())
     if not total:
@@ -168,8 +207,7 @@ def partial_counts(texts: DataFrame, shift: int) -> DataFrame:
                 for end in ends if len(keys) else []:
                     own = keys[start:end]
                     if kind == 2:
-                        rest = _parts(own, shift)[1]
-                        data = (rest & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (rest >> np.uint64(32)).astype(np.uint8).tobytes()
+                        data = _packed(_parts(own, shift)[1])
                     else:
                         data = own.astype("<u8").tobytes()
                     for column, value in zip(rows, (int(bucket[start]), data, counts[start:end].astype("<u4" if kind == 2 else "<u8").tobytes())):
@@ -197,8 +235,8 @@ def partial_counts(texts: DataFrame, shift: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
 
 
-def merged_counts(partial: DataFrame, shift: int, cutoff: int, common: int) -> DataFrame:
-    """Per bucket: its filter segment and the entries it would have at each cutoff.
+def merged_counts(partial: DataFrame, shift: int, common: int) -> DataFrame:
+    """Per bucket: its filter segment and the number of entries in it.
 
     Words seen `common` times and more stay out of the filter, as their exact counts are broadcast.
     """
@@ -208,8 +246,7 @@ def merged_counts(partial: DataFrame, shift: int, cutoff: int, common: int) -> D
         keys, counts = {1: [], 2: []}, {1: [], 2: []}
         for kind, k, c in zip(*[table.column(n).to_pylist() for n in ("kind", "keys", "counts")]):
             if kind == 2:
-                n = len(k) // 5
-                keys[2].append(np.frombuffer(k, "<u4", n).astype(np.uint64) | np.frombuffer(k, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+                keys[2].append(_unpacked(k))
                 counts[2].append(np.frombuffer(c, "<u4").astype(np.int64))
             else:
                 keys[1].append(np.frombuffer(k, "<u8"))
@@ -225,14 +262,13 @@ def merged_counts(partial: DataFrame, shift: int, cutoff: int, common: int) -> D
         rare = words[1] < common
         all_keys = np.concatenate([_parts(words[0][rare], shift)[1], pairs[0]])
         all_counts = np.concatenate([words[1][rare], pairs[1]])
-        levels = level_of(all_counts)
         return pa.table({
             "bucket": pa.array([bucket], pa.int32()),
-            "segment": pa.array([_segment(bucket, all_keys, all_counts, cutoff)], pa.binary()),
-            "entries": pa.array([[int(levels[all_counts >= c].sum()) for c in CUTOFFS]], pa.list_(pa.int64())),
+            "segment": pa.array([_segment(bucket, all_keys, all_counts)], pa.binary()),
+            "entries": pa.array([int(level_of(all_counts).sum())], pa.int64()),
         })
 
-    schema = "bucket int, segment binary, entries array<long>"
+    schema = "bucket int, segment binary, entries long"
     return stored(partial.groupBy("bucket").applyInArrow(run, schema), "segments")
 
 
@@ -250,12 +286,23 @@ def _word_counts(partial: DataFrame) -> DataFrame:
 
 
 class Model:
-    """What scoring needs on every worker."""
+    """What scoring needs on every worker; without a filter if that stays a table."""
 
-    def __init__(self, bloom: Filter, head: tuple[np.ndarray, np.ndarray], n: int, v: int) -> None:
-        self.bloom, self.n, self.floor = bloom, n, n + 0.1 * (v + 1)
+    def __init__(self, bloom: Filter | Answers | None, shift: int, head: tuple[np.ndarray, np.ndarray], n: int, v: int) -> None:
+        self.bloom, self.shift, self.n, self.floor = bloom, shift, n, n + 0.1 * (v + 1)
         self.head = head
 
+    def over(self, bloom: Answers) -> Model:
+        out = copy.copy(self)
+        out.bloom = bloom
+        return out
+
+    def counted(self, h: np.ndarray) -> np.ndarray:
+        """Exact counts of words; -1 for those not among the head."""
+        keys, counts = self.head
+        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        return np.where(keys[at] == h, counts[at], -1) if len(keys) else np.full(len(h), -1)
+
 
 class _Places(dict):
     """Numbers words in the order in which they are first asked for."""
@@ -284,9 +331,7 @@ class Words:
         self._add(np.array([END], np.uint64))
 
     def _add(self, h: np.ndarray) -> None:
-        keys, counts = self.model.head
-        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-        count = np.where(keys[at] == h, counts[at], -1) if len(keys) else np.full(len(h), -1)
+        count = self.model.counted(h)
         end = self.used + len(h)
         if end > len(self.hash):
             room = max(end, 2 * len(self.hash))
@@ -355,8 +400,9 @@ def _fit_weights(probed: DataFrame, floor: float) -> np.ndarray:
     return out
 
 
-def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[object, DataFrame, int, int]:
-    """The broadcast model, exact word counts, and the numbers of tokens and of different tokens."""
+def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[object, DataFrame | None, DataFrame, int, int]:
+    """The broadcast model, the segments of a filter too large for it, exact word counts, and the numbers of tokens and
+    of different tokens."""
     sc = texts.sparkSession.sparkContext
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shift = max(5, int(chars // 6 // BUCKET_TOKENS).bit_length())
@@ -373,60 +419,139 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) ->
         if room < 0:
             break
         least = 1 << (row["p"] - 1)
-    segments = merged_counts(partial, shift, 1, least)
-    sizes = segments.select([F.sum(F.col("entries")[i]).alias(str(c)) for i, c in enumerate(CUTOFFS)]).first()
-    fits = next((c for i, c in enumerate(CUTOFFS) if (sizes[i] or 0) * BITS <= 8 * filter_bytes), CUTOFFS[-1])
-    if fits > 1:
-        forget(segments)
-        segments = merged_counts(partial, shift, fits, least)
+    segments = merged_counts(partial, shift, least)
     forget(partial)
+    small = (segments.agg(F.sum("entries")).first()[0] or 0) * BITS <= 8 * filter_bytes
     top = words.where(F.col("c") >= least).toArrow()  # at most `head` rows
     keys = np.asarray(top.column("word")).astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    parts = [(r["bucket"], bytes(r["segment"])) for r in segments.select("bucket", "segment").toLocalIterator()]  # at most filter_bytes
-    model = Model(Filter(parts, shift), (keys[order], np.asarray(top.column("c")).astype(np.int64)[order]), total["n"], total["v"])
-    del parts
-    forget(segments)
-    return sc.broadcast(model), words, total["n"], total["v"]
+    bloom = None
+    if small:
+        parts = [(r["bucket"], bytes(r["segment"])) for r in segments.select("bucket", "segment").toLocalIterator()]  # at most filter_bytes
+        bloom = Filter(parts, shift)
+        del parts
+        forget(segments)
+    model = Model(bloom, shift, (keys[order], np.asarray(top.column("c")).astype(np.int64)[order]), total["n"], total["v"])
+    return sc.broadcast(model), None if small else segments, words, total["n"], total["v"]
+
+
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    """chunk, doc_id, text: texts that follow one another in a task, about `size` bytes in a chunk."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, upto = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = upto + np.cumsum(length) - length
+            upto += int(length.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(first + starts // size), batch.column(0), batch.column(1)], names=["chunk", "doc_id", "text"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_id {kind}, text string")
 
-def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
+
+def _looked_up(chunks: DataFrame, segments: DataFrame, model: object, size: int) -> DataFrame:
+    """chunk, bucket, keys and levels: what the filter's segments say to the different n-grams of every chunk."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, shift = WordHashes(), model.value.shift
+
+        def send(chunk: int, waiting: list[np.ndarray]) -> pa.RecordBatch:
+            bucket, key = _parts(np.unique(np.concatenate(waiting)), shift)
+            cuts = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(key))
+            spans = list(zip([0, *cuts[:-1]], cuts))
+            rows = [int(bucket[a]) for a, _ in spans], [_packed(key[a:b]) for a, b in spans]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(spans), pa.int64()), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], names=["chunk", "bucket", "keys"]
+            )
+
+        now, waiting, held = None, [], 0
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(chunk)) + 1, len(chunk))
+            for a, b in zip([0, *edges[:-1]], edges):
+                for k in range(a, b, 512):
+                    if waiting and (chunk[a] != now or held > size):
+                        yield send(now, waiting)
+                        waiting, held = [], 0
+                    now = int(chunk[a])
+                    tokens = _tokens(batch.column(1).slice(k, min(512, b - k)).to_pylist(), hashes)
+                    words = np.unique(tokens)
+                    waiting += [np.unique(bigrams(_histories(tokens), tokens)), words[model.value.counted(words) < 0]]
+                    held += len(tokens)
+        if waiting:
+            yield send(now, waiting)
+
+    def reply(asked: pa.Table, own: pa.Table) -> pa.Table:
+        keys = asked.column("keys").to_pylist()
+        table = np.frombuffer(own.column("segment")[0].as_py() if own.num_rows else b"", np.uint64)
+        every = np.concatenate([_unpacked(k) for k in keys]) if keys else np.zeros(0, np.uint64)
+        levels = np.zeros(len(every), np.uint8)
+        for first in range(0, len(every) if len(table) else 0, Filter.CHUNK):
+            key = every[first : first + Filter.CHUNK]
+            bucket = np.full(len(key), asked.column("bucket")[0].as_py(), np.uint64)
+            levels[first : first + len(key)] = _probe(table, bucket, key, np.zeros(len(key), np.uint64), np.full(len(key), len(table), np.uint64))
+        ends = np.cumsum([len(k) // 5 for k in keys])
+        parts = [levels[b - len(k) // 5 : b].tobytes() for k, b in zip(keys, ends)]
+        return asked.select(["chunk", "bucket", "keys"]).append_column("levels", pa.array(parts, pa.binary()))
+
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, bucket int, keys binary")
+    both = asked.groupBy("bucket").cogroup(segments.select("bucket", "segment").groupBy("bucket"))
+    return both.applyInArrow(reply, "chunk long, bucket int, keys binary, levels binary")
+
+
+def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end token alone. Repeated rows are trained on and scored each for itself. Without
     training texts all counts are 0 and both scores follow from the smoothing alone. An empty table gives an empty result.
     """
-    model, words, n, v = fit(docs.where(~held_out(F.col("doc_id"))).select("text"), filter_bytes, head)
+    model, segments, words, n, v = fit(docs.where(~held_out(F.col("doc_id"))).select("text"), filter_bytes, head)
     kind = dict(docs.dtypes)["doc_id"]
     floor = n + 0.1 * (v + 1)
 
+    def levels(part: pa.RecordBatch, table: Words) -> pa.RecordBatch:
+        tokens, starts = table.of(part.column(1).to_pylist())
+        pair, history, own = _probed(tokens, table)
+        own = own.astype(np.float32)
+        count = table.count[tokens]
+        ends = np.append(starts[1:], len(tokens))
+        terms = np.where(table.count >= 0, np.log10((np.maximum(table.count, 0) + 0.1) / floor), 0.0)
+        base = np.add.reduceat(terms[tokens], starts)
+        known = np.add.reduceat((count > 0).astype(np.int64), starts)
+        doc = np.repeat(np.arange(len(starts)), ends - starts)
+        rare = np.flatnonzero(count < 0)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(starts)))]).astype(np.int32)
+        cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (pair, history, own)]
+        rare_words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.hash[tokens[rare]].view(np.int64)))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(ends - starts), pa.array(known), pa.array(base), rare_words, *cut],
+            names=["doc_id", "n_tokens", "known", "base", "rare", "pair", "history", "own"],
+        )
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words(model.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                tokens, starts = table.of(part.column(1).to_pylist())
-                pair, history, own = _probed(tokens, table)
-                own = own.astype(np.float32)
-                count = table.count[tokens]
-                ends = np.append(starts[1:], len(tokens))
-                terms = np.where(table.count >= 0, np.log10((np.maximum(table.count, 0) + 0.1) / floor), 0.0)
-                base = np.add.reduceat(terms[tokens], starts)
-                known = np.add.reduceat((count > 0).astype(np.int64), starts)
-                doc = np.repeat(np.arange(len(starts)), ends - starts)
-                rare = np.flatnonzero(count < 0)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(starts)))]).astype(np.int32)
-                cut = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (pair, history, own)]
-                rare_words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.hash[tokens[rare]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ends - starts), pa.array(known), pa.array(base), rare_words, *cut],
-                    names=["doc_id", "n_tokens", "known", "base", "rare", "pair", "history", "own"],
-                )
+                yield levels(batch.slice(k, 128), table)
+
+    def probe_chunk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = list(zip(*[answers.column(c).to_pylist() for c in ("bucket", "keys", "levels")]))
+        table = Words(model.value.over(Answers(parts, model.value.shift)))
+        rows = texts.select(["doc_id", "text"]).combine_chunks().to_batches()
+        return pa.Table.from_batches([levels(r.slice(k, 128), table) for r in rows for k in range(0, r.num_rows, 128)])
 
     schema = f"doc_id {kind}, n_tokens long, known long, base double, rare array<long>, pair binary, history binary, own binary"
-    rows = docs.select("doc_id", "text").mapInArrow(probe, schema)
+    if segments is None:
+        rows = docs.select("doc_id", "text").mapInArrow(probe, schema)
+    else:
+        chunks = stored(_chunks(docs, chunk_bytes), "chunks")
+        answers = _looked_up(chunks, segments, model, chunk_bytes)
+        rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(probe_chunk, schema)
     with small_batches(docs.sparkSession):
         probed = stored(rows.withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out(F.col("doc_id"))}), "probed")
+    if segments is not None:
+        forget(segments, chunks)
     weights = _fit_weights(probed, floor)
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

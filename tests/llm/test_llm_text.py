@@ -140,6 +140,15 @@ def test_base_score(spark, tiny, head, size):
     assert sum(r.score for r in held) > 1.02 * sum(r.base_score for r in held)
 
 
+def test_filter_too_large_to_broadcast_keeps_every_bigram(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").repartition(3)
+    want = {r.doc_id: r for r in lm.score(docs, head=50).collect()}
+    for chunk in (20_000, 1 << 22):
+        got = lm.score(docs, 4096, 50, chunk).collect()
+        assert len(got) == len(want)
+        assert all(r.score == pytest.approx(want[r.doc_id].score, rel=1e-12) and r.n_known == want[r.doc_id].n_known for r in got)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     hashes, shift = np.unique(rng.integers(0, 2**64, 20_000, np.uint64, endpoint=False)), 5
