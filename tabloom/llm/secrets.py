@@ -3,8 +3,10 @@
 Candidates are runs of CANDIDATE characters inside words. A window of WINDOW characters slides over each; counts per
 character change by one in and one out, so the entropy is updated in constant time. A window is judged by its character
 class: hexadecimal, or mixed (at least two of lower case, upper case and digits). Windows over the threshold of their
-class merge into spans of kind `entropy`. The allow-list drops such spans in web addresses and paths, identifiers of
-fixed form, placeholders and alphabet runs; spans of the named patterns are never dropped.
+class merge into spans of kind `entropy`. The allow-list judges every span by itself: it drops one inside the host and path
+of a web address or inside a file path, one that identifiers of fixed form, placeholders, alphabet runs and dates cover up
+to fewer than LEAST["assign"] characters in a row, and runs of letters and separators alone. User info and query values
+of an address are not its path. Spans of the named patterns are never dropped.
 """
 
 from __future__ import annotations
@@ -43,7 +45,12 @@ ALLOWED = [
     re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"),
     re.compile(r"(?:[A-Za-z]*[/_=+-]){0,64}[A-Za-z]*"),
 ]
-_WEB = re.compile(r"(?i)(?:https?|ftp|file)://\S*$|www\.\S*$|^(?:\.{0,2}|~)/\S*$")
+#: The host and path of an address, which end at a quote, comma, bracket, query or value; user info goes before them.
+_ADDRESS = re.compile(
+    r"""(?i)(?:(?:https?|ftp|file)://(?:[^\s"'`,;<>()\[\]{}|\\?#/@]*@)?|(?<![a-z0-9])www\.)([^\s"'`,;<>()\[\]{}|\\?#=/@]*(?:/[^\s"'`,;<>()\[\]{}|\\?#=]*)?)"""
+)
+_PATH = re.compile(r"""(?:\.{0,2}|~)/[^\s"'`,;<>()\[\]{}|\\?#=]*""")
+_LEAD = re.compile(r"(?:\.{1,2}|~)?[A-Za-z0-9+/_=-]*")
 _BITS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -90,10 +97,22 @@ def entropy_windows(run: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def _allowed(word: str, run: str, at: int) -> bool:
-    return bool(_WEB.search(word[:at]) or _WEB.search(word) and "://" in word) or any(p.fullmatch(run) for p in ALLOWED[4:]) or any(
-        p.search(run) for p in ALLOWED[:4]
-    )
+def _allowed(run: str, begin: int, end: int) -> bool:
+    """True if fixed forms, placeholders, alphabet runs and dates cover a span of the run but for parts too short for a secret."""
+    upto = begin
+    for a, b in sorted(m.span() for p in ALLOWED[:4] for m in p.finditer(run) if m.start() < end and m.end() > begin):
+        if a - upto >= LEAST["assign"]:
+            return False
+        upto = max(upto, b)
+    return end - upto < LEAST["assign"]
+
+
+def _paths(word: str) -> list[tuple[int, int]]:
+    """Where the addresses of a word have their host and path, and the file path it begins with has what follows its first run."""
+    found = [m.span(1) for m in _ADDRESS.finditer(word)]
+    if path := _PATH.match(word):
+        found.append((_LEAD.match(word).end(), path.end()))
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -113,11 +132,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     for word in LONG.finditer(text):
-        w, at = word[0], word.start()
+        w, at, paths = word[0], word.start(), None
         for m in CANDIDATE.finditer(w):
-            spans = list(entropy_windows(m[0]))
-            if spans and not _allowed(w, m[0], m.start()):
-                found += [(at + m.start() + a, 3, at + m.start() + b) for a, b in spans]
+            spans, first = list(entropy_windows(m[0])), m.start()
+            if not spans or any(p.fullmatch(m[0]) for p in ALLOWED[4:]):
+                continue
+            if paths is None:
+                paths = _paths(w)
+            for a, b in spans:
+                if not _allowed(m[0], a, b) and not any(x <= first + a and first + b <= y for x, y in paths):
+                    found.append((at + first + a, 3, at + first + b))
     return found
 
 
