@@ -4,7 +4,8 @@ Every DOM node gets the characters per tag of its subtree, adjusted by the share
 density sum adds up the densities of its children; the node with the largest sum holds the main text. The smallest
 density on the path from there to the body is the threshold from which neighbours along that path still count as part of
 the article, and an enclosing article element wins over both. Elements that are never article text (menus, forms,
-scripts, adverts, reader comments and so on, by tag, role or class) are cut while reading.
+scripts, adverts, reader comments and so on, by tag, role or whole class names) are cut after reading, unless they hold the
+page's article or main element or, where it has none and a name or a form is the reason, most of its unlinked text.
 """
 
 from __future__ import annotations
@@ -40,25 +41,27 @@ NEVER = {"comment", "comments", "commentlist", "disqus", "ad", "ads", "advert",
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL
 )
-_NAMES = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _WORD = re.compile(r"[a-z]+")
 
 
-def _unwanted(attributes: str) -> bool:
-    """True if class, id, role or a hidden mark says that an element is not article text."""
-    for m in _NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+def _named(value: str, words: set[str]) -> bool:
+    """True if one of the names of a class or id consists of such words alone."""
+    return any(parts and words.issuperset(parts) for parts in map(_WORD.findall, value.split()))
+
+
+def _unwanted(attributes: str) -> str:
+    """Why an element is not article text: a hidden mark, a name (class, id or role), or nothing."""
+    why = ""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role":
-            if value in BAD_ROLES:
-                return True
-            continue
-        if name in ("class", "id"):
-            parts = set(_WORD.findall(value))
-            if parts & NEVER or parts & BAD_WORDS and not parts & GOOD_WORDS:
-                return True
-    return False
+            return "hidden"
+        if name == "role" and value in BAD_ROLES:
+            why = "name"
+        elif name in ("class", "id") and (_named(value, NEVER) or _named(value, BAD_WORDS) and not GOOD_WORDS & set(value.split())):
+            why = "name"
+    return why
 
 
 class Page:
@@ -68,7 +71,9 @@ class Page:
         self.tag, self.parent, self.first, self.last = ["#root"], [-1], [0], [0]
         self.runs: list[str] = []
         self.owner: list[int] = []
+        self.doubtful: list[tuple[int, str]] = []
         self._read(source)
+        self._drop()
 
     def _open(self, tag: str, stack: list[int]) -> int:
         self.tag.append(tag)
@@ -93,8 +98,7 @@ class Page:
             m = _TOKEN.search(source, at)
             if not m:
                 break
-            if not cut:
-                self._text(source[at : m.start()], stack[-1])
+            self._text(source[at : m.start()], stack[-1])
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -102,7 +106,7 @@ class Page:
             closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
             if closing:
                 depth = next((d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == tag), 0)
-                if tag not in INLINE and not cut:
+                if tag not in INLINE:
                     self._text(" ", stack[-1])
                 if depth and not (cut and depth < cut - 1):
                     self._close(stack, depth)
@@ -124,10 +128,9 @@ class Page:
                     continue
                 close = source.find(">", stop)
                 at = close + 1 if close >= 0 else ends
-                if not cut:
-                    self._text(" ", stack[-1])
+                self._text(" ", stack[-1])
                 continue
-            if tag not in INLINE and not cut:
+            if tag not in INLINE:
                 self._text(" ", stack[-1])
             if tag in VOID:
                 continue
@@ -146,12 +149,45 @@ class Page:
             if cut and len(stack) < cut:
                 cut = 0
             stack.append(self._open(tag, stack))
-            if not cut and tag not in ("html", "body", "article", "main") and (tag in CUT or attributes and _unwanted(attributes)):
-                cut = len(stack)
-        if not cut:
-            self._text(source[at:], stack[-1])
+            if tag not in ("html", "body", "article", "main"):
+                why = attributes and _unwanted(attributes)
+                if why == "hidden" or tag in CUT:
+                    why = "name" if tag == "form" and why != "hidden" else "tag"
+                if why:
+                    self.doubtful.append((stack[-1], why))
+                    cut = cut or len(stack)
+        self._text(source[at:], stack[-1])
         self._close(stack, 0)
 
+    def _drop(self) -> None:
+        """Take out the text of elements that are not article text."""
+        if not self.doubtful:
+            return
+        n = len(self.tag)
+        inside, linked, holds = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            linked[i] = self.tag[i] == "a" or linked[p]
+            inside[i] = self.tag[i] in ("article", "main") or inside[p]
+            if inside[i] and not inside[p]:
+                while p >= 0 and not holds[p]:
+                    holds[p], p = True, self.parent[p]
+        plain = [0]
+        for run, node in zip(self.runs, self.owner):
+            plain.append(plain[-1] + (0 if linked[node] else len("".join(run.split()))))
+        kept, upto = bytearray(b"\1") * len(self.runs), 0
+        for i, why in self.doubtful:
+            a, b = self.first[i], self.last[i]
+            if b <= upto or holds[i] or why == "name" and not holds[0] and 2 * (plain[b] - plain[a]) > plain[-1]:
+                continue
+            kept[a:b], upto = bytes(b - a), b
+        place = [0]
+        for k in kept:
+            place.append(place[-1] + k)
+        self.first, self.last = [place[i] for i in self.first], [place[i] for i in self.last]
+        self.runs = [r for r, k in zip(self.runs, kept) if k]
+        self.owner = [o for o, k in zip(self.owner, kept) if k]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Link-adjusted density of every node, and the sum over its children (a leaf's own density)."""
         n = len(self.tag)

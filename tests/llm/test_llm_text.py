@@ -39,6 +39,25 @@ def test_links_weigh_against_a_block():
     assert out.startswith("Sentence number 0") and "menu" not in out and out.endswith("anywhere.")
 
 
+LONG = "".join(f"<p>Sentence number {i} of the running text, which is not linked anywhere.</p>" for i in range(4))
+WRAPPED = [
+    f"<body><div {a}>{LONG}</div><p>x</p></body>"
+    for a in ("class=content-sidebar-wrap", "class='has-sidebar'", "class='overflow-hidden'", "id=page-with-menu", "class=no-comments", 'style="overflow: hidden"',
+              'title="a hidden gem"', "class='sidebar'", "class='col hidden'")
+] + [f"<div class='{c}'><article>{LONG}</article></div><div class=ad>{LONG.replace('Sentence', 'Advert')}{LONG}</div>" for c in ("sidebar", "comments", "modal")]
+
+
+@pytest.mark.parametrize("html", WRAPPED + [f"<form id=f>{LONG}<nav>m</nav></form>"])
+def test_names_do_not_cut_the_article(html):
+    out = extract.main_text(html)
+    assert all(f"Sentence number {i} " in out for i in range(4)) and "Advert" not in out
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar", "ad-1", "social-share", "x related"])
+def test_names_still_cut_other_parts(name):
+    assert "Extra" not in extract.main_text(f"<body><div>{LONG}<div class='{name}'><p>Extra words that are not in the article.</p></div></div></body>")
+
+
 def test_pages(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     out = extract.extract(pages)
