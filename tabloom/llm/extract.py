@@ -2,8 +2,9 @@
 
 Every DOM node gets the characters per tag of its subtree, adjusted by the share of linked characters and tags. A node's
 density sum adds up the densities of its children; the node with the largest sum holds the main text. The smallest
-density on the path from there to the body is the threshold from which neighbours along that path still count as part of
-the article, and an enclosing article element wins over both. Elements that are never article text (menus, forms,
+density on the path from there to the body is the threshold from which neighbours along that path, whatever their tag,
+and bare text between them still count as part of the article; short parts also count by as many unlinked characters per
+tag as the path has at least, since the density grows with a part's size. An enclosing article element wins over both. Elements that are never article text (menus, forms,
 scripts, adverts, reader comments and so on, by tag, role or whole class names) are cut after reading, unless they hold the
 page's article or main element or, where it has none and a name or a form is the reason, most of its unlinked text.
 """
@@ -188,6 +189,27 @@ class Page:
         self.runs = [r for r, k in zip(self.runs, kept) if k]
         self.owner = [o for o, k in zip(self.owner, kept) if k]
 
+    def _beside(self, above: int, below: int, children: list[int]) -> list[tuple[int, int, list[int]]]:
+        """First and last run and nodes of what `above` holds beside `below`: blocks, and bare text with its inline elements."""
+        groups: list[list] = []
+        bare, at = False, self.first[above]
+        for i in [*children, -1]:
+            a, b = (self.first[i], self.last[i]) if i >= 0 else (self.last[above], self.last[above])
+            inline = i >= 0 and i != below and self.tag[i] in INLINE
+            if (a > at or inline) and not bare:
+                groups.append([at, a, []])
+                bare = True
+            if bare:
+                groups[-1][1] = b if inline else a
+            if inline:
+                groups[-1][2].append(i)
+            else:
+                bare = False
+                if i >= 0 and i != below:
+                    groups.append([a, b, [i]])
+            at = b
+        return [tuple(g) for g in groups]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Link-adjusted density of every node, and the sum over its children (a leaf's own density)."""
         n = len(self.tag)
@@ -206,6 +228,7 @@ class Page:
             tags[p] += tags[i] + 1
             anchors[p] += anchors[i] + (self.tag[i] == "a")
         ratio = links[0] / max(chars[0], 1)
+        self.counts = chars, links, tags
         density = [0.0] * n
         for i in range(n):
             c, t = chars[i], max(tags[i], 1)
@@ -235,16 +258,26 @@ class Page:
         article = next((i for i in path if self.tag[i] in ("article", "main")), None)
         if article is not None:
             return self.text(self.first[article], self.last[article])
-        threshold = min(density[i] for i in path if density[i] > 0) if any(density[i] > 0 for i in path) else 0.0
+        if not any(density[i] > 0 for i in path):
+            return self.text(self.first[best], self.last[best])
+        threshold = min(density[i] for i in path if density[i] > 0)
         first, last = self.first[best], self.last[best]
         spans = [(first, last)]
+        chars, links, tags = self.counts
+        least = min((chars[i] - links[i]) / max(tags[i], 1) for i in path if density[i] > 0)
+        children: dict[int, list[int]] = {}
+        for i in range(1, len(self.tag)):
+            children.setdefault(self.parent[i], []).append(i)
         for above, below in zip(path[1:], path):
-            for i in range(above + 1, len(self.tag)):
-                if self.parent[i] != above or i == below:
-                    continue
-                dense = density[i] >= threshold and sums[i] >= threshold
-                if self.tag[i] == "h1" or dense and self.tag[i] in ("h2", "h3", "p", "blockquote", "pre", "section", "div"):
-                    spans.append((self.first[i], self.last[i]))
+            for a, b, nodes in self._beside(above, below, children[above]):
+                block = len(nodes) == 1 and self.tag[nodes[0]] not in INLINE
+                plain = sum(len("".join(r.split())) for r in self.runs[a:b]) - sum(links[i] for i in nodes)
+                dense = plain / max(sum(tags[i] + (not block) for i in nodes), 1) >= least
+                if block:
+                    i = nodes[0]
+                    dense = self.tag[i] == "h1" or dense or density[i] >= threshold and sums[i] >= threshold
+                if dense and (plain > 0 or block):
+                    spans.append((a, b))
             if self.tag[above] == "body":
                 break
         return " ".join(filter(None, (self.text(a, b) for a, b in sorted(spans))))

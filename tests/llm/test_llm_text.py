@@ -58,6 +58,23 @@ def test_names_still_cut_other_parts(name):
     assert "Extra" not in extract.main_text(f"<body><div>{LONG}<div class='{name}'><p>Extra words that are not in the article.</p></div></div></body>")
 
 
+ITEM = "Item number {} of the list between the parts, which is as long as any sentence of the text."
+BETWEEN = [
+    "<ul>" + "".join(f"<li>{ITEM.format(i)}</li>" for i in range(5)) + "</ul>", "<dl>" + "".join(f"<dd>{ITEM.format(i)}</dd>" for i in range(5)) + "</dl>",
+    "<table>" + "".join(f"<tr><td>{ITEM.format(i)} {ITEM.format(i)}</td></tr>" for i in range(5)) + "</table>",
+    " ".join(ITEM.format(i) for i in range(5)), "<br>".join(f"{ITEM.format(i)} <b>b</b>" for i in range(5)),
+    "<figure>" + " ".join(ITEM.format(i) for i in range(5)) + "</figure>",
+]
+
+
+@pytest.mark.parametrize("between", BETWEEN)
+def test_blocks_between_parts_of_a_split_article(between):
+    part = "".join(f"<p>Sentence number {i} of the running text, which is not linked to anywhere.</p>" for i in range(8))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>menu entry {i} that leads to another page of this place</a></li>" for i in range(9)) + "</ul>"
+    out = extract.main_text(f"<body>{menu}<div><div>{part}</div>{between}<div>{part}</div></div></body>")
+    assert out.count("Sentence number") == 16 and all(f"Item number {i} " in out for i in range(5)) and "menu" not in out
+
+
 def test_pages(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     out = extract.extract(pages)
