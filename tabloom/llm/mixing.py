@@ -133,7 +133,9 @@ def planned(items: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> Dat
     ends = run.groupBy(*[f"p_{k}" for k in LEVELS], "prefix").agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("order"))).alias("last"))
     # documents of earlier cells sort before the prefix itself, so the prefix is the cut when none inside fits
     cuts = ends.select(*[F.col(f"p_{k}").alias(f"b_{k}") for k in LEVELS], F.coalesce("last", "prefix").alias("cut"))
-    return stored(base.join(cuts, _same("p_", "b_"), "left").select(*[f"p_{k}" for k in LEVELS], "budget", "passes", "cut"), "mix")
+    # a leaf without tokens costs nothing: it is taken as a whole, by a cut above every hexadecimal key
+    cut = F.when(F.col("tokens") == 0, F.lit("g")).otherwise(F.col("cut")).alias("cut")
+    return stored(base.join(cuts, _same("p_", "b_"), "left").select(*[f"p_{k}" for k in LEVELS], "budget", "passes", cut), "mix")
 
 
 def _same(a: str, b: str) -> Column:

@@ -87,3 +87,17 @@ def test_sampled_repeats_rows_by_epoch(spark):
     for r in mixing.sampled(docs, share=2.3, epochs=3).collect():
         n[r.doc_id] = n.get(r.doc_id, 0) + 1
     assert len(n) == 50 and sum(n.values()) == 115 and set(n.values()) == {2, 3}
+
+
+def test_leaf_without_tokens_is_taken_like_in_sql(spark):
+    import duckdb
+
+    rows = [(1, "a b c d", "en", "src1"), (2, "e f g h", "en", "src1"), (3, "", "en", "src2"), (4, None, "en", "src2"), (5, " ", "de", "src3"), (6, "", "en", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    want = {r[0]: r[-1] for r in con.execute(ORACLES["op4_source_mixing"]).fetchall()}
+    got = {r.doc_id: r.copies for r in mixing.mixed(docs).collect()}
+    assert got == want and got[3] == got[4] == got[5] == 1
+    assert {3, 4, 5} <= {r.doc_id for r in mixing.sampled(docs).collect()}
