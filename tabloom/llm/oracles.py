@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-from tabloom.llm import mixing, quality
+from tabloom.llm import mixing, quality, resampling
 
 _WS = r"[\x20\x09-\x0D]+"
 
@@ -93,3 +93,29 @@ r AS (SELECT i.*, p.budget, p.passes, p.budget - p.passes * p.tokens AS rest, md
 SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget,
   (passes + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o) <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RESAMPLING_SQL = rf"""
+WITH RECURSIVE crc(i, step, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE step < 8),
+t256 AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE step = 8),
+w AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL SELECT 'b', NULL, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+v AS (SELECT word, hex(encode(word)) AS hx FROM (SELECT DISTINCT word FROM w)),
+sums(word, hx, pos, c) AS (SELECT word, hx, 1, 4294967295::BIGINT FROM v UNION ALL
+  SELECT word, hx, pos + 2, xor(c >> 8, (SELECT t FROM t256)[xor(c & 255, ('0x' || substr(hx, pos, 2))::BIGINT) + 1]) FROM sums WHERE pos < length(hx)),
+k AS (SELECT word, xor(c, 4294967295) % {resampling.BUCKETS} AS bucket FROM sums WHERE pos > length(hx)),
+f AS (SELECT side, doc_id, bucket FROM w JOIN k USING (word)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + {resampling.BUCKETS})::DOUBLE)
+  / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM n),
+x AS (SELECT doc_id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+r AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM r WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= {resampling.PERCENT} * able // 100 THEN place END AS rank
+FROM r LEFT JOIN o ON o.doc_id = r.doc_id
+"""
