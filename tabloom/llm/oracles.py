@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-from tabloom.llm import mixing, quality, resampling
+from tabloom.llm import mixing, phrases, quality, resampling
 
 _WS = r"[\x20\x09-\x0D]+"
 
@@ -119,3 +119,27 @@ o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, c
 SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= {resampling.PERCENT} * able // 100 THEN place END AS rank
 FROM r LEFT JOIN o ON o.doc_id = r.doc_id
 """
+
+
+def _grams(n: int) -> str:
+    return f"SELECT lang, {" || ' ' || ".join(f'w{k}' for k in range(1, n + 1))} AS phrase FROM g WHERE w{n} IS NOT NULL"
+
+
+PHRASES_SQL = rf"""
+WITH pieces AS (SELECT row_number() OVER () AS piece_id, lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT piece_id, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM pieces),
+g AS (SELECT lang, w1, {", ".join(f"lead(w1, {k - 1}) OVER o AS w{k}" for k in range(2, phrases.LONGEST + 1))} FROM w WINDOW o AS (PARTITION BY piece_id ORDER BY i)),
+f AS (SELECT lang, phrase, lang || chr(0) || phrase AS key, count(*)::BIGINT AS f FROM ({" UNION ALL ".join(_grams(n) for n in range(1, phrases.LONGEST + 1))}) GROUP BY ALL),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE f >= {phrases.LEAST} AND contains(phrase, ' ')),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM c, range(1, {phrases.LONGEST}) r(k) WHERE k < len(ws)),
+s AS (SELECT cuts.lang, cuts.phrase, a, k, h.f AS l, t.f AS r, (({phrases.SCALE}::HUGEINT * a) // (h.f + t.f))::BIGINT AS score FROM cuts
+  JOIN f h ON h.key = cuts.lang || chr(0) || head JOIN f t ON t.key = cuts.lang || chr(0) || tail),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS over FROM c, range(1, {phrases.LONGEST}) x(i), range(2, {phrases.LONGEST + 1}) y(j)
+  WHERE j > i AND j <= len(ws) AND j - i + 1 < len(ws) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ o ON o.lang = best.lang AND o.phrase = best.phrase WHERE 100 * coalesce(over, 0) < {phrases.COVERED} * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE NOT contains(phrase, ' ') GROUP BY lang) n ON n.lang = kept.lang
+QUALIFY rank <= {phrases.TOP}
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import extract, hnsw, lm, minhash, mixing, packing, quality, resampling, secrets, sharding, toxicity
-from tabloom.llm.oracles import MIXING_SQL, QUALITY_SQL, RESAMPLING_SQL
+from tabloom.llm import extract, hnsw, lm, minhash, mixing, packing, phrases, quality, resampling, secrets, sharding, toxicity
+from tabloom.llm.oracles import MIXING_SQL, PHRASES_SQL, QUALITY_SQL, RESAMPLING_SQL
 from tabloom.session import load
 
 
@@ -53,10 +53,14 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_bloom_lm_scoring, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search, op11_target_resampling,
+        op1_minhash_near_dedup, op2_bloom_lm_scoring, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search, op11_target_resampling, op12_phrase_mining,
     )
 }
-ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL, "op11_target_resampling": RESAMPLING_SQL}
+ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL, "op11_target_resampling": RESAMPLING_SQL, "op12_phrase_mining": PHRASES_SQL}
