@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import extract, hnsw, lm, minhash, mixing, packing, phrases, quality, resampling, secrets, sharding, toxicity
+from tabloom.llm import extract, hnsw, lm, metric, minhash, mixing, packing, phrases, quality, resampling, secrets, sharding, toxicity
 from tabloom.llm.oracles import MIXING_SQL, PHRASES_SQL, QUALITY_SQL, RESAMPLING_SQL
 from tabloom.session import load
 
@@ -57,10 +57,14 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(load(spark, sf_dir, "documents"))
 
 
+def op13_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.joined(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_bloom_lm_scoring, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search, op11_target_resampling, op12_phrase_mining,
+        op1_minhash_near_dedup, op2_bloom_lm_scoring, op3_secret_scan, op4_source_mixing, op5_toxicity, op6_html_extraction, op7_sharding, op8_best_fit_packing, op9_quality_rules, op10_hnsw_search, op11_target_resampling, op12_phrase_mining, op13_metric_jaccard_join,
     )
 }
 ORACLES = {"op4_source_mixing": MIXING_SQL, "op9_quality_rules": QUALITY_SQL, "op11_target_resampling": RESAMPLING_SQL, "op12_phrase_mining": PHRASES_SQL}
