@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabloom.llm.base import stored
+from tabloom.llm.base import small_batches, stored
 from tabloom.llm.shingles import mix
 
 #: Phrases have 2 to LONGEST words and at least LEAST occurrences; TOP are returned per language.
@@ -42,8 +42,8 @@ SCALE = 2_000_000
 #: Candidates per language that a round of unknown threshold expands, as a multiple of TOP, and steps of that choice.
 FIRST = 3
 STEPS = 4096
-#: Words of a chunk at which it is closed, and the bits of a bitmap.
-CHUNK = 1 << 18
+#: Words of a chunk at which it is closed, the chunks a task reads at once, and the bits of a bitmap.
+CHUNK, AT_ONCE = 1 << 16, 16
 MARKS = 1 << 24
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +62,7 @@ def word_hash(word: bytes) -> int:
 class _Words(dict):
     """Hash of each word, and back; emptied between chunks once large."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -92,15 +92,15 @@ def encoded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, open_, sizes = _Words(), {}, {}
-        entry = pa.struct([("id", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 
         def closed(lang: str) -> pa.RecordBatch:
             ids = np.concatenate(open_.pop(lang))
             sizes.pop(lang)
             known, n = np.unique(ids[ids != _END], return_counts=True)
-            found = [{"id": i, "word": words.back[i].decode("utf-8", "replace"), "n": c} for i, c in zip(known.tolist(), n.tolist())]
-            arrays = [pa.array([lang]), pa.array([ids], pa.list_(pa.int64())), pa.array([found], pa.list_(entry))]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "ids", "vocabulary"])
+            strings = pa.array([words.back[i].decode("utf-8", "replace") for i in known.tolist()], pa.string())
+            found = pa.StructArray.from_arrays([pa.array(known), strings, pa.array(n)], ["id", "word", "n"])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays([pa.array([lang]), one(pa.array(ids)), one(found)], names=["lang", "ids", "vocabulary"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text")):
@@ -195,7 +195,9 @@ def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tupl
 
     schema = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long"
     counts = chunks.select("lang", "ids").mapInArrow(run, schema)
-    return counts.groupBy("lang", *names).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    counts = counts.groupBy("lang", *names).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    with small_batches(chunks.sparkSession, AT_ONCE):
+        return stored(counts, "counts")
 
 
 def _score(a: str | Column, l: str | Column, r: str | Column) -> Column:  # noqa: E741
@@ -284,7 +286,7 @@ def mined(docs: DataFrame) -> DataFrame:
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.where(F.col("a") >= LEAST)
     known = _marks(frequent, 1)
-    counts: dict[int, DataFrame | None] = {1: frequent, 2: stored(_counted(chunks, 2, known), "pairs"), 3: None, 4: None}
+    counts: dict[int, DataFrame | None] = {1: frequent, 2: _counted(chunks, 2, known), 3: None, 4: None}
     pairs = stored(_bounded(_scored(counts[2], 2, counts)), "scored")
     start = F.lit(SCALE).cast("long")  # above every score
     plan = stored(pairs.select("lang").distinct().select("lang", start.alias("low"), F.lit(False).alias("done")), "plan")
