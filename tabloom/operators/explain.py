@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tabloom.functions.ordering import hash_ranks
 from tabloom.operators import evaluate
 from tabloom.operators.models import Score, Trained
+from tabloom.operators.treeshap import Trees, tree_shap
 from tabloom.session import beside, checkpointed, values_frame
 
 REPEATS = 10
-BACKGROUND = 100  # rows a Shapley estimate averages over, as the method defines it
 # Sentence templates of a text explanation.
 INTRO = "The prediction was primarily influenced by:"
 LINE = "%d. **%s** (value: %.2f) %s the prediction by %.4f"
@@ -60,22 +60,22 @@ def shap_linear(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     return beside(df, means).select("id", F.explode(cells).alias("s")).select("id", "s.*")
 
 
-def shap_sampled(score: Score, output: Column, df: DataFrame, names: list[str], permutations: int = 16, background: int = BACKGROUND, seed: int = 42) -> DataFrame:
+def shap_sampled(score: Score, output: Column, df: DataFrame, names: list[str], permutations: int = 16, seed: int = 42) -> DataFrame:
     """(id, feature, value, shap_value) for any model, by permutation sampling.
 
-    For each row and permutation a hashed background row is turned into the row one
-    feature at a time; the change of the output belongs to that feature. The values
-    of a row add up to its output minus the mean output of the background rows used.
+    For each row and permutation another row of the table, drawn by hash from all of them, is turned into the row one
+    feature at a time; the change of the output belongs to that feature. The values of a row add up to its output minus
+    the mean output of the rows it was compared with.
     """
     d = len(names)
     rows = df.select("id", vector_to_array("features").alias("x"))
-    back = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(background).select("x").collect()  # at most `background` rows
-    held = F.array(*[F.array(*[F.lit(float(v)) for v in r["x"]]) for r in back])
-    one = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    pick = (F.pmod(F.xxhash64("id", "perm", F.lit(seed + 1)), F.lit(len(back))) + 1).cast("int")
+    placed = checkpointed(hash_ranks(rows.withColumn("__h", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed)))), [], "__h", "place").drop("__h"))
+    count = F.lit(placed.count())
+    one = placed.drop("place").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    pick = F.pmod(F.xxhash64("id", "perm", F.lit(seed + 1)), count)
     order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(
         F.xxhash64("id", "perm", i, F.lit(seed)).alias("h"), i.alias("i")))), lambda s: s["i"])
-    one = one.withColumns({"b": F.element_at(held, pick), "order": order})
+    one = one.withColumns({"pick": pick, "order": order}).join(placed.select(F.col("place").alias("pick"), F.col("x").alias("b")), "pick")
     steps = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(d))))
     mixed = F.transform("x", lambda v, i: F.when(
         F.array_position(F.slice("order", 1, F.col("k")), i.cast("int")) > 0, v).otherwise(F.element_at(F.col("b"), (i + 1).cast("int"))))
@@ -91,6 +91,17 @@ def shap_sampled(score: Score, output: Column, df: DataFrame, names: list[str],
         "id", label.alias("feature"), "value", "shap_value")
 
 
+def shap_values(trained: Trained, df: DataFrame, names: list[str], output: Column, which: int | None = None) -> DataFrame:
+    """Exact contributions for tree models, sampled ones for all others.
+
+    Of a classifier's outputs `which` is explained: by default class 1 of two, and class 0 of more.
+    """
+    if not hasattr(trained.model, "featureImportances"):
+        return shap_sampled(trained.score, output, df, names)
+    trees = Trees.of(trained.model, df.sparkSession)
+    return tree_shap(df, trees, names, int(len(trees.expected) == 2) if which is None else which)
+
+
 def global_importance(phi: DataFrame) -> DataFrame:
     """(feature, importance, importance_normalized, rank) from the mean absolute contributions."""
     mean = phi.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("importance"))
@@ -126,7 +137,7 @@ def predict_explain(trained: Trained, df: DataFrame, names: list[str], output: C
     if hasattr(trained.model, "featureImportances"):
         table = tree_importance(trained, names, df.sparkSession)
         return preds.join(F.broadcast(table))  # one row per feature
-    phi = shap_sampled(trained.score, output, df, names)
+    phi = shap_values(trained, df, names, output)
     return preds.join(phi.select("id", "feature", F.abs("shap_value").alias("importance")), "id")
 
 

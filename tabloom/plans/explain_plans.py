@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabloom.functions.cells import tidy
-from tabloom.operators import explain, headers, models, predict
+from tabloom.operators import explain, headers, models, predict, treeshap
 from tabloom.plans.frames import PEOPLE
 from tabloom.plans.model_plans import TEXT_FEATURES, VALUE_FEATURES, class_table, fitted, value_table
 from tabloom.plans.registry import Frame, query
@@ -80,6 +81,63 @@ def customer_shapley(spark, d):
     return explain.shap_sampled(trained.score, F.col("prediction"), test, VALUE_FEATURES)
 
 
+@query("tree_shap")
+def customer_tree_shap(spark, d):
+    trained, test = fitted(value_table(spark, d), "decision_tree", False)
+    return explain.shap_values(trained, test, VALUE_FEATURES, F.col("prediction"))
+
+
+@query("tree_shap_classes")
+def document_tree_shap(spark, d):
+    trained, test = fitted(class_table(spark, d), "random_forest", True)
+    return explain.shap_values(trained, test, TEXT_FEATURES, F.col("probability")[1])
+
+
+# a pricing rule over the line items: (left, right, feature, threshold) or a value; node weights are counted from the table
+RULE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+RULE = {0: (1, 2, 0, 25.0), 1: (3, 4, 1, 0.05), 2: (5, 6, 2, 0.04), 3: 10.0, 4: (7, 8, 0, 12.0), 5: 30.0, 6: (9, 10, 1, 0.03), 7: 18.0, 8: 25.0, 9: 41.0, 10: 60.0}
+RULE_NODES = {k: treeshap.Node(0.0, np.array([n])) if isinstance(n, float) else treeshap.Node(0.0, np.zeros(1), *n) for k, n in RULE.items()}
+
+
+def _reach(at: int) -> str:
+    """The condition under which a row comes to a node."""
+    for k, n in RULE.items():
+        if not isinstance(n, float) and at in n[:2]:
+            return f"({_reach(k)} AND {RULE_FEATURES[n[2]]} {'<=' if at == n[0] else '>'} {n[3]}::DOUBLE)"
+    return "true"
+
+
+def _expected(at: int, known: frozenset[int]) -> str:
+    """The tree's value below a node if the features in `known` are followed and the others averaged."""
+    n = RULE[at]
+    if isinstance(n, float):
+        return f"{n}::DOUBLE"
+    a, b = _expected(n[0], known), _expected(n[1], known)
+    if n[2] in known:
+        return f"(CASE WHEN {RULE_FEATURES[n[2]]} <= {n[3]}::DOUBLE THEN {a} ELSE {b} END)"
+    return f"((n{n[0]} * {a} + n{n[1]} * {b}) / n{at})"
+
+
+def _rule_phi(i: int) -> str:
+    """A Shapley value by its definition, over all sets of the other two features."""
+    a, b = (j for j in range(3) if j != i)
+    terms = [(2, ()), (1, (a,)), (1, (b,)), (2, (a, b))]
+    return " + ".join(f"{w} / 6.0 * ({_expected(0, frozenset((*s, i)))} - {_expected(0, frozenset(s))})" for w, s in terms)
+
+
+RULE_SQL = f"""WITH n AS (SELECT {", ".join(f"CAST(count(*) FILTER ({_reach(k)}) AS DOUBLE) AS n{k}" for k in RULE)} FROM lineitem),
+t AS (SELECT {LINE_IDS.exprs[0]}, l_quantity, l_discount, l_tax, {", ".join(f"{_rule_phi(i)} AS p{i}" for i in range(3))} FROM lineitem, n)
+""" + " UNION ALL ".join(f"SELECT id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, round(p{i}, 6) + 0.0 AS shap_value FROM t" for i, c in enumerate(RULE_FEATURES))
+
+
+@query("tree_shap_rule", RULE_SQL)
+def line_tree_shap(spark, d):
+    t = LINE_IDS(spark, d)
+    trees = treeshap.Trees.given([treeshap.weighed(RULE_NODES, t, RULE_FEATURES)])
+    phi = treeshap.tree_shap(t, trees, RULE_FEATURES, features=F.array(*[F.col(c).cast("double") for c in RULE_FEATURES]))
+    return phi.withColumn("shap_value", tidy(F.col("shap_value"), 6))
+
+
 @query("predict_explain")
 def customer_explained(spark, d):
     trained, test = fitted(value_table(spark, d), "decision_tree", False)
