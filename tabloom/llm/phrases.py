@@ -1,7 +1,7 @@
 """Phrase collocation mining by best-first branch and bound.
 
-1. One pass over the texts stores them as chunks of word hashes, a row per chunk and language, with the chunk's word counts.
-   Every later pass reads arrays only.
+1. One pass over the texts stores them as chunks of word hashes (of language and word), with the chunk's word counts. Every
+   later pass reads arrays only.
 2. Words and word pairs are counted. A pair can only be frequent if both words are; a bitmap of fixed size marks the
    frequent words, so rare ones leave before the shuffle.
 3. The frontier holds the frequent phrases whose extensions are not counted yet. With l the count of a prefix' first
@@ -59,108 +59,106 @@ def word_hash(word: bytes) -> int:
     return value if value not in (_END, _SKIP) else 2
 
 
-class _Words(dict):
-    """Hash of each word, and back; emptied between chunks once large."""
+class _Words:
+    """Hash of each word of each language, and back; emptied between chunks once large."""
 
     LIMIT = 100_000
 
     def __init__(self) -> None:
-        super().__init__()
-        self.back: dict[int, bytes] = {}
-        self.reset()
+        self.of_lang: dict[str, _Hashes] = {}
+        self.back: dict[int, tuple[str, bytes]] = {}
+
+    def of(self, lang: str, text: str) -> np.ndarray:
+        """Word hashes with _END between pieces and at the end."""
+        known = self.of_lang.get(lang)
+        if known is None:
+            known = self.of_lang[lang] = _Hashes(lang, self.back)
+        parts = text.encode("utf-8", "replace").translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        return np.append(ids[ids != _SKIP], _END)
+
 
-    def reset(self) -> None:
-        self.clear()
-        self.back.clear()
-        self.update({b"\n": _END, b"": _SKIP})
+class _Hashes(dict):
+    def __init__(self, lang: str, back: dict[int, tuple[str, bytes]]) -> None:
+        super().__init__({b"\n": _END, b"": _SKIP})
+        self.lang, self.seed, self.back = lang, lang.encode("utf-8", "replace") + b"\n", back
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = word_hash(word)
-        self.back[value] = word
+        value = self[word] = word_hash(self.seed + word)
+        self.back[value] = (self.lang, word)
         return value
 
-    def of(self, text: str) -> np.ndarray:
-        """Word hashes with _END between pieces."""
-        parts = text.encode("utf-8", "replace").translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-        return ids[ids != _SKIP]
-
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """Chunks (lang, ids, vocabulary array of (id, word, n)); a document is never cut. Null languages are `und`."""
-    schema = "lang string, ids array<long>, vocabulary array<struct<id:long,word:string,n:long>>"
+    """Chunks (ids, vocabulary array of (id, lang, word, n)); a document is never cut. Null languages are `und`."""
+    schema = "ids array<long>, vocabulary array<struct<id:long,lang:string,word:string,n:long>>"
+
+    def one(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, open_, sizes = _Words(), {}, {}
+        words, parts, size = _Words(), [], 0
 
-        def closed(lang: str) -> pa.RecordBatch:
-            ids = np.concatenate(open_.pop(lang))
-            sizes.pop(lang)
+        def closed() -> pa.RecordBatch:
+            ids = np.concatenate(parts)
             known, n = np.unique(ids[ids != _END], return_counts=True)
-            strings = pa.array([words.back[i].decode("utf-8", "replace") for i in known.tolist()], pa.string())
-            found = pa.StructArray.from_arrays([pa.array(known), strings, pa.array(n)], ["id", "word", "n"])
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays([pa.array([lang]), one(pa.array(ids)), one(found)], names=["lang", "ids", "vocabulary"])
+            names = [words.back[i] for i in known.tolist()]
+            columns = [pa.array(known), pa.array([x for x, _ in names], pa.string()), pa.array([w.decode("utf-8", "replace") for _, w in names], pa.string()), pa.array(n)]
+            found = pa.StructArray.from_arrays(columns, ["id", "lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([one(pa.array(ids)), one(found)], names=["ids", "vocabulary"])
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text")):
-                text, lang = text.as_py(), lang.as_py()
-                if not text:
-                    continue
-                lang = "und" if lang is None else lang
-                ids = words.of(text)
-                open_.setdefault(lang, []).extend([ids, np.zeros(1, np.int64)])
-                sizes[lang] = sizes.get(lang, 0) + len(ids) + 1
-                if sizes[lang] >= CHUNK:
-                    yield closed(lang)
-                if len(words) > words.LIMIT:
-                    yield from [closed(x) for x in list(open_)]
-                    words.reset()
-        yield from [closed(x) for x in list(open_)]
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    if text:
+                        parts.append(words.of("und" if lang is None else lang, text))
+                        size += len(parts[-1])
+                    if size >= CHUNK:
+                        yield closed()
+                        parts, size = [], 0
+                        if len(words.back) > words.LIMIT:
+                            words = _Words()
+        if parts:
+            yield closed()
 
     return docs.select("lang", "text").mapInArrow(run, schema)
 
 
-def _slots(lang: str, columns: list[np.ndarray]) -> np.ndarray:
+def _slots(columns: list[np.ndarray]) -> np.ndarray:
     """Place in a bitmap of each phrase given word by word."""
-    seed = int.from_bytes(blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-    acc = np.full(len(columns[0]), np.uint64(seed))
+    acc = np.full(len(columns[0]), np.uint64(len(columns)))
     for c in columns:
         acc = mix((acc + c.view(np.uint64)) * _K)
     return (acc >> np.uint64(20)).astype(np.int64) % MARKS
 
 
 def _marks(phrases: DataFrame, words: int) -> np.ndarray:
-    """Bitmap (a boolean array of MARKS items) of phrases (lang, w1, w2...): its size does not depend on their number."""
+    """Bitmap (MARKS bits as bytes) of phrases (w1, w2...): its size does not depend on their number."""
     names = [f"w{k}" for k in range(1, words + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(MARKS, bool)
         for batch in batches:
-            lang = np.array(batch.column("lang").to_pylist(), object)
-            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            for x in dict.fromkeys(lang.tolist()):
-                here = np.flatnonzero(lang == x)
-                bits[_slots(x, [c[here] for c in columns])] = True
+            bits[_slots([batch.column(n).to_numpy(zero_copy_only=False) for n in names])] = True
         packed = np.packbits(bits).view(np.int64)
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "bits"])
 
-    parts = phrases.select("lang", *names).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    parts = phrases.select(*names).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     table = parts.toArrow()  # at most MARKS / 64 rows
     packed = np.zeros(MARKS // 64, np.int64)
     packed[table.column("at").to_numpy()] = table.column("bits").to_numpy()
-    return np.unpackbits(packed.view(np.uint8)).view(bool)
+    return packed.view(np.uint8)
 
 
 def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tuple[int, int, np.ndarray]] | None = None) -> DataFrame:
-    """(lang, w1...wn, a) of phrases of `words` words that may be frequent, each at least LEAST times.
+    """(w1...wn, a) of phrases of `words` words that may be frequent, each at least LEAST times. Stored.
 
     All words must be marked in `known`, and with `chosen`, a list of (start, length, bitmap), some part must be in its bitmap.
     """
     names = [f"w{k}" for k in range(1, words + 1)]
-    maps = [np.packbits(known), *[np.packbits(m) for _, _, m in chosen or ()]]
-    sent = chunks.sparkSession.sparkContext.broadcast(maps)  # MARKS / 8 bytes each
+    sent = chunks.sparkSession.sparkContext.broadcast([known, *[m for _, _, m in chosen or ()]])  # MARKS / 8 bytes each
     parts = [(start, size) for start, size, _ in chosen or ()]
 
     def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -168,11 +166,11 @@ def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, ids in zip(batch.column("lang"), batch.column("ids")):
-                lang, ids = lang.as_py(), ids.values.to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                ids = batch.column("ids").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
                 if len(ids) < words:
                     continue
-                good = (ids != _END) & marked(sent.value[0], _slots(lang, [ids]))
+                good = (ids != _END) & marked(sent.value[0], _slots([ids]))
                 fits = np.ones(len(ids) - words + 1, bool)
                 for k in range(words):
                     fits &= good[k : len(ids) - words + 1 + k]
@@ -180,7 +178,7 @@ def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tupl
                 if parts:
                     wanted = np.zeros(len(at), bool)
                     for (start, size), bits in zip(parts, sent.value[1:]):
-                        wanted |= marked(bits, _slots(lang, [ids[at + k] for k in range(start, start + size)]))
+                        wanted |= marked(bits, _slots([ids[at + k] for k in range(start, start + size)]))
                     at = at[wanted]
                 if not len(at):
                     continue
@@ -190,12 +188,10 @@ def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tupl
                 new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(at)))
-                arrays = [pa.array([lang] * len(first)), *[pa.array(c[first]) for c in columns], pa.array(n)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", *names, "a"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[first]) for c in columns], pa.array(n)], names=[*names, "a"])
 
-    schema = "lang string, " + ", ".join(f"{n} long" for n in names) + ", a long"
-    counts = chunks.select("lang", "ids").mapInArrow(run, schema)
-    counts = counts.groupBy("lang", *names).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    counts = chunks.select("ids").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", a long")
+    counts = counts.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
     with small_batches(chunks.sparkSession, AT_ONCE):
         return stored(counts, "counts")
 
@@ -209,17 +205,17 @@ def _score(a: str | Column, l: str | Column, r: str | Column) -> Column:  # noqa
 
 def _with(df: DataFrame, counts: DataFrame, words: list[str], name: str) -> DataFrame:
     """Add the count of the phrase made of columns `words`; null if it is not in `counts`."""
-    right = counts.select(F.col("lang").alias("_lang"), *[F.col(f"w{k}").alias(f"_w{k}") for k in range(1, len(words) + 1)], F.col("a").alias(name))
-    on = F.col("lang") == F.col("_lang")
+    right = counts.select(*[F.col(f"w{k}").alias(f"_w{k}") for k in range(1, len(words) + 1)], F.col("a").alias(name))
+    on = F.lit(True)
     for k, w in enumerate(words, 1):
         on = on & (F.col(w) == F.col(f"_w{k}"))
-    return df.join(right, on, "left").drop("_lang", *[f"_w{k}" for k in range(1, len(words) + 1)])
+    return df.join(right, on, "left").drop(*[f"_w{k}" for k in range(1, len(words) + 1)])
 
 
 def _scored(level: DataFrame, words: int, counts: dict[int, DataFrame]) -> DataFrame:
-    """Add f1 (count of the first word), the lowest-scoring known cut (score, l, r) and `whole`: all cuts are known."""
+    """Add lang, f1 (count of the first word), the lowest-scoring known cut (score, l, r) and `whole`: all cuts are known."""
     names = [f"w{k}" for k in range(1, words + 1)]
-    out = _with(level, counts[1], names[:1], "f1")
+    out = level.join(counts[1].select("w1", "lang", F.col("a").alias("f1")), "w1")
     cuts, whole = [], F.lit(True)
     for k in range(1, words):
         out = _with(out, counts[k], names[:k], f"l{k}") if k > 1 else out.withColumn("l1", F.col("f1"))
@@ -260,7 +256,7 @@ def _survivors(level: DataFrame, longer: DataFrame | None, words: int, plan: Dat
     out = level.where("whole").join(plan, "lang").where(F.col("score") >= F.col("low"))
     if longer is not None:
         for shift in (0, 1):
-            ends = longer.groupBy("lang", *[F.col(f"w{k + shift}").alias(f"w{k}") for k in range(1, words + 1)]).agg(F.max("a").alias("a"))
+            ends = longer.groupBy(*[F.col(f"w{k + shift}").alias(f"w{k}") for k in range(1, words + 1)]).agg(F.max("a").alias("a"))
             out = _with(out, ends, names, f"over{shift}")
         over = F.greatest(F.coalesce("over0", F.lit(0)), F.coalesce("over1", F.lit(0)))
         out = out.where(100 * over < COVERED * F.col("a"))
@@ -279,10 +275,11 @@ def mined(docs: DataFrame) -> DataFrame:
     Null texts are empty; a null language is `und`. Repeated rows count as often as they occur. Ties are ordered by a, then
     by phrase. Languages without candidates, and empty tables, give no rows.
     """
-    chunks = stored(encoded(docs), "chunks")
+    with small_batches(docs.sparkSession):
+        chunks = stored(encoded(docs), "chunks")
     v = F.col("v")
-    words = chunks.select("lang", F.explode("vocabulary").alias("v")).groupBy("lang", v["id"].alias("w1"))
-    words = stored(words.agg(F.sum(v["n"]).alias("a"), F.min(v["word"]).alias("word")), "words")
+    words = chunks.select(F.explode("vocabulary").alias("v")).groupBy(v["id"].alias("w1"))
+    words = stored(words.agg(F.sum(v["n"]).alias("a"), F.min(v["lang"]).alias("lang"), F.min(v["word"]).alias("word")), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.where(F.col("a") >= LEAST)
     known = _marks(frequent, 1)
@@ -302,7 +299,7 @@ def mined(docs: DataFrame) -> DataFrame:
         fours = stored(_scored(counts[4], 4, counts), "scored")
         # the last three words of a four-word candidate may be an unexpanded phrase: count it by itself
         open_ = fours.where("not whole").join(plan, "lang").where(F.col("score") >= F.col("low"))
-        wanted = open_.select("lang", *[F.col(f"w{k + 1}").alias(f"w{k}") for k in (1, 2, 3)])
+        wanted = open_.select(*[F.col(f"w{k + 1}").alias(f"w{k}") for k in (1, 2, 3)])
         if not wanted.isEmpty():
             counts[3] = stored(_joined(counts[3], _counted(chunks, 3, known, [(0, 3, _marks(wanted, 3))])), "triples")
             triples = stored(_bounded(_scored(counts[3], 3, counts)), "scored")
@@ -317,8 +314,7 @@ def mined(docs: DataFrame) -> DataFrame:
     best = F.rank().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
     top = found.withColumn("best", best).where(F.col("best") <= TOP)
     for k in range(1, LONGEST + 1):
-        name = words.select(F.col("lang").alias("_l"), F.col("w1").alias("_w"), F.col("word").alias(f"s{k}"))
-        top = top.join(name, (F.col("lang") == F.col("_l")) & (F.col(f"w{k}") == F.col("_w")), "left").drop("_l", "_w")
+        top = top.join(words.select(F.col("w1").alias("_w"), F.col("word").alias(f"s{k}")), F.col(f"w{k}") == F.col("_w"), "left").drop("_w")
     top = top.withColumn("phrase", F.concat_ws(" ", *[f"s{k}" for k in range(1, LONGEST + 1)]))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     out = top.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= TOP)
