@@ -42,6 +42,8 @@ RADIUS = 0.5
 SAMPLE, SAMPLE_BYTES, APART = 512, 1 << 15, 0.8
 #: Most shingles of a class on average. More than D classes must stay filled, which is rare to fail but for short texts.
 FILL = 4.5
+#: Sets up to a size are also cut at so many further depths, as theirs are the classes that chance may leave empty.
+EXTRA = ((24, 3), (100, 1))
 #: Nodes and bytes of sets of a block in the exact comparison of a ring; a task holds two blocks.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 _SLACK = 1e-9
@@ -69,27 +71,42 @@ def _classes(shingles: np.ndarray, k: int) -> np.ndarray:
     return np.append(0, np.flatnonzero(top[1:] != top[:-1]) + 1)
 
 
+def _extra(n: int) -> int:
+    return next((more for size, more in EXTRA if n <= size), 0)
+
+
+def own_depths(n: int) -> list[int]:
+    """Depths at which every set of n shingles is cut: its own, that of larger partners, and more if it is short."""
+    return list(range(depth(n), depth(100 * n // PERCENT) + _extra(n) + 1))
+
+
+def projections(shingles: np.ndarray, k: int) -> np.ndarray:
+    """Keys of what the set holds in its filled classes: the first D + 1 by their own order, or all if they are fewer."""
+    at, most = _classes(shingles, k), most_apart(len(shingles))
+    with np.errstate(over="ignore"):
+        keys = mix(np.add.reduceat(mix(shingles ^ _K), at) + np.uint64(k) * _K)
+    return np.partition(keys, most)[: most + 1] if len(keys) > most + 1 else keys
+
+
 def finer(shingles: np.ndarray) -> int | None:
-    """The depth a set must ask its partners for, if its own leaves too few classes filled; else None."""
-    n = len(shingles)
-    k, d = depth(n), most_apart(n)
-    if d == 0 or len(_classes(shingles, k)) > d:
+    """The depth a set must ask its smaller partners for, if too few classes are filled where both are cut anyway; else None.
+
+    A pair shares a projection at every depth at which one of the two has more than D filled classes. Both are cut at the
+    depth of the larger set and at its extra ones.
+    """
+    n, most = len(shingles), most_apart(len(shingles))
+    k = depth(n)
+    if most == 0 or any(len(_classes(shingles, d)) > most for d in range(k, k + _extra(n) + 1)):
         return None
-    while len(_classes(shingles, k)) <= d:
+    while len(_classes(shingles, k)) <= most:
         k += 1
     return k
 
 
-def depths(n: int, asked: list[tuple[int, int]]) -> list[int]:
-    """Depths at which a set of n shingles is cut: its own, that of larger partners, and those asked for."""
-    own = {depth(n), depth(100 * n // PERCENT)}
-    return sorted(own | {k for size, k in asked if PERCENT * size <= 100 * n and PERCENT * n <= 100 * size})
-
-
-def projections(shingles: np.ndarray, k: int) -> np.ndarray:
-    """One key for each filled class: what the set holds there."""
-    at = _classes(shingles, k)
-    return mix(np.add.reduceat(mix(shingles ^ _K), at) + np.uint64(k) * _K)
+def asked_depths(n: int, asked: list[tuple[int, int]]) -> list[int]:
+    """Further depths that sets near n shingles ask for."""
+    more = {k for size, k in asked if PERCENT * size <= 100 * n and PERCENT * n <= 100 * size}
+    return sorted(more - set(own_depths(n)))
 
 
 class Pivots:
@@ -144,49 +161,58 @@ def chosen_pivots(docs: DataFrame) -> Pivots:
     return Pivots(kept)
 
 
-def signatures(docs: DataFrame, pivots: Pivots) -> DataFrame:
-    """doc_id, n_shingles, node (null without words), label (a linked pivot, else the node) and the depth it asks for."""
+def keyed(shingles: np.ndarray, depths: list[int], regions: list[int]) -> np.ndarray:
+    """Keys of all regions that a set belongs to or visits, at the given depths."""
+    cut = np.concatenate([projections(shingles, k) for k in depths])
+    with np.errstate(over="ignore"):
+        return np.concatenate([mix(cut + np.uint64(r) * _K) if r else cut for r in regions]).view(np.int64)
 
-    def run(batch: dict[str, list], hashes: WordHashes) -> dict[str, list]:
-        sets = [shingle_set(t, hashes, WIDTH) for t in batch["text"]]
-        nodes = [node_id(s) if len(s) else None for s in sets]
-        linked = [pivots.placed(s)[0] if len(s) else None for s in sets]
-        return {
-            "doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": nodes,
-            "label": [n if p is None else p for n, p in zip(nodes, linked)], "asks": [finer(s) if len(s) else None for s in sets],
-        }
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, n_shingles long, node long, label long, asks int", run, WordHashes)
+class _Seen(set):
+    """Nodes a task has met, so that copies are cut once; a table of bounded size."""
 
+    LIMIT = 200_000
 
-def members(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]]) -> DataFrame:
-    """(key, label, node, n): every region of every level a document's set belongs to or visits."""
+    def new(self, node: int) -> bool:
+        if node in self:
+            return False
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self.add(node)
+        return True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cuts = WordHashes(), {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                keys, info = [], []
-                for text in batch.column("text").slice(start, 128).to_pylist():
-                    s = shingle_set(text, hashes, WIDTH)
-                    if most_apart(len(s)) == 0:
-                        continue  # only equal sets link, and those are one node
-                    node = node_id(s)
-                    pivot, regions = pivots.placed(s)
-                    if len(s) not in cuts:
-                        cuts[len(s)] = depths(len(s), asked)
-                    cut = np.concatenate([projections(s, k) for k in cuts[len(s)]])
-                    for r in regions:
-                        keys.append(mix(cut + np.uint64(r) * _K) if r else cut)
-                        info.append((node if pivot is None else pivot, node, len(s)))
-                if keys:
-                    times = [len(k) for k in keys]
-                    columns = [np.repeat(np.array([i[c] for i in info], np.int64), times) for c in range(3)]
-                    arrays = [pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, columns)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "label", "node", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, label long, node long, n long")
+
+def signatures(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]] | None = None) -> DataFrame:
+    """doc_id, n_shingles, node (null without words), label (a linked pivot, else the node), the depth it asks for, and keys.
+
+    `keys` are those of the own depths, or with `asked` of the depths asked for. They are null where another row of the task
+    has the same set, and for sets so small that only equal ones link.
+    """
+
+    def run(batch: dict[str, list], state: tuple[WordHashes, _Seen, dict]) -> dict[str, list]:
+        hashes, seen, cuts = state
+        names = ("n_shingles", "node", "label", "asks", "keys")
+        out: dict[str, list] = {k: [] for k in names}
+        for text in batch["text"]:
+            s = shingle_set(text, hashes, WIDTH)
+            n = len(s)
+            row = (0, None, None, None, None)
+            if n:
+                node = node_id(s)
+                pivot, regions = pivots.placed(s)
+                keys = None
+                if most_apart(n) and seen.new(node):
+                    if n not in cuts:
+                        cuts[n] = own_depths(n) if asked is None else asked_depths(n, asked)
+                    keys = keyed(s, cuts[n], regions) if cuts[n] else None
+                row = (n, node, node if pivot is None else pivot, finer(s), keys)
+            for k, v in zip(names, row):
+                out[k].append(v)
+        return out | {"doc_id": batch["doc_id"], "keys": pa.array(out["keys"], pa.list_(pa.int64()))}
+
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, n_shingles long, node long, label long, asks int, keys array<long>"
+    return map_batches(docs.select("doc_id", "text"), schema, run, lambda: (WordHashes(), _Seen(), {}))
 
 
 def _shared(a: bytes, b: bytes) -> tuple[int, int]:
@@ -301,12 +327,17 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, sigs: DataFrame, pivots: Pivots) -> DataFrame:
     """(node, label) where labels of `sigs` are joined further: equal labels are one component."""
-    # pairs of a size and a depth: too few filled classes are only met among the few sizes of short texts
+    cells = sigs.select(F.explode("keys").alias("key"), "label", "node", F.col("n_shingles").alias("n"))
+    # pairs of a size and a depth, met by chance among the few sizes of short texts alone, if at all
     asked = [tuple(r) for r in sigs.where("asks is not null").select("n_shingles", "asks").distinct().collect()]
-    cells = stored(members(docs, pivots, asked), "cells")
-    shared = cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("node", "label", "n")).alias("c"))
-    shared = shared.where("lo < hi").select("key", F.col("c.node").alias("center"), F.col("c.label").alias("x"), F.col("c.n").alias("m"))
-    own = stored(cells.join(stored(shared, "shared"), "key").distinct(), "own")
+    if asked:
+        more = stored(signatures(docs, pivots, asked), "asked")
+        cells = cells.union(more.select(F.explode("keys").alias("key"), "label", "node", F.col("n_shingles").alias("n")))
+    shared = cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("center"))
+    own = cells.join(stored(shared.where("lo < hi").select("key", "center"), "shared"), "key").distinct()
+    own = stored(own, "own")
+    middle = own.where(F.col("node") == F.col("center")).select("key", F.col("label").alias("x"), F.col("n").alias("m"))
+    own = stored(own.join(middle, "key"), "regions")
     sets = full_sets(docs, sigs, own.select("node").distinct())
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
     stars = own.where(F.col("label") != F.col("x")).where(fits).select(F.col("center").alias("u"), F.col("node").alias("v"), "x", F.col("label").alias("y"))

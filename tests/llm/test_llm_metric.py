@@ -55,6 +55,8 @@ def corpus(seed, groups, most, words, vocabulary=500, change=40):
 )
 def test_brute_force(spark, seed, groups, most, words, vocabulary, change, sample, monkeypatch):
     monkeypatch.setattr(metric, "BLOCK", 16)
+    if seed == 2:  # as if many classes stayed empty: depths are asked for
+        monkeypatch.setattr(metric, "EXTRA", ())
     if not sample:
         monkeypatch.setattr(metric, "chosen_pivots", lambda docs: metric.Pivots([]))
     rows = corpus(seed, groups, most, words, vocabulary, change)
@@ -74,16 +76,19 @@ def linked_pairs(seed, sizes):
                 yield x, y
 
 
-@pytest.mark.parametrize("fill", [4.5, 5.6])
-def test_linked_sets_share_a_region_of_each_level(fill, monkeypatch):
+@pytest.mark.parametrize("fill,extra", [(4.5, metric.EXTRA), (5.6, ()), (9, ((40, 1),))])
+def test_linked_sets_share_a_region_of_each_level(fill, extra, monkeypatch):
     monkeypatch.setattr(metric, "FILL", fill)
+    monkeypatch.setattr(metric, "EXTRA", extra)
     pairs = list(linked_pairs(1, [*range(1, 90), 150, 170, 400, 1000]))
     assert len(pairs) > 500
-    asked = {(len(x), k) for p in pairs for x in p if (k := metric.finer(x)) is not None}
+    asked = sorted({(len(x), k) for p in pairs for x in p if (k := metric.finer(x)) is not None})
     assert asked or fill < 5
     for x, y in pairs:
-        keys = [{int(k) for d in metric.depths(len(s), sorted(asked)) for k in metric.projections(s, d)} for s in (x, y)]
+        cuts = [metric.own_depths(len(s)) + metric.asked_depths(len(s), asked) for s in (x, y)]
+        keys = [{int(k) for d in c for k in metric.projections(s, d)} for c, s in zip(cuts, (x, y))]
         assert np.array_equal(x, y) or keys[0] & keys[1]
+        assert all(len(metric.projections(x, d)) <= metric.most_apart(len(x)) + 1 for d in cuts[0])
 
 
 def test_windows_lose_no_linked_pair():
