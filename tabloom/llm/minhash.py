@@ -30,8 +30,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of a block in the exact comparison of buckets that a star does not settle.
-BLOCK = 512
+#: Members and bytes of sets of a block in the exact comparison of buckets that a star does not settle.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 
 _EDGES = (np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)).astype(np.uint64)
 _ORDERS = np.array([np.random.default_rng(1_000 + i).permutation(BINS) for i in range(BINS)])
@@ -181,14 +181,17 @@ def _bridges(sets: list[np.ndarray], labels: list[int]) -> Iterator[tuple[int, i
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between components that share a bucket, found without pairs of rows.
 
-    Buckets that lie in several components are cut into blocks of about BLOCK members; a task compares two blocks at a
-    time as a product of membership tables. Buckets of two were settled by their only edge.
+    Buckets that lie in several components are cut into blocks of about BLOCK members or BLOCK_BYTES; a task compares two
+    blocks at a time as a product of membership tables. Buckets of two were settled by their only edge.
     """
     own = _labelled(_labelled(members.where("size > 2"), labels, "node", "label"), labels, "center", "center_label")
-    own = stored(own.select("band", "node", "size", "label", "center_label"), "labelled")
-    apart = own.where("label <> center_label").select("band").distinct()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = own.join(apart, "band").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    own = stored(own.select("band", "node", "n", "label", "center_label"), "labelled")
+    apart = own.groupBy("band").agg(
+        F.max((F.col("label") != F.col("center_label")).cast("int")).alias("apart"),
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"),
+    )
+    blocks = F.col("blocks")
+    cut = own.join(apart.where("apart = 1"), "band").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
     rows = cut.join(sets, "node").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")

@@ -176,7 +176,11 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFr
 
 
 def sampled(docs: DataFrame, share: float = SHARE, epochs: int = 1) -> DataFrame:
-    """The chosen rows of `docs` with all their columns, repeated once for each epoch that takes them."""
+    """The chosen rows of `docs` with all their columns, repeated once for each epoch that takes them.
+
+    Null texts have no tokens; null languages and sources are leaves of their own. Rows equal in id and text are taken
+    together, and an empty table gives an empty result.
+    """
     row = boxed(docs)
     def items() -> DataFrame:
         return _items(row, F.col("row.doc_id"), F.col("row.text"), F.col("row.lang"), F.col("row.source"), [F.col("row")])

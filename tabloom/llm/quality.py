@@ -180,7 +180,10 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns; extra columns of any name are carried through."""
+    """The rows of `docs` that pass, with all their columns; extra columns of any name are carried through.
+
+    Rows with a null or blank text go; repeated rows stay or go together, and an empty table gives an empty result.
+    """
     row = boxed(docs)
     metrics = measured(row, F.col("row.text"), [F.col("row"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source")])
     return unboxed(judged(stored(metrics, "quality")).where("kept"), docs.columns)

@@ -103,3 +103,9 @@ def test_redaction(edges, nothing):
 def test_redacted_lengths(spark):
     row = secrets.redacted(spark.createDataFrame([(1, "x deadbeefdeadbeef00", 20)], "doc_id long, text string, n_chars long")).first()
     assert (row.text, row.n_chars) == ("x [SECRET]", 10)
+
+
+def test_letters_and_separators_are_allowed_at_any_length():
+    for parts in (3, 63, 64, 65, 200):
+        run = "-".join(["Some", "Words"] * parts)
+        assert secrets.entropy_spans(f"a {run} b") == []
