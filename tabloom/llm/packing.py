@@ -3,8 +3,9 @@
 Every shard holds about SEQUENCES sequences and is packed by itself, so memory stays bounded and the waste is at most
 about half a sequence per shard. Inside a shard, best-fit decreasing gives the start. The local search then takes the
 emptiest bins and offers their documents to the fuller ones: a move, or an exchange of one for one, two for one or one
-for two, is made when it fills the fuller bin further. Each exchange shifts tokens from emptier to fuller bins and so
-raises the sum of squared fills; what stays behind is packed again, and bins that end empty are gone.
+for two, is made when it fills the fuller bin further. Every different length and sum of two lengths that a bin can give
+is tried. Each exchange shifts tokens from emptier to fuller bins and so raises the sum of squared fills; what stays behind
+is packed again, and bins that end empty are gone. Rounds go on while bins empty, with ever fewer bins to empty at once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from tabloom.llm.base import map_batches, stored
 CAPACITY = 1024
 SEQUENCES = 1024
 END_ID = 2
-ROUNDS = 6
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -51,7 +51,7 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    own: list[Tokenizer] = []  # loaded when a text needs it
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = [t["content"] for t in model["added_tokens"]]
@@ -62,7 +62,9 @@ def encoder(path: str):
 
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not own:
+                own.append(Tokenizer.from_file(path))
+            return np.array(own[0].encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return ids
@@ -132,15 +134,28 @@ def best_fit(items: list[int], lengths: list[int], capacity: int) -> list[list[i
     return bins
 
 
+def _gives(own: list[int], lengths: list[int]) -> dict[int, tuple[int, ...]]:
+    """Every total that one or two documents of a bin have, each with documents that have it; one alone where both can."""
+    by: dict[int, list[int]] = {}
+    for i in own:
+        by.setdefault(lengths[i], []).append(i)
+    out: dict[int, tuple[int, ...]] = {}
+    for n, ids in by.items():
+        for m, others in by.items():
+            if m < n:
+                out.setdefault(n + m, (ids[0], others[0]))
+        if len(ids) > 1:
+            out.setdefault(2 * n, (ids[0], ids[1]))
+    return out | {n: (ids[0],) for n, ids in by.items()}
+
+
 def _exchange(own: list[int], lengths: list[int], room: int, pool: _Pool) -> bool:
     """Fill one bin further from the pool by its best move or exchange; False if none fits."""
     gain, plan = pool.upto(room), ((), None)
     if gain:
         plan = ((), (gain,))
     if gain < room:
-        gives = [(i,) for i in own] + [(own[a], own[b]) for a in range(len(own)) for b in range(a)]
-        for give in gives[:64]:
-            n = sum(lengths[i] for i in give)
+        for n, give in _gives(own, lengths).items():
             one = pool.upto(n + room)
             if one - n > gain:
                 gain, plan = one - n, (give, (one,))
@@ -164,17 +179,19 @@ def _exchange(own: list[int], lengths: list[int], room: int, pool: _Pool) -> boo
     return True
 
 
-def packed(lengths: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[list[int]]:
+def packed(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of item numbers. No item is longer than `capacity`."""
     full = [[i] for i, n in enumerate(lengths) if n == capacity]
     bins = best_fit([i for i, n in enumerate(lengths) if n < capacity], lengths, capacity)
     fill = lambda b: sum(lengths[i] for i in b)
-    for turn in range(rounds):
+    share = 2
+    while True:
         full += [b for b in bins if fill(b) == capacity]
         bins = sorted((b for b in bins if fill(b) < capacity), key=fill)
         if sum(map(fill, bins)) > capacity * (len(bins) - 1):
-            break
-        emptiest, others = bins[: max(1, len(bins) >> (turn + 2))], [list(b) for b in bins[max(1, len(bins) >> (turn + 2)) :]]
+            break  # no fewer bins can hold them
+        few = max(1, len(bins) >> share)
+        emptiest, others = bins[:few], [list(b) for b in bins[few:]]
         pool = _Pool(capacity)
         for b in emptiest:
             for i in b:
@@ -184,8 +201,12 @@ def packed(lengths: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS) -
             while room and _exchange(b, lengths, room, pool):
                 room = capacity - fill(b)
         left = best_fit([i for items in pool.at for i in items], lengths, capacity)
-        if len(left) <= len(emptiest):
+        if len(left) <= few:
             bins = others + left
+        if len(left) >= few:  # none emptied: try fewer at once, down to the emptiest alone
+            if few == 1:
+                break
+            share += 1
     return full + bins
 
 
