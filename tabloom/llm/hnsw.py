@@ -33,6 +33,30 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("bkd,bkd->bk", d, d)
 
 
+def _ranged(x: np.ndarray, top: float) -> np.ndarray:
+    """`x` as the walk needs it, if `top` is the largest component it meets: float32, or beyond the range in which
+    its squares keep their digits, float64 divided by a power of two, which changes no comparison."""
+    if top == 0 or 2.0**-40 <= top <= 2.0**40:
+        return np.ascontiguousarray(x, np.float32)
+    return np.ldexp(np.asarray(x, np.float64), -int(np.frexp(top)[1]))
+
+
+def _top(x: np.ndarray) -> float:
+    return float(np.abs(x).max(initial=0))
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> float:
+    """Euclidean distance in double precision; where the squares leave its range, after a division by a power of two."""
+    with np.errstate(over="ignore"):
+        total = float(np.square(x - q).sum())
+    if 2.0**-900 < total < np.inf:
+        return float(np.sqrt(total))
+    d = np.ldexp(x, -2) - np.ldexp(q, -2) if total else x - q
+    power = int(np.frexp(_top(d))[1])
+    with np.errstate(over="ignore"):
+        return float(np.ldexp(np.sqrt(np.square(np.ldexp(d, -power)).sum()), power + (2 if total else 0)))
+
+
 class Layer:
     """A graph over some nodes: padded neighbour numbers, -1 for none."""
 
@@ -48,7 +72,7 @@ class Layer:
         seen[:, -1] = True
         np.put_along_axis(seen, start.astype(np.int64), True, 1)
         ids = np.full((count, width), -1, np.int64)
-        far = np.full((count, width), np.inf, np.float32)
+        far = np.full((count, width), np.inf, x.dtype)
         done = np.ones((count, width), bool)
         s = start.shape[1]
         ids[:, :s], far[:, :s], done[:, :s] = start, _distances(x[start], q), start < 0
@@ -147,7 +171,7 @@ class Graph:
 
     @classmethod
     def build(cls, x: np.ndarray, seed: int = 11) -> Graph:
-        x = np.ascontiguousarray(x, np.float32)
+        x = _ranged(x, _top(x))
         draw = np.random.default_rng(seed).random(len(x))
         height = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
         order = np.argsort(-height, kind="stable")
@@ -169,7 +193,7 @@ class Graph:
     def _insert(self, nodes: np.ndarray) -> None:
         q = self.x[nodes]
         norm = np.einsum("ij,ij->i", q, q)
-        inner = np.maximum(norm[:, None] + norm[None, :] - 2 * (q @ q.T), 0).astype(np.float32)
+        inner = np.maximum(norm[:, None] + norm[None, :] - 2 * (q @ q.T), 0).astype(q.dtype)
         np.fill_diagonal(inner, np.inf)
         start = np.zeros((len(nodes), 1), np.int64)
         for _, layer in reversed(self.layers):
@@ -181,7 +205,7 @@ class Graph:
                 # nodes not yet linked cannot be reached, as only linked ones have neighbours
             else:
                 ids = np.full((len(nodes), 1), -1, np.int64)
-                far = np.full((len(nodes), 1), np.inf, np.float32)
+                far = np.full((len(nodes), 1), np.inf, q.dtype)
             if here.any():
                 own = np.flatnonzero(here)
                 k = min(BUILD_WIDTH, len(own))
@@ -283,16 +307,18 @@ def search(graphs: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     stream = left.union(right).repartition("shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = ids = exact = None
+        graph = ids = exact = largest = None
 
         def answer(query: list[int], v: list[list[float]]) -> pa.RecordBatch:
             q = np.array(v, np.float64)
-            found = graph.search(q.astype(np.float32), k + 1, width)
+            top = max(_top(q), largest)
+            now = graph if _ranged(exact[:1], top).dtype == graph.x.dtype == np.float32 else Graph(_ranged(exact, top), graph.layers)
+            found = now.search(_ranged(q, top), k + 1, width)
             out: tuple[list, list, list] = ([], [], [])
             for i, numbers in enumerate(found):
                 hits = []
                 for n in numbers[numbers >= 0]:
-                    score = float(np.sqrt(np.square(exact[n] - q[i]).sum()))
+                    score = _exact(exact[n], q[i])
                     hits += [(score, other) for other in ids[n] if other != query[i]]
                 for score, other in sorted(hits)[:k]:
                     for column, value in zip(out, (query[i], other, score)):
@@ -309,7 +335,8 @@ def search(graphs: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                     row = {n: batch.column(n)[at].as_py() for n in ("vectors", "ids", "sizes", "near")}
                     ids = row["ids"]
                     exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-                    graph = Graph.load(exact.astype(np.float32), row["sizes"], row["near"])
+                    largest = _top(exact)
+                    graph = Graph.load(_ranged(exact, largest), row["sizes"], row["near"])
                     at += 1
                     continue
                 end = at

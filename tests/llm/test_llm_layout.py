@@ -1,6 +1,7 @@
 """Sharding, packing and neighbour search."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -223,3 +224,73 @@ def test_ties_and_unusable_vectors(spark):
     few = hnsw.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [4.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in few) == [(1, 1, 1.0), (2, 2, 3.0)]
     assert hnsw.nearest(vectors.limit(0)).collect() == []
+
+
+def test_slots_depend_on_the_seed_alone(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    key = "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(key), []
+    for parts in (3, 11):
+        spark.conf.set(key, str(parts))
+        seen.append({(r.doc_id, r.shard, r.slot) for r in sharding.assign(docs.repartition(parts)).collect()})
+    spark.conf.set(key, before)
+    assert seen[0] == seen[1]
+
+
+def test_fisher_yates_follows_its_definition(spark):
+    F = sharding.F
+    rows = spark.range(60).select("id", F.col("id").cast("int").alias("n"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(70)), lambda i: F.pmod(F.xxhash64(F.lit(5), "id", i), i + 1))
+    for r in rows.select("n", sharding.fisher_yates(F.col("n"), F.lit(5), F.col("id")).alias("got"), draws.alias("draws")).where("n > 0").collect():
+        order = list(range(r.n))
+        for i in range(r.n - 1, 0, -1):
+            j = r.draws[i]
+            order[i], order[j] = order[j], order[i]
+        assert r.got == order
+
+
+def test_permutations_are_evenly_spread(spark):
+    F = sharding.F
+    got = spark.range(6000).select(sharding.fisher_yates(F.lit(3), F.lit(1), F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(got) == 6 and all(850 < r["count"] < 1150 for r in got)
+
+
+def test_every_length_and_sum_of_a_bin_is_offered():
+    lengths = [3, 5, 5, 9, 1]
+    got = packing._gives(list(range(5)), lengths)
+    want = {*lengths} | {a + b for i, a in enumerate(lengths) for b in lengths[:i]}
+    assert set(got) == want and all(sum(lengths[i] for i in ids) == n for n, ids in got.items())
+    assert all(len(got[n]) == 1 for n in lengths)
+
+
+def test_search_goes_on_while_bins_empty():
+    rng = __import__("random").Random(5)
+    for top in (40, 400, 1000):
+        lengths = [rng.randint(1, top) for _ in range(3000)]
+        bins = packing.packed(lengths)
+        assert sorted(i for b in bins for i in b) == list(range(3000)) and max(sum(lengths[i] for i in b) for b in bins) <= 1024
+        assert len(bins) <= -(-sum(lengths) // 1024) * 1.03 + 1
+
+
+def test_vectors_of_any_finite_size(spark):
+    rows = [(0, [1e25, 0.0]), (100, [2e25, 0.0]), (200, [1.0, 1.0]), (1, [3e25, 1e25]), (2, [1e-30, 2e-30]), (3, [1e300, -1e300]), (4, [3e-30, 2e-30]), (300, [1e-30, 1e-30]), (400, [1.2e308, 1.2e308])]
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, v in rows:
+        if q % 100 == 0:
+            hits = sorted(got[q])
+            assert [(s, i) for _, i, s in hits] == sorted((s, i) for _, i, s in hits) and {i for _, i, _ in hits} == {i for i, _ in rows if i != q}
+            for _, i, score in hits:
+                far = math.hypot(*(a / 4 - b / 4 for a, b in zip(v, dict(rows)[i])))
+                assert score / 4 == pytest.approx(far, rel=1e-12, abs=0)
+    small = [(i, [i * 1e-30, (i * i % 7) * 1e-30]) for i in range(1, 120)]
+    out = hnsw.nearest(spark.createDataFrame(small, "vec_id long, embedding array<double>")).collect()
+    want = sorted((sum((a - b) ** 2 for a, b in zip([x * 1e30 for x in v], [y * 1e30 for y in small[99][1]])), i) for i, v in small if i != 100)[:10]
+    assert len(out) == 10 and {r.vec_id for r in out} == {i for _, i in want}
+
+
+def test_vectors_beside_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0], i, "x", 1) for i in range(1, 150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard long, v string, rank int")
+    assert [r.vec_id for r in sorted(hnsw.nearest(df).collect(), key=lambda r: r["rank"])][:2] == [99, 101]
