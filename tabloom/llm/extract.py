@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -73,11 +74,13 @@ class Page:
         self.runs: list[str] = []
         self.owner: list[int] = []
         self.doubtful: list[tuple[int, str]] = []
+        self.open: Counter[str] = Counter()  # elements of each tag that are still open
         self._read(source)
         self._drop()
 
     def _open(self, tag: str, stack: list[int]) -> int:
         self.tag.append(tag)
+        self.open[tag] += 1
         self.parent.append(stack[-1])
         self.first.append(len(self.runs))
         self.last.append(-1)
@@ -85,7 +88,9 @@ class Page:
 
     def _close(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
-            self.last[stack.pop()] = len(self.runs)
+            node = stack.pop()
+            self.open[self.tag[node]] -= 1
+            self.last[node] = len(self.runs)
 
     def _text(self, raw: str, node: int) -> None:
         if raw:
@@ -93,11 +98,16 @@ class Page:
             self.owner.append(node)
 
     def _read(self, source: str) -> None:
+        """Every character is looked at a bounded number of times, however broken the markup is."""
         stack, cut, at, ends = [0], 0, 0, len(source)
-        low = None
+        low, unclosed = None, set()
+        last = source.rfind(">") + 1  # no tag ends behind it
         while at < ends:
-            m = _TOKEN.search(source, at)
-            if not m:
+            m = _TOKEN.search(source, at, last) if at < last else None
+            if not m or m.end() == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                stop = source.find("<!--", at)  # a comment without an end takes the rest
+                self._text(source[at : stop if stop >= 0 else ends], stack[-1])
+                at = ends
                 break
             self._text(source[at : m.start()], stack[-1])
             at = m.end()
@@ -106,7 +116,7 @@ class Page:
                 continue
             closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
             if closing:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == tag), 0)
+                depth = next((d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == tag), 0) if self.open[tag] else 0
                 if tag not in INLINE:
                     self._text(" ", stack[-1])
                 if depth and not (cut and depth < cut - 1):
@@ -123,8 +133,9 @@ class Page:
                     low = source.lower()
                     if len(low) != ends:
                         low = source
-                stop = low.find(f"</{tag}", at)
+                stop = low.find(f"</{tag}", at) if tag not in unclosed else -1
                 if stop < 0:
+                    unclosed.add(tag)
                     at = ends if tag in ("script", "style", "textarea", "template", "noscript") else at
                     continue
                 close = source.find(">", stop)
@@ -135,13 +146,13 @@ class Page:
                 self._text(" ", stack[-1])
             if tag in VOID:
                 continue
-            if tag in BLOCKS_END_P:
+            if tag in BLOCKS_END_P and self.open["p"]:
                 depth = len(stack) - 1
                 while depth > 0 and self.tag[stack[depth]] in INLINE:
                     depth -= 1
                 if depth > 0 and self.tag[stack[depth]] == "p":
                     self._close(stack, depth)
-            elif tag in ENDS:
+            elif tag in ENDS and any(self.open[t] for t in ENDS[tag]):
                 depth = len(stack) - 1
                 while depth > 0 and self.tag[stack[depth]] not in SCOPES and self.tag[stack[depth]] not in ENDS[tag]:
                     depth -= 1
