@@ -1,8 +1,10 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two words weighs their common subsequences of ORDER characters, gaps included, by DECAY to the length they
-span, and is normalized; so inserted or dropped characters weaken a match instead of ending it. Words are lower-cased,
-stripped of everything but letters and digits, and get a start and an end mark. A word is described by its kernels with LANDMARKS
+span, and is normalized; so inserted or dropped characters weaken a match instead of ending it. The unit of the kernel is
+a window of a sentence: each word, each run of very short words joined (letters set apart by spaces), and of words longer
+than LONG overlapping windows, so that a text without spaces costs linear time. Units are lower-cased, stripped of
+everything but letters and digits, and get a start and an end mark. A unit, called a word below, is described by its kernels with LANDMARKS
 strings; whitening by the landmarks' own kernel matrix is the Nyström map, on which a linear machine with squared hinge
 loss is trained. A sentence is as toxic as its worst word. As labels belong to documents, the worst sentence of a toxic
 document is its positive example and the worst sentences of clean ones join the negatives, chosen anew in every round. A
@@ -28,6 +30,10 @@ LANDMARKS = 28
 #: How many of them are ordinary words, and how many are the clean words that a first machine takes for toxic ones.
 COMMON, HARD = 2, 6
 LANDMARK_LENGTH = 10
+#: Longest word that is one unit, and the length and step of the windows of longer ones.
+LONG, WINDOW, STEP = 48, 32, 16
+#: Words of at most SHORT characters are joined where at least RUN of them stand in a row.
+SHORT, RUN = 2, 3
 #: Labelled documents of each class used for training.
 SAMPLE = 800
 #: Negative sentences of each clean training document.
@@ -45,6 +51,34 @@ def plain(word: str) -> str:
     return "^" + _OTHER.sub("", word.lower()) + "$"
 
 
+def _windows(word: str) -> list[str]:
+    return [word] if len(word) <= LONG else [word[k : k + WINDOW] for k in range(0, len(word) - STEP, STEP)]
+
+
+def units(text: str | None) -> list[str]:
+    """What the kernel sees of a text, in the order of its sentences."""
+    words = (text or "").split()
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short = size <= SHORT
+    near = short[2:] & short[1:-1] & short[:-2]
+    if not near.any() and not (size > LONG).any():
+        return words
+    out: list[str] = []
+    run: list[str] = []
+    for w in [*words, None]:
+        if w is not None and len(w) <= SHORT:
+            run.append(w)
+            continue
+        if len(run) >= RUN:
+            # the joined run stands before its words, so that a stop mark at its end closes the sentence after both
+            out += _windows("".join(run).rstrip(_ENDS) or run[0])
+        out += run
+        run = []
+        if w is not None:
+            out += _windows(w)
+    return out
+
+
 def _spread(width: int) -> np.ndarray:
     """DECAY ** (column - row + 1) above the diagonal: what a match at `row` still weighs at a later end `column`."""
     gap = np.arange(width + 1)[None, :] - np.arange(width)[:, None]
@@ -229,7 +263,7 @@ def _fit(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5)
 
 def train(texts: list[str], labels: list[int], count: int = LANDMARKS, seed: int = 7) -> Model | None:
     """Fit on whole labelled documents; None if a class is missing."""
-    split = [t.split() for t in texts]
+    split = [units(t) for t in texts]
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
@@ -359,7 +393,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         return kept_kernels(model) if model else None
 
     def run(batch: dict[str, list], kernels: WordKernels | None) -> dict[str, list]:
-        texts = [(t or "").split() for t in batch["text"]]
+        texts = [units(t) for t in batch["text"]]
         value = model.scores(texts, kernels) if model else np.zeros(len(texts))
         return {"doc_id": batch["doc_id"], "score": value.tolist()}
 

@@ -212,3 +212,50 @@ def test_language_model_of_odd_tables(edges, nothing):
     assert lm.score(nothing).collect() == []
     lone = edges.where("doc_id = 3").selectExpr("30 as doc_id", "text", "lang")
     assert lm.score(lone).count() == 1
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<title>" * 150_000, "<div>" * 60_000 + "</span>" * 60_000, "<b>" * 60_000 + "<p></p>" * 40_000,
+                                  "<!-- x" * 150_000, "<a \"'>" * 150_000, "<li>" * 40_000 + "<b>" * 40_000 + "<td>" * 40_000])
+def test_broken_markup_costs_linear_time(page):
+    t = __import__("time").process_time()
+    extract.Page(page)
+    assert __import__("time").process_time() - t < 8
+
+
+def test_tags_and_comments_without_an_end():
+    read = lambda s: "".join(extract.Page(s).runs)
+    assert read("a<b>c</b>d <e").split() == ["acd", "<e"]
+    assert read("a <b>c</b> d <!-- gone > too").split() == ["a", "c", "d"]
+    assert read("a <!-- gone <b>x").split() == ["a"] and read("1 < 2 > 0").split() == ["1", "<", "2", ">", "0"]
+
+
+def test_pages_beside_clashing_columns(spark):
+    html = "<html><body><nav>menu</nav><article><p>" + "some article text " * 20 + "</p></article></body></html>"
+    df = spark.createDataFrame([(1, "u", html, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    r = extract.extract(df).first()
+    assert r.text == ("some article text " * 20).strip() and r.n_chars == len(r.text)
+
+
+def test_units_of_a_text():
+    assert toxicity.units("plain words only here.") == ["plain", "words", "only", "here."]
+    assert toxicity.units("you i d i o t. end") == ["you", "idiot", "i", "d", "i", "o", "t.", "end"]
+    assert toxicity.units(None) == [] == toxicity.units(" ")
+    long = "".join(chr(97 + i % 26) for i in range(1000))
+    cut = toxicity.units(f"a {long} b")
+    assert cut[0] == "a" and cut[-1] == "b" and max(map(len, cut)) <= toxicity.LONG
+    assert all(any(long[i : i + 12] in c for c in cut) for i in range(988))
+
+
+def test_long_words_and_spaced_letters():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(3, 8))) for _ in range(300)]
+    say = lambda *more: " ".join(rng.choices(words, k=14) + list(more) + rng.choices(words, k=6)) + "."
+    model = toxicity.train([say() for _ in range(90)] + [say("blockhead") for _ in range(90)], [0] * 90 + [1] * 90, count=16)
+    tables = toxicity.WordKernels(model.landmarks, model.weights)
+    of = lambda t: float(model.scores([toxicity.units(t)], tables)[0])
+    clean = max(of(say()) for _ in range(20))
+    assert of(say("b l o c k h e a d")) > clean and of(say("blo", "ck", "he", "ad")) >= 0
+    assert of("".join(rng.choices(words, k=40)) + "blockhead" + "".join(rng.choices(words, k=40))) > clean
+    t = __import__("time").process_time()
+    of("".join(rng.choices("aeioulmnrst", k=200_000)))
+    assert __import__("time").process_time() - t < 6
