@@ -16,6 +16,7 @@ Jaccard distance is a metric, and documents link within EPSILON. Equal sets are
 3. A region that one component owns is finished. Any other takes its smallest node as pivot. The exact distances to it link
    what is near, and cut the region into rings of width EPSILON: linked nodes lie in the same or in neighbouring rings, so
    each node is copied into the next ring, and rings that still hold several components are compared exactly, in blocks.
+   Overlapping regions that fit in one block together are joined there at once.
 
 Node and shingle identity rest on 64-bit hashes; every link is confirmed on full sets.
 """
@@ -281,8 +282,9 @@ def bridges(sets: list[np.ndarray], labels: list[int]) -> Iterator[tuple[int, in
 def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) of labels inside regions (key, center, label, node, n) that several components still share.
 
-    Regions of equal members are joined once. Each is cut into rings around its center; a node goes to its own ring and the
-    next. Rings of several components are dealt out in blocks, and a task compares two blocks.
+    Regions of equal members are joined once. Regions that overlap are joined as one if they fit in a block together. Any
+    other is cut into rings around its center; a node goes to its own ring and the next. Rings of several components are
+    dealt out in blocks, and a task compares two blocks.
     """
     same = own.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.min("center").alias("c"),
@@ -290,10 +292,19 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     )
     same = same.where("lo < hi and size > 2").groupBy("c", "a", "b", "size").agg(F.min("key").alias("key")).select("key")
     own = stored(own.join(same, "key"), "regions")
-    pairs = own.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    # regions that share nodes are one family, and a family that fits in a block is compared once, not region by region
+    family = contracted(own.select(F.col("center").alias("u"), F.col("node").alias("v"))).withColumnRenamed("label", "family")
+    own = own.join(family, "node")
+    fits = (F.count("*") <= BLOCK) & (F.sum("n") * 8 <= BLOCK_BYTES)
+    own = own.join(own.select("family", "node", "n").distinct().groupBy("family").agg(fits.alias("fits")), "family")
+    own = stored(own, "families")
+    whole = own.where("fits").select(F.col("family").alias("key"), F.lit(-1).alias("ring"), "node", "label", "n").distinct()
+    large = own.where("not fits").select("key", "center", "node", "label", "n")
+    pairs = large.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
     rings = measured(pairs.distinct(), sets).select(F.col("u").alias("center"), F.col("v").alias("node"), "ring")
-    rows = own.join(stored(rings, "rings"), ["center", "node"], "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
-    rows = stored(rows.withColumn("ring", F.explode(F.array(F.col("ring"), F.col("ring") + 1))), "ringed")
+    rows = large.join(stored(rings, "rings"), ["center", "node"], "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
+    rows = rows.select("key", F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"), "node", "label", "n")
+    rows = stored(rows.union(whole), "ringed")
     groups = rows.groupBy("key", "ring").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"),
@@ -302,7 +313,7 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("key", "ring", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
-    whole = cut.join(sets, "node").repartition("key", "ring", "lo", "hi").sortWithinPartitions("key", "ring", "lo", "hi")
+    blocks = cut.join(sets, "node").repartition("key", "ring", "lo", "hi").sortWithinPartitions("key", "ring", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, labels = None, [], []
@@ -322,7 +333,7 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return whole.mapInArrow(run, "u long, v long")
+    return blocks.mapInArrow(run, "u long, v long")
 
 
 def components(docs: DataFrame, sigs: DataFrame, pivots: Pivots) -> DataFrame:
