@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.cells import tidy
 from tabloom.operators import forecast as fc
+from tabloom.operators import sarimax
 from tabloom.operators import timeseries as ts
 from tabloom.plans.frames import READINGS
 from tabloom.plans.registry import query
@@ -120,3 +121,48 @@ def hourly_ar1(spark, d):
 SELECT series, 1 AS step, round(a * last + b, 3) AS yhat FROM f UNION ALL SELECT series, 2, round(a * (a * last + b) + b, 3) FROM f""")
 def hourly_next(spark, d):
     return fc.lookback_regression(hourly(spark, d), KEYS, "ts", "y", 1, 2).withColumn("yhat", tidy(F.col("yhat"), 3))
+
+
+# ---- seasonal ARIMA with regressors ----
+
+DAYS_SQL = "SELECT o_orderstatus AS series, o_orderdate AS ts, avg(o_totalprice) / 1000 AS y, CAST(day(o_orderdate) AS DOUBLE) AS x FROM orders GROUP BY ALL"
+WEEKLY = sarimax.Spec((1, 0, 1), (1, 0, 0, 7), ("x",))
+
+
+def days(spark, d):
+    """One row per order status and day: the mean price, and the day of the month as a regressor."""
+    t = load(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("series"), F.col("o_orderdate").alias("ts"))
+    t = t.agg((F.avg("o_totalprice") / 1000).alias("y"))
+    return t.withColumn("x", F.dayofmonth("ts").cast("double"))
+
+
+@query("sarimax_fit")
+def weekly_orders(spark, d):
+    return sarimax.fit(days(spark, d), KEYS, "ts", "y", WEEKLY)
+
+
+@query("sarimax_forecast")
+def weekly_orders_ahead(spark, d):
+    t = days(spark, d)
+    steps = t.select("series").distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(14)))).withColumn("x", F.col("step").cast("double"))
+    return sarimax.forecast(t, KEYS, "ts", "y", sarimax.fit(t, KEYS, "ts", "y", WEEKLY), WEEKLY, 14, steps)
+
+
+# without an ARMA part the likelihood is that of a regression
+@query("sarimax_line", f"""WITH t AS ({DAYS_SQL}), r AS (SELECT series, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
+ (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*) AS s FROM t GROUP BY 1 HAVING count(*) > 3)
+SELECT series, n, round(a, 5) AS constant, round(b, 6) AS slope, round(s, 4) AS sigma2, round(n * (ln(2 * pi() * s) + 1) + 6, 4) AS aic FROM r""")
+def regression_of_orders(spark, d):
+    fits = sarimax.fit(days(spark, d), KEYS, "ts", "y", sarimax.Spec((0, 0, 0), exog=("x",)))
+    return fits.select("series", "n", tidy(F.col("constant"), 5).alias("constant"), tidy(F.col("exog")[0], 6).alias("slope"),
+                       tidy(F.col("sigma2"), 4).alias("sigma2"), tidy(F.col("aic"), 4).alias("aic"))
+
+
+# a seasonal random walk repeats the last season
+@query("sarimax_walk", f"""WITH t AS ({DAYS_SQL}), z AS (SELECT *, y - lag(y, 7) OVER (PARTITION BY series ORDER BY ts) AS z,
+ row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS back FROM t), v AS (SELECT series, avg(z * z) AS s FROM z GROUP BY 1 HAVING count(z) > 1)
+SELECT z.series, CAST(8 - back AS INTEGER) AS step, round(y, 6) AS mean, round(y - 1.959963984540054 * sqrt(s), 4) AS lower FROM z JOIN v ON v.series = z.series WHERE back <= 7""")
+def repeated_week(spark, d):
+    t, spec = days(spark, d), sarimax.Spec((0, 0, 0), (0, 1, 0, 7))
+    out = sarimax.forecast(t, KEYS, "ts", "y", sarimax.fit(t, KEYS, "ts", "y", spec), spec, 7)
+    return out.select("series", "step", tidy(F.col("mean"), 6).alias("mean"), tidy(F.col("lower"), 4).alias("lower"))
