@@ -23,6 +23,7 @@ Node and shingle identity rest on 64-bit hashes; every link is confirmed on full
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -243,12 +244,13 @@ def full_sets(docs: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = sigs.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     chosen = docs.select("doc_id", "text").join(stored(ids, "ids"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
-    def run(batch: dict[str, list], hashes: WordHashes) -> dict[str, list]:
-        sets = [s for t in batch["text"] if len(s := shingle_set(t, hashes, WIDTH))]
+    def run(batch: dict[str, list], state: tuple[WordHashes, _Seen]) -> dict[str, list]:
+        hashes, seen = state
+        sets = [s for t in batch["text"] if len(s := shingle_set(t, hashes, WIDTH)) and seen.new(node_id(s))]
         return {"node": [node_id(s) for s in sets], "members": [s.tobytes() for s in sets]}
 
-    rows = map_batches(chosen.select("text"), "node long, members binary", run, WordHashes)
-    return stored(rows.dropDuplicates(["node"]), "sets")
+    # a set that tasks found twice only repeats a link
+    return stored(map_batches(chosen.select("text"), "node long, members binary", run, lambda: (WordHashes(), _Seen())), "sets")
 
 
 def _relabelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,7 +285,7 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) of labels inside regions (key, center, label, node, n) that several components still share.
 
     Regions of equal members are joined once. Regions that overlap are joined as one if they fit in a block together. Any
-    other is cut into rings around its center; a node goes to its own ring and the next. Rings of several components are
+    other is cut into rings around its center and bands of sizes; a node goes to its own and the next. Rings of several components are
     dealt out in blocks, and a task compares two blocks.
     """
     same = own.groupBy("key").agg(
@@ -303,8 +305,11 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = large.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
     rings = measured(pairs.distinct(), sets).select(F.col("u").alias("center"), F.col("v").alias("node"), "ring")
     rows = large.join(stored(rings, "rings"), ["center", "node"], "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
-    rows = rows.select("key", F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"), "node", "label", "n")
-    rows = stored(rows.union(whole), "ringed")
+    # sizes of linked nodes differ by 100 / PERCENT at most, which makes bands of sizes windows of the same kind
+    band = F.floor(F.ln("n") / math.log(100 / PERCENT) + _SLACK).cast("int")
+    rows = rows.withColumn("ring", F.explode(F.array(F.col("ring"), F.col("ring") + 1)))
+    rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
+    rows = stored(rows.select("key", (F.col("ring") * 10_000 + F.col("band")).alias("ring"), "node", "label", "n").union(whole), "ringed")
     groups = rows.groupBy("key", "ring").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"),
