@@ -62,7 +62,7 @@ def word_hash(word: bytes) -> int:
 class _Words:
     """Hash of each word of each language, and back; emptied between chunks once large."""
 
-    LIMIT = 100_000
+    LIMIT = 50_000
 
     def __init__(self) -> None:
         self.of_lang: dict[str, _Hashes] = {}
@@ -90,8 +90,8 @@ class _Hashes(dict):
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """Chunks (ids, vocabulary array of (id, lang, word, n)); a document is never cut. Null languages are `und`."""
-    schema = "ids array<long>, vocabulary array<struct<id:long,lang:string,word:string,n:long>>"
+    """Chunks (ids, and id, lang, word and n of the chunk's vocabulary); a document is never cut. Null languages are `und`."""
+    schema = "ids array<long>, id array<long>, lang array<string>, word array<string>, n array<long>"
 
     def one(values: pa.Array) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -104,8 +104,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             known, n = np.unique(ids[ids != _END], return_counts=True)
             names = [words.back[i] for i in known.tolist()]
             columns = [pa.array(known), pa.array([x for x, _ in names], pa.string()), pa.array([w.decode("utf-8", "replace") for _, w in names], pa.string()), pa.array(n)]
-            found = pa.StructArray.from_arrays(columns, ["id", "lang", "word", "n"])
-            return pa.RecordBatch.from_arrays([one(pa.array(ids)), one(found)], names=["ids", "vocabulary"])
+            return pa.RecordBatch.from_arrays([one(pa.array(ids)), *map(one, columns)], names=["ids", "id", "lang", "word", "n"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
@@ -278,8 +277,8 @@ def mined(docs: DataFrame) -> DataFrame:
     with small_batches(docs.sparkSession):
         chunks = stored(encoded(docs), "chunks")
     v = F.col("v")
-    words = chunks.select(F.explode("vocabulary").alias("v")).groupBy(v["id"].alias("w1"))
-    words = stored(words.agg(F.sum(v["n"]).alias("a"), F.min(v["lang"]).alias("lang"), F.min(v["word"]).alias("word")), "words")
+    words = chunks.select(F.explode(F.arrays_zip("id", "lang", "n")).alias("v")).groupBy(v["id"].alias("w1"), v["lang"].alias("lang"))
+    words = stored(words.agg(F.sum(v["n"]).alias("a")), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.where(F.col("a") >= LEAST)
     known = _marks(frequent, 1)
@@ -312,9 +311,12 @@ def mined(docs: DataFrame) -> DataFrame:
         if plan.where("not done").isEmpty():
             break
     best = F.rank().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
-    top = found.withColumn("best", best).where(F.col("best") <= TOP)
+    top = stored(found.withColumn("best", best).where(F.col("best") <= TOP), "top")
+    shown = top.select(F.explode(F.array(*[f"w{k}" for k in range(1, LONGEST + 1)])).alias("w1")).where("w1 is not null").distinct()
+    names = chunks.select(F.explode(F.arrays_zip("id", "word")).alias("v")).select(v["id"].alias("w1"), v["word"].alias("word"))
+    names = stored(names.join(shown, "w1").groupBy("w1").agg(F.min("word").alias("word")), "names")
     for k in range(1, LONGEST + 1):
-        top = top.join(words.select(F.col("w1").alias("_w"), F.col("word").alias(f"s{k}")), F.col(f"w{k}") == F.col("_w"), "left").drop("_w")
+        top = top.join(names.select(F.col("w1").alias("_w"), F.col("word").alias(f"s{k}")), F.col(f"w{k}") == F.col("_w"), "left").drop("_w")
     top = top.withColumn("phrase", F.concat_ws(" ", *[f"s{k}" for k in range(1, LONGEST + 1)]))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     out = top.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= TOP)
