@@ -55,7 +55,8 @@ def _candidates(points: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np
         if not total:
             break
         u = F.pmod(F.xxhash64("id", F.lit(seed + 1 + turn)), F.lit(1 << 40)) / float(1 << 40)
-        found = np.concatenate([found, _matrix(near.where(u < F.col("d2") * (size / total)).toPandas()["v"])]) if total else found
+        kept = near.where(u < F.col("d2") * (size / total)).toPandas()["v"]
+        found = np.concatenate([found, _matrix(kept)]) if len(kept) else found
     counts = {r["label"]: r["count"] for r in points.groupBy(nearest_center(F.col("v"), found).alias("label")).count().collect()}
     return found, np.array([counts.get(i, 0) for i in range(len(found))], dtype=float)
 

@@ -370,11 +370,15 @@ def cv_windows(df: DataFrame, keys: list[str], time: str, cutoffs: DataFrame, ho
 
 def rolling_origin_cv(df: DataFrame, keys: list[str], time: str, y: str, initial: int = 365, period: int = 30, horizon: int = 30,
                       seasons: list[str] | None = None) -> DataFrame:
-    """(keys..., cutoff, rmse, mae, mape, r2) of the seasonal model refitted at every cutoff."""
-    shown = auto_seasons(df, keys, time) if seasons is None else seasons
+    """(keys..., cutoff, rmse, mae, mape, r2) of the seasonal model refitted at every cutoff.
+
+    Without `seasons` every fit has those that the training rows of its own series and cutoff can show.
+    """
     rows = cv_windows(df, keys, time, cv_cutoffs(df, keys, time, initial, period, horizon), horizon)
     both = [*keys, "cutoff"]
-    fits = seasonal_fit(rows.where("role = 'train'"), both, time, y, shown)
+    train = rows.where("role = 'train'")
+    shown = auto_seasons(train.where(F.col(y).isNotNull()), both, time) if seasons is None else seasons
+    fits = seasonal_fit(train, both, time, y, seasons)
     preds = predict_at_dates(rows.where("role = 'test'"), both, time, fits, shown)
     return evaluate.regression_metrics(preds, both, y, "yhat")
 

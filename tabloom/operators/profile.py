@@ -7,8 +7,12 @@ only. Results are long DataFrames with one row per column.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,22 +219,98 @@ def _pair_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
+#: Columns of a block of the correlation matrix: what a task sends is a few matrices of this size per pair of blocks.
+CORR_BLOCK = 64
+_MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+
+
+def _moments(x: np.ndarray, seen: np.ndarray, y: np.ndarray, also: np.ndarray, sums: np.ndarray) -> None:
+    """Add the pairwise-complete sums of two blocks of columns, zero where not seen."""
+    for k, (left, right) in enumerate(((seen, also), (x, also), (seen, y), (x * x, also), (seen, y * y), (x, y))):
+        sums[k] += left.T @ right
+
+
+def _centred(sums: np.ndarray, shift_x: np.ndarray, shift_y: np.ndarray) -> np.ndarray:
+    """Counts, means and central moments from sums of shifted values."""
+    n, sx, sy, sxx, syy, sxy = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mx, my = np.nan_to_num(sx / n), np.nan_to_num(sy / n)
+    cxx, cyy = sxx - mx * sx, syy - my * sy
+    # a column that is constant beside another one leaves rounding alone
+    cxx[cxx <= 1e-13 * sxx], cyy[cyy <= 1e-13 * syy] = 0, 0
+    return np.stack([n, np.where(n > 0, mx + shift_x[:, None], 0), np.where(n > 0, my + shift_y[None, :], 0), cxx, cyy, sxy - mx * sy])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two disjoint sets of rows taken together."""
+    n = a[0] + b[0]
+    part = np.where(n > 0, b[0] / np.maximum(n, 1), 0.0)
+    dx, dy = np.where(a[0] * b[0] > 0, b[1] - a[1], 0.0), np.where(a[0] * b[0] > 0, b[2] - a[2], 0.0)
+    both = a[0] * part
+    means = [np.where(a[0] > 0, a[k] + d * part, b[k]) for k, d in ((1, dx), (2, dy))]
+    return np.stack([n, *means, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both])
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(a, b, corr) for every ordered pair; no rows for fewer than two numeric columns."""
+    """(a, b, corr) for every ordered pair, over the rows where both are there; no rows for fewer than two numeric columns.
+
+    One scan whatever the number of columns: a task adds up masked cross products block by block and sends their central
+    moments, which are merged exactly. Null and not-a-number count as missing; a constant column has null correlations.
+    """
     columns = columns or numeric_columns(df)
+    spark = df.sparkSession
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    blocks = [pairs[i:i + COLUMNS_PER_AGG] for i in range(0, len(pairs), COLUMNS_PER_AGG)]
-    parts = []
-    for block in blocks:
-        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _pair_corr(a, b).alias("corr"))
-                          for a, b in block])
-        parts.append(df.agg(cells.alias("s")).selectExpr("inline(s)"))
-    upper = reduce(DataFrame.unionByName, parts)
-    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "corr"))).otherwise(
-        F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr")))
-    return upper.select(F.explode(both).alias("p")).select("p.*")
+        return spark.createDataFrame([], "a string, b string, corr double")
+    cuts = [(k, min(k + CORR_BLOCK, len(columns))) for k in range(0, len(columns), CORR_BLOCK)]
+    blocks = [(i, j) for i in range(len(cuts)) for j in range(i, len(cuts))]
+    sizes = [b - a for a, b in cuts]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.full(len(columns), np.nan)
+        sums = {(i, j): np.zeros((6, sizes[i], sizes[j])) for i, j in blocks}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 8192):
+                part = batch.slice(start, 8192)
+                x = np.stack([part.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(columns))], axis=1)
+                seen = ~np.isnan(x)
+                first = x[seen.argmax(axis=0), np.arange(len(columns))]
+                shift = np.where(np.isnan(shift), first, shift)
+                x = np.where(seen, x - shift, 0.0)
+                own = seen.astype(float)
+                for (i, j), held in sums.items():
+                    (a, b), (c, d) = cuts[i], cuts[j]
+                    _moments(x[:, a:b], own[:, a:b], x[:, c:d], own[:, c:d], held)
+        shift = np.nan_to_num(shift)
+        flat = [_centred(held, shift[slice(*cuts[i])], shift[slice(*cuts[j])]).ravel() for (i, j), held in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(range(len(blocks))), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["block", "moments"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = batch.column("block")[k].as_py()
+                i, j = blocks[block]
+                part = batch.column("moments").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+                part = part.reshape(6, sizes[i], sizes[j]) if len(part) else np.zeros((6, sizes[i], sizes[j]))
+                held[block] = _merged(held[block], part) if block in held else part
+        out: dict[str, list] = {"a": [], "b": [], "corr": []}
+        for block, (n, _, _, cxx, cyy, cxy) in held.items():
+            i, j = blocks[block]
+            for p in range(sizes[i]):
+                for q in range(p if i == j else 0, sizes[j]):
+                    spread = math.sqrt(cxx[p, q]) * math.sqrt(cyy[p, q])
+                    value = float(cxy[p, q] / spread) if n[p, q] > 0 and spread > 0 else None
+                    a, b = columns[cuts[i][0] + p], columns[cuts[j][0] + q]
+                    for left, right in {(a, b), (b, a)}:
+                        for name, v in zip(out, (left, right, value)):
+                            out[name].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.string()), pa.array(out["b"], pa.string()), pa.array(out["corr"], pa.float64())], names=list(out))
+
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    parts = numbers.mapInArrow(summed, "block int, moments array<double>")
+    # every block has a row, so that a table without any has null correlations
+    parts = parts.union(spark.range(len(blocks)).select(F.col("id").cast("int"), F.array().cast("array<double>")))
+    return parts.repartition("block").mapInArrow(merged, "a string, b string, corr double")
 
 
 def target_correlations(df: DataFrame, target: str, k: int = 5, weak: float = 0.05) -> DataFrame:
