@@ -16,6 +16,7 @@ Jaccard distance is a metric, and documents link within EPSILON. Equal sets are
 3. A region that one component owns is finished. Any other takes its smallest node as pivot. The exact distances to it link
    what is near, and cut the region into rings of width EPSILON: linked nodes lie in the same or in neighbouring rings, so
    each node is copied into the next ring, and rings that still hold several components are compared exactly, in blocks.
+   Counts per cell of the hash space bound every similarity from above and spare most nodes the comparison of full sets.
    Overlapping regions that fit in one block together are joined there at once.
 
 Node and shingle identity rest on 64-bit hashes; every link is confirmed on full sets.
@@ -217,6 +218,27 @@ def signatures(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]] | N
     return map_batches(docs.select("doc_id", "text"), schema, run, lambda: (WordHashes(), _Seen(), {}))
 
 
+def folded(shingles: np.ndarray) -> bytes:
+    """Shingles per cell of the hash space; no bytes for a set too large for the counters, of which nothing is said."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+
+
+def hopeful(cells: list[bytes], labels: list[int]) -> np.ndarray:
+    """Which sets may link to one of another label: two share at most the smaller count of every cell, summed up."""
+    known = np.array([len(c) > 0 for c in cells])
+    counts = np.array([np.frombuffer(c or bytes(512), np.uint16) for c in cells]).astype(np.int32)
+    size, group = counts.sum(axis=1), np.unique(labels, return_inverse=True)[1]
+    out = np.zeros(len(cells), bool)
+    for i in range(len(cells) - 1):
+        other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        both = np.minimum(counts[i], counts[other]).sum(axis=1)
+        near = (100 * both >= PERCENT * (size[i] + size[other] - both)) | ~known[other] | (not known[i])
+        out[other[near]] = True
+        out[i] |= bool(near.any())
+    return out
+
+
 def _shared(a: bytes, b: bytes) -> tuple[int, int]:
     """Sizes of intersection and union of two sets of sorted hashes."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -247,10 +269,10 @@ def full_sets(docs: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batch: dict[str, list], state: tuple[WordHashes, _Seen]) -> dict[str, list]:
         hashes, seen = state
         sets = [s for t in batch["text"] if len(s := shingle_set(t, hashes, WIDTH)) and seen.new(node_id(s))]
-        return {"node": [node_id(s) for s in sets], "members": [s.tobytes() for s in sets]}
+        return {"node": [node_id(s) for s in sets], "members": [s.tobytes() for s in sets], "cells": [folded(s) for s in sets]}
 
     # a set that tasks found twice only repeats a link
-    return stored(map_batches(chosen.select("text"), "node long, members binary", run, lambda: (WordHashes(), _Seen())), "sets")
+    return stored(map_batches(chosen.select("text"), "node long, members binary, cells binary", run, lambda: (WordHashes(), _Seen())), "sets")
 
 
 def _relabelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -317,28 +339,42 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     cut = rows.join(groups.where("lo < hi").select("key", "ring", "blocks"), ["key", "ring"])
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", "ring", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
-    blocks = cut.join(sets, "node").repartition("key", "ring", "lo", "hi").sortWithinPartitions("key", "ring", "lo", "hi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, labels = None, [], []
-        found: dict[tuple[int, int], None] = {}
-
-        def flush() -> None:
-            if len(set(labels)) > 1:
-                found.update(dict.fromkeys(bridges(held, labels)))
+    cut = cut.select("key", F.col("ring").cast("int").alias("ring"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
+    group = ("key", "ring", "lo", "hi")
 
+    def grouped(batches: Iterator[pa.RecordBatch], last: str) -> Iterator[tuple[list, list, list, list]]:
+        """(group, nodes, labels, values of the last column) of rows sorted by group."""
+        now, nodes, labels, values = None, [], [], []
         for batch in batches:
-            for *group, label, raw in zip(*[batch.column(c).to_pylist() for c in ("key", "ring", "lo", "hi", "label", "members")]):
-                if now != group:
-                    flush()
-                    now, held, labels = group, [], []
-                held.append(np.frombuffer(raw, np.uint64))
+            for *key, node, label, value in zip(*[batch.column(c).to_pylist() for c in (*group, "node", "label", last)]):
+                if now != key:
+                    if now is not None:
+                        yield now, nodes, labels, values
+                    now, nodes, labels, values = key, [], [], []
+                nodes.append(node)
                 labels.append(label)
-        flush()
+                values.append(value)
+        if now is not None:
+            yield now, nodes, labels, values
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, nodes, labels, cells in grouped(batches, "cells"):
+            at = np.flatnonzero(hopeful(cells, labels))
+            columns = [pa.array([k] * len(at), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+            rest = [pa.array(np.array(x, np.int64)[at]) for x in (nodes, labels)]
+            yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*group, "node", "label"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], None] = {}
+        for _, _, labels, raw in grouped(batches, "members"):
+            found.update(dict.fromkeys(bridges([np.frombuffer(x, np.uint64) for x in raw], labels)))
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return blocks.mapInArrow(run, "u long, v long")
+    # counts per cell are a few hundred bytes a node: what they rule out does not bring its set along
+    light = cut.join(sets.select("node", "cells"), "node").repartition(*group).sortWithinPartitions(*group)
+    left = stored(light.mapInArrow(chosen, "key long, ring int, lo int, hi int, node long, label long"), "hopeful")
+    whole = left.join(sets.select("node", "members"), "node").repartition(*group).sortWithinPartitions(*group)
+    return whole.mapInArrow(linked, "u long, v long")
 
 
 def components(docs: DataFrame, sigs: DataFrame, pivots: Pivots) -> DataFrame:
