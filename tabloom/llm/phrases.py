@@ -21,6 +21,7 @@ length. Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -44,6 +45,8 @@ FIRST = 3
 STEPS = 4096
 #: Words of a chunk at which it is closed, the chunks a task reads at once, and the bits of a bitmap.
 CHUNK, AT_ONCE = 1 << 16, 16
+#: Passes in which pairs are counted, so that a task's table of different pairs stays small.
+SHARES = 4
 MARKS = 1 << 24
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -90,8 +93,11 @@ class _Hashes(dict):
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """Chunks (ids, and id, lang, word and n of the chunk's vocabulary); a document is never cut. Null languages are `und`."""
-    schema = "ids array<long>, id array<long>, lang array<string>, word array<string>, n array<long>"
+    """Chunks (at, and id, lang, word and n of the chunk's vocabulary); a document is never cut. Null languages are `und`.
+
+    `at` has the place in the vocabulary of each word, and of the piece ends, whose id is _END.
+    """
+    schema = "at array<int>, id array<long>, lang array<string>, word array<string>, n array<long>"
 
     def one(values: pa.Array) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -100,11 +106,10 @@ def encoded(docs: DataFrame) -> DataFrame:
         words, parts, size = _Words(), [], 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
-            known, n = np.unique(ids[ids != _END], return_counts=True)
-            names = [words.back[i] for i in known.tolist()]
+            known, at, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            names = [words.back.get(i, ("", b"")) for i in known.tolist()]
             columns = [pa.array(known), pa.array([x for x, _ in names], pa.string()), pa.array([w.decode("utf-8", "replace") for _, w in names], pa.string()), pa.array(n)]
-            return pa.RecordBatch.from_arrays([one(pa.array(ids)), *map(one, columns)], names=["ids", "id", "lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([one(pa.array(at.astype(np.int32))), *map(one, columns)], names=["at", "id", "lang", "word", "n"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
@@ -151,10 +156,13 @@ def _marks(phrases: DataFrame, words: int) -> np.ndarray:
     return packed.view(np.uint8)
 
 
-def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tuple[int, int, np.ndarray]] | None = None) -> DataFrame:
+def _counted(
+    chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tuple[int, int, np.ndarray]] | None = None, share: int | None = None
+) -> DataFrame:
     """(w1...wn, a) of phrases of `words` words that may be frequent, each at least LEAST times. Stored.
 
     All words must be marked in `known`, and with `chosen`, a list of (start, length, bitmap), some part must be in its bitmap.
+    With `share`, the first word's hash must fall into that one of SHARES.
     """
     names = [f"w{k}" for k in range(1, words + 1)]
     sent = chunks.sparkSession.sparkContext.broadcast([known, *[m for _, _, m in chosen or ()]])  # MARKS / 8 bytes each
@@ -166,13 +174,15 @@ def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = batch.column("ids").slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+                ids = batch.column("id").slice(k, 1).flatten().to_numpy(zero_copy_only=False)[batch.column("at").slice(k, 1).flatten().to_numpy(zero_copy_only=False)]
                 if len(ids) < words:
                     continue
                 good = (ids != _END) & marked(sent.value[0], _slots([ids]))
                 fits = np.ones(len(ids) - words + 1, bool)
                 for k in range(words):
                     fits &= good[k : len(ids) - words + 1 + k]
+                if share is not None:
+                    fits &= ids[: len(fits)] % SHARES == share
                 at = np.flatnonzero(fits)
                 if parts:
                     wanted = np.zeros(len(at), bool)
@@ -189,12 +199,16 @@ def _counted(chunks: DataFrame, words: int, known: np.ndarray, chosen: list[tupl
                 n = np.diff(np.append(first, len(at)))
                 yield pa.RecordBatch.from_arrays([*[pa.array(c[first]) for c in columns], pa.array(n)], names=[*names, "a"])
 
-    counts = chunks.select("ids").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", a long")
+    counts = chunks.select("at", "id").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", a long")
     counts = counts.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
     with small_batches(chunks.sparkSession, AT_ONCE):
         return stored(counts, "counts")
 
 
+def _pairs(chunks: DataFrame, known: np.ndarray) -> DataFrame:
+    return reduce(DataFrame.union, [_counted(chunks, 2, known, share=k) for k in range(SHARES)])
+
+
 def _score(a: str | Column, l: str | Column, r: str | Column) -> Column:  # noqa: E741
     """floor(SCALE * a / (l + r)) in exact decimal arithmetic; null if a part is."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
@@ -277,12 +291,12 @@ def mined(docs: DataFrame) -> DataFrame:
     with small_batches(docs.sparkSession):
         chunks = stored(encoded(docs), "chunks")
     v = F.col("v")
-    words = chunks.select(F.explode(F.arrays_zip("id", "lang", "n")).alias("v")).groupBy(v["id"].alias("w1"), v["lang"].alias("lang"))
+    words = chunks.select(F.explode(F.arrays_zip("id", "lang", "n")).alias("v")).where(v["id"] != _END).groupBy(v["id"].alias("w1"), v["lang"].alias("lang"))
     words = stored(words.agg(F.sum(v["n"]).alias("a")), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.where(F.col("a") >= LEAST)
     known = _marks(frequent, 1)
-    counts: dict[int, DataFrame | None] = {1: frequent, 2: _counted(chunks, 2, known), 3: None, 4: None}
+    counts: dict[int, DataFrame | None] = {1: frequent, 2: _pairs(chunks, known), 3: None, 4: None}
     pairs = stored(_bounded(_scored(counts[2], 2, counts)), "scored")
     start = F.lit(SCALE).cast("long")  # above every score
     plan = stored(pairs.select("lang").distinct().select("lang", start.alias("low"), F.lit(False).alias("done")), "plan")
