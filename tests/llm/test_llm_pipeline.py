@@ -45,7 +45,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_second_deduplication_changes_nothing(spark, tiny):
