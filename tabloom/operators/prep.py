@@ -14,7 +14,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,7 @@ from tabloom.functions.cells import is_numeric, nan_to_null
 from tabloom.functions.ordering import row_positions
 from tabloom.functions.quantiles import column_quantiles
 from tabloom.operators.profile import distinct_counts, wide_stats
-from tabloom.session import beside, checkpointed, maybe_broadcast, scratch, values_frame
+from tabloom.session import beside, maybe_broadcast, scratch, values_frame
 
 HIGH_MISSING = 0.6
 MAX_CLASS_NUMBERS = 10
@@ -282,12 +282,38 @@ class TabularPreprocessor(Estimator, _PreprocessParams, DefaultParamsReadable, D
         return model
 
 
-class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable, DefaultParamsWritable):
+class _ModelWriter(DefaultParamsWriter):
+    """Saves the category table below the model's own path, so that the model outlives the session that fitted it."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        stored = self.instance.info()["categories"]
+        if stored:
+            SparkSession.active().read.parquet(stored).write.parquet(f"{path}/categories")
+
+
+class _ModelReader(DefaultParamsReader):
+    def load(self, path: str) -> TabularPreprocessorModel:
+        model = super().load(path)
+        state = model.info()
+        if state["categories"]:
+            model._set(state=json.dumps(state | {"categories": f"{path}/categories"}))
+        return model
+
+
+class TabularPreprocessorModel(Model, _PreprocessParams, MLReadable, MLWritable):
+    def write(self) -> _ModelWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> _ModelReader:
+        return _ModelReader(cls)
+
     def info(self) -> dict:
         return json.loads(self.getOrDefault("state"))
 
     def dictionary(self) -> DataFrame:
-        """(column, value, code) of all categories: the table at the path in the model's state, in the shared folder."""
+        """(column, value, code) of all categories: a table in the shared folder, or below the path the model was loaded from."""
         return SparkSession.active().read.parquet(self.info()["categories"])
 
     def feature_names(self) -> list[str]:
@@ -331,7 +357,7 @@ class TabularPreprocessorModel(Model, _PreprocessParams, DefaultParamsReadable,
         if s["cats"]:
             codes = [f"__c{i}" for i in range(len(s["cats"]))]
             renamed = self.dictionary().join(F.broadcast(values_frame(df.sparkSession, list(zip(s["cats"], codes)), "column string, short string")), "column")
-            dictionary = checkpointed(renamed.select(F.col("short").alias("column"), "value", "code"))
+            dictionary = renamed.select(F.col("short").alias("column"), "value", "code")
             if s["encoding"] == "onehot":
                 box = one_hot(box, codes, dictionary)
                 pieces += [f"{c}_vec" for c in codes]

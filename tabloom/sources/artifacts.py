@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict, Dat
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
     try:
         schema = spark.read.parquet(f"{path}/schema")
-    except Exception:  # noqa: BLE001 - a model saved without a schema has no such folder
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a model saved without a schema has no such folder
+            raise
         schema = None
     return model, metadata, schema

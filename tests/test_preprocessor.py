@@ -57,3 +57,22 @@ def test_extra_columns_stay(table):
     model = prep.TabularPreprocessor(inputCols=["c"]).fit(table)
     out = model.transform(table.withColumnRenamed("x", "code"))
     assert out.columns == ["id", "code", "c", "features"] and out.count() == 60
+
+
+@pytest.mark.parametrize("encoding", ["onehot", "ordinal"])
+def test_a_saved_model_needs_nothing_of_its_session(spark, table, tmp_path, encoding):
+    import json
+
+    from pyspark.ml import Pipeline
+
+    from tabloom.sources import artifacts
+
+    fitted = Pipeline(stages=[prep.TabularPreprocessor(inputCols=["x", "c"], encoding=encoding)]).fit(table)
+    want = vectors(fitted, table)
+    artifacts.save_model(fitted, str(tmp_path / "m"))
+    own = fitted.stages[0]
+    own._set(state=json.dumps(own.info() | {"categories": str(tmp_path / "gone")}))  # as if the shared folder were cleared
+    loaded, _, schema = artifacts.load_model(spark, str(tmp_path / "m"))
+    assert schema is None and str(tmp_path) in loaded.stages[0].info()["categories"]
+    assert vectors(loaded, table) == want and loaded.stages[0].feature_names()[0] == "x"
+
