@@ -225,17 +225,24 @@ def folded(shingles: np.ndarray) -> bytes:
 
 
 def hopeful(cells: list[bytes], labels: list[int]) -> np.ndarray:
-    """Which sets may link to one of another label: two share at most the smaller count of every cell, summed up."""
+    """For each set the first one it is connected to through sets of other labels that it may link to, or -1 for none.
+
+    Two sets share at most the smaller count of every cell, summed up.
+    """
     known = np.array([len(c) > 0 for c in cells])
     counts = np.array([np.frombuffer(c or bytes(512), np.uint16) for c in cells]).astype(np.int32)
     size, group = counts.sum(axis=1), np.unique(labels, return_inverse=True)[1]
-    out = np.zeros(len(cells), bool)
+    out = np.full(len(cells), -1)
     for i in range(len(cells) - 1):
         other = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
         both = np.minimum(counts[i], counts[other]).sum(axis=1)
         near = (100 * both >= PERCENT * (size[i] + size[other] - both)) | ~known[other] | (not known[i])
-        out[other[near]] = True
-        out[i] |= bool(near.any())
+        if near.any():
+            both = np.append(other[near], i)
+            old = out[both]
+            root = int(min(both.min(), old[old >= 0].min(initial=both.min())))
+            out[np.isin(out, old[old >= 0])] = root
+            out[both] = root
     return out
 
 
@@ -359,10 +366,11 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, nodes, labels, cells in grouped(batches, "cells"):
-            at = np.flatnonzero(hopeful(cells, labels))
+            first = hopeful(cells, labels)
+            at = np.flatnonzero(first >= 0)
             columns = [pa.array([k] * len(at), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
-            rest = [pa.array(np.array(x, np.int64)[at]) for x in (nodes, labels)]
-            yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*group, "node", "label"])
+            rest = [pa.array(np.array(x, np.int64)[i]) for x, i in ((nodes, at), (labels, at), (nodes, first[at]))]
+            yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*group, "node", "label", "first"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], None] = {}
@@ -372,7 +380,14 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
 
     # counts per cell are a few hundred bytes a node: what they rule out does not bring its set along
     light = cut.join(sets.select("node", "cells"), "node").repartition(*group).sortWithinPartitions(*group)
-    left = stored(light.mapInArrow(chosen, "key long, ring int, lo int, hi int, node long, label long"), "hopeful")
+    left = stored(light.mapInArrow(chosen, "key long, ring int, lo int, hi int, node long, label long, first long"), "hopeful")
+    # what may link is often met in many regions: where all of it fits in a block, each set is moved once
+    circle = contracted(left.select(F.col("first").alias("u"), F.col("node").alias("v"))).withColumnRenamed("label", "circle")
+    weights = circle.join(own.select("node", "n").distinct(), "node").groupBy("circle").agg(fits.alias("small"))
+    left = stored(left.join(circle, "node").join(weights, "circle"), "circles")
+    none = F.lit(-1)
+    once = left.where("small").select(F.col("circle").alias("key"), *[none.alias(c) for c in group[1:]], "node", "label").distinct()
+    left = left.where("not small").select(*group, "node", "label").union(once)
     whole = left.join(sets.select("node", "members"), "node").repartition(*group).sortWithinPartitions(*group)
     return whole.mapInArrow(linked, "u long, v long")
 
