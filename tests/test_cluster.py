@@ -51,6 +51,17 @@ def brute_silhouette(x, labels):
     return float(np.mean(out))
 
 
+def test_silhouette_of_joined_points_in_blocks(spark, cloud):
+    """Points and labels that come from one table, joined, as the queries join them."""
+    x = cloud[:, :2]
+    t = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    marks = t.select("id", F.array((F.col("a") > 2).cast("int")).alias("labels"))
+    p = cluster.scaled_vectors(t, "id", ["a", "b"]).join(marks, "id")
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    got = cluster.silhouette(p, 1, 10, 50).first()["silhouette"]
+    assert got == pytest.approx(brute_silhouette(scaled, (x[:, 0] > 2).astype(int)), abs=1e-9)
+
+
 @pytest.mark.parametrize("small", [10_000, 10])
 def test_silhouette(spark, cloud, small):
     labels = np.stack([np.arange(len(cloud)) % 3, (cloud[:, 0] > 2).astype(int) - (np.arange(len(cloud)) == 7)], axis=1)
