@@ -4,7 +4,7 @@ Both work on (id, vector) tables with `array<double>` vectors. A small right sid
 (checked) is sent to every task. Otherwise rows are cut into blocks and each task
 sees one pair of blocks; it emits k rows per query or one sum per label. For
 neighbours, cells around pivots skip the block pairs that the triangle inequality
-rules out. Cells are cut into blocks too, so copies of one point are spread.
+rules out. For sums a task holds one block and all rows stream past it. Cells are cut into blocks too, so copies of one point are spread.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 SMALL_SIDE = 20_000
 BLOCK_ROWS = 8_192
 MAX_PIVOTS = 256
+LEAST_BLOCKS = 64  # blocks of the distance sums, where there are rows for them
+SUM_CELLS = 8_000_000  # sums a task holds at once
+DISTANCE_CELLS = 500_000  # distances a task holds at once: few enough for its cache
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -142,57 +145,84 @@ def label_distance_sums(points: DataFrame, labelings: int, small_side: int = SMA
     """(id, labeling, label, total): sum of Euclidean distances from each row to all rows of each label.
 
     points: (id bigint, v array<double>, labels array<int>), one label per labeling;
-    a negative label leaves the row out of that labeling.
+    a negative label leaves the row out of that labeling. A task holds one block of rows and
+    sees all rows stream past, so only finished sums leave it.
     """
     schema = "id bigint, labeling int, label int, total double"
     rows = points.select("id", "v", "labels")
-    if rows.limit(small_side + 1).count() <= small_side:
+    total = rows.count()
+    if total <= small_side:
         held = rows.toPandas()
         sent = points.sparkSession.sparkContext.broadcast((_matrix(held["v"]), np.array(held["labels"].tolist())))
 
         def sums_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, labels = sent.value
             for b in batches:
-                yield from _sums(b["id"].to_numpy(), _matrix(b["v"]), p, labels, labelings)
+                if len(b):
+                    ids, sums = b["id"].to_numpy(), {}
+                    _add_sums(sums, _matrix(b["v"]), p, labels, labelings)
+                    yield from _sum_rows(ids, sums)
 
         return rows.mapInPandas(sums_small, schema)
-    blocks = int(-(-rows.count() // block_rows))
+    # large blocks spare copies of the rows, many blocks keep all tasks busy on a middling table
+    blocks = int(max(-(-total // (8 * block_rows)), min(LEAST_BLOCKS, -(-8 * total // block_rows))))
     own = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", own.alias("qb"), every.alias("pb"))
-    # both sides come from one table: names of their own keep the cogroup from an ambiguous self-join
-    right = rows.select(F.col("v").alias("w"), F.col("labels").alias("marks"), own.alias("pb"), every.alias("qb"))
+    block = rows.select(own.alias("block"), F.lit(0).alias("side"), "*")
+    stream = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "*")
+    # told by number, the tasks are not merged for their few bytes: their work is far larger
+    met = block.unionByName(stream).repartitionById(blocks, "block").sortWithinPartitions("side")
 
-    def sums_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "labeling": [], "label": [], "total": []})
-        return pd.concat(list(_sums(a["id"].to_numpy(), _matrix(a["v"]), _matrix(b["w"]), np.array(b["marks"].tolist()), labelings)))
-
-    parts = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(sums_block, schema)
+    def sums_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q, sums = [], [], {}
+        for b in batches:
+            first = b[b["side"] == 0]
+            if len(first):
+                ids.append(first["id"].to_numpy())
+                q.append(_matrix(first["v"]))
+            rest = b[b["side"] == 1]
+            if not len(rest) or not q:
+                continue
+            ids, q = [np.concatenate(ids)], [np.concatenate(q)]
+            _add_sums(sums, q[0], _matrix(rest["v"]), np.array(rest["labels"].tolist()), labelings)
+            if len(sums) * len(q[0]) > SUM_CELLS:
+                yield from _sum_rows(ids[0], sums)
+                sums = {}
+        if sums:
+            yield from _sum_rows(ids[0], sums)
+
+    parts = met.drop("block").mapInPandas(sums_block, schema)
     return parts.groupBy("id", "labeling", "label").agg(F.sum("total").alias("total"))
 
 
-def _sums(ids, q, p, labels, labelings: int) -> Iterator[pd.DataFrame]:
-    if not len(q):
-        return
-    p2 = (p * p).sum(axis=1)
-    members = []
+def _add_sums(sums: dict[tuple[int, int], np.ndarray], q: np.ndarray, p: np.ndarray, labels: np.ndarray, labelings: int) -> None:
+    """Add to (labeling, label) the distances from each row of q to the rows of p with that label."""
+    keys, hot = [], []
     for j in range(labelings):
         names = np.unique(labels[:, j])
         names = names[names >= 0]
-        members.append((names, (labels[:, j][:, None] == names[None, :]).astype(float)))
-    step = max(1, 4_000_000 // max(len(p), 1))
+        keys += [(j, int(n)) for n in names]
+        hot.append((labels[:, j][:, None] == names[None, :]).astype(float))
+    hot = np.concatenate(hot, axis=1)
+    p2 = (p * p).sum(axis=1)
+    rounding = 1e-7 * (p2 + 1e-30)
+    step = max(1, DISTANCE_CELLS // len(p))
+    out = np.empty((len(q), len(keys)))
     for a in range(0, len(q), step):
         part = q[a:a + step]
-        d2 = (part * part).sum(axis=1)[:, None] + p2[None, :] - 2 * part @ p.T
-        d = np.sqrt(np.maximum(d2, 0))
+        d = part @ (-2 * p.T)
+        d += (part * part).sum(axis=1)[:, None]
+        d += p2
         # distances at rounding level are recomputed, so a row's distance to its copies is exactly zero
-        tiny = np.argwhere(d2 < 1e-7 * (p2[None, :] + 1e-30))
+        tiny = np.argwhere(d < rounding)
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
         if len(tiny):
             i, j = tiny[:, 0], tiny[:, 1]
             d[i, j] = np.sqrt(((part[i] - p[j]) ** 2).sum(axis=1))
-        for j, (names, hot) in enumerate(members):
-            total = d @ hot
-            yield pd.DataFrame({
-                "id": np.repeat(ids[a:a + step], len(names)), "labeling": np.full(len(part) * len(names), j, dtype="int32"),
-                "label": np.tile(names, len(part)).astype("int32"), "total": total.ravel()})
+        out[a:a + step] = d @ hot
+    for i, key in enumerate(keys):
+        sums[key] = sums[key] + out[:, i] if key in sums else out[:, i].copy()
+
+
+def _sum_rows(ids: np.ndarray, sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pd.DataFrame]:
+    for (j, name), total in sums.items():
+        yield pd.DataFrame({"id": ids, "labeling": np.full(len(ids), j, dtype="int32"), "label": np.full(len(ids), name, dtype="int32"), "total": total})
