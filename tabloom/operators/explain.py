@@ -60,17 +60,19 @@ def shap_linear(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     return beside(df, means).select("id", F.explode(cells).alias("s")).select("id", "s.*")
 
 
-def shap_sampled(score: Score, output: Column, df: DataFrame, names: list[str], permutations: int = 16, seed: int = 42) -> DataFrame:
+def shap_sampled(score: Score, output: Column, df: DataFrame, names: list[str], permutations: int = 16, seed: int = 42,
+                 background: int | None = None) -> DataFrame:
     """(id, feature, value, shap_value) for any model, by permutation sampling.
 
-    For each row and permutation another row of the table, drawn by hash from all of them, is turned into the row one
-    feature at a time; the change of the output belongs to that feature. The values of a row add up to its output minus
+    For each row and permutation another row of the table, drawn by hash from all of them (or from the first `background`
+    in hash order), is turned into the row one feature at a time; the change of the output belongs to that feature. The values of a row add up to its output minus
     the mean output of the rows it was compared with.
     """
     d = len(names)
     rows = df.select("id", vector_to_array("features").alias("x"))
     placed = checkpointed(hash_ranks(rows.withColumn("__h", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed)))), [], "__h", "place").drop("__h"))
-    count = F.lit(placed.count())
+    held = placed.count()
+    count = F.lit(held if background is None else max(1, min(background, held)))
     one = placed.drop("place").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     pick = F.pmod(F.xxhash64("id", "perm", F.lit(seed + 1)), count)
     order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(
