@@ -54,13 +54,13 @@ ROWS_PER_TASK = 20_000  # below this a training task is shorter than its schedul
 
 
 def packed(train: DataFrame) -> DataFrame:
-    """Persisted training rows in no more partitions than their number justifies.
+    """Persisted training rows in as many partitions as their number justifies.
 
-    Iterative training runs hundreds of short jobs over the same rows. Large tables keep
-    their partitions.
+    Iterative training runs hundreds of short jobs over the same rows. A table of a few
+    numbers per row arrives in very few partitions, for it is small in bytes; its rows are
+    dealt by id, so that training has a task per `ROWS_PER_TASK` rows however large it is.
     """
-    kept = train.persist()
-    return kept.coalesce(max(1, kept.count() // ROWS_PER_TASK))
+    return train.repartition(max(1, train.count() // ROWS_PER_TASK), "id").persist()
 
 
 def facts(train: DataFrame) -> tuple[int, float, int]:
@@ -133,7 +133,7 @@ def fit_kernel_svm(train: DataFrame, p: dict) -> Trained:
     """Approximation of an RBF support vector machine: random Fourier features and a linear one."""
     n, _, classes = facts(train)
     lift = random_fourier(train)
-    lifted = packed(lift(train))
+    lifted = lift(packed(train)).persist()
     est = LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False)
     model = _binary_or_each(est, classes).fit(lifted)
     lifted.unpersist()
