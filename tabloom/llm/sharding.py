@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabloom.llm.base import boxed, stored
+from tabloom.session import scratch
 
 SHARDS = 24
 BUCKET_BYTES = 64 << 20
@@ -70,20 +71,32 @@ def shuffled(
     )
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 8 more) and text_crc32; a null text has no bytes and the checksum 0."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
+def sized(docs: DataFrame) -> DataFrame:
+    """The documents with their size (UTF-8 bytes and 8 more, a null text has no bytes) as `_size`."""
+    return docs.withColumn("_size", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 8)
+
+
+def _write(placed: DataFrame, columns: list[Column], path: str) -> None:
+    rows = placed.select(*columns, "shard", "slot")
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The placement of every document under the law `key`, without moving the texts."""
-    placed = shuffled(stored(digests(docs), "digests"), "doc_id", "size", shards)
-    return placed.select(
-        "row.doc_id", "row.size", "row.text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"),
-        F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"),
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The placement of every document under the law `key`, read back from the written shards.
+
+    The whole documents go through both passes; sizes and checksums are those of the texts that arrived. A null text has no
+    bytes and the checksum 0. `docs` is read as often as `shuffled` needs it and not copied before.
+    """
+    spark = docs.sparkSession
+    path = scratch(spark, "shards")
+    whole = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row")
+    placed = shuffled(sized(docs), "doc_id", "_size", shards, seed, bucket_bytes)
+    out = placed.select(whole, "shard", "slot", "grown_shard")
+    _write(out, [F.col("row"), F.col("grown_shard")], path)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return spark.read.schema(out.schema).parquet(path).select(
+        "row.doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"),
     )
 
 
@@ -92,7 +105,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 
     Files of a shard are numbered by bucket, and rows inside a file stand in slot order.
     """
-    sized = docs.withColumn("_size", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 8)
-    placed = shuffled(stored(sized, "sized"), "doc_id", "_size", shards, seed, bucket_bytes)
-    rows = placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "shard", "slot")
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = shuffled(stored(sized(docs), "sized"), "doc_id", "_size", shards, seed, bucket_bytes)
+    _write(placed, [F.col(f"row.`{c}`").alias(c) for c in docs.columns], path)

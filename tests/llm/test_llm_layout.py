@@ -50,6 +50,17 @@ def test_buckets_shuffle_and_number(spark):
         assert 0.4 < falls < 0.6
 
 
+def test_placement_is_that_of_written_documents(spark, edges, monkeypatch):
+    paths = []
+    scratch = sharding.scratch
+    monkeypatch.setattr(sharding, "scratch", lambda spark, name: paths.append(scratch(spark, name)) or paths[-1])
+    rows = sharding.assign(edges, shards=4).collect()
+    back = spark.read.parquet(paths[-1])
+    assert sorted(map(str, back.select("row.*").select(*[f"`{c}`" for c in edges.columns]).collect())) == sorted(map(str, edges.collect()))
+    assert sorted((r.shard, r.slot, str(r.doc_id)) for r in back.select("shard", "slot", "row.doc_id").collect()) == sorted(
+        (r.shard, r.slot, str(r.doc_id)) for r in rows)
+
+
 def test_written_shards_hold_every_row(spark, edges, tmp_path):
     docs = edges.withColumnRenamed("shard", "own")
     sharding.write_shards(docs, str(tmp_path / "s"), shards=4)
