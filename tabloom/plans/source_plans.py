@@ -134,7 +134,8 @@ def augmented(spark, d):
 # ---- models on disk ----
 
 def _saved(spark, d) -> tuple[str, DataFrame]:
-    t = value_columns(spark, d)
+    # a few numbers per customer; fitting and the schema pass over them a dozen times, and each pass would broadcast the customers
+    t = value_columns(spark, d).persist()
     pre = prep.TabularPreprocessor(inputCols=VALUE_FEATURES)
     from pyspark.ml.regression import LinearRegression
 

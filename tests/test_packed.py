@@ -11,3 +11,11 @@ def test_training_rows_of_one_partition_are_dealt_to_tasks(spark):
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 100_000 and max(sizes) < 1.1 * models.ROWS_PER_TASK
     assert models.packed(rows.limit(10)).rdd.getNumPartitions() == 1
+
+
+def test_saved_model_joins_its_customers_once(spark):
+    from tabloom.plans import source_plans
+
+    path, table = source_plans._saved(spark, "/root/testdata/sf0.001")
+    assert path and table.storageLevel.useMemory
+    table.unpersist()
