@@ -1,10 +1,11 @@
 """Exact nearest neighbours and all-pairs distance sums without emitting pairs.
 
 Both work on (id, vector) tables with `array<double>` vectors. A small right side
-(checked) is sent to every task. Otherwise rows are cut into blocks and each task
-sees one pair of blocks; it emits k rows per query or one sum per label. For
-neighbours, cells around pivots skip the block pairs that the triangle inequality
-rules out. For sums a task holds one block and all rows stream past it. Cells are cut into blocks too, so copies of one point are spread.
+(checked) is sent to every task. Otherwise rows are cut into blocks. A task of the
+neighbour search sees one pair of blocks and emits k rows per query; cells around
+pivots skip the block pairs that the triangle inequality rules out. Cells are cut
+into blocks too, so copies of one point are spread. For sums a task holds one block
+and all rows stream past it.
 """
 
 from __future__ import annotations
