@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.forest import Branch, Crown, DeepForest, leaf, outputs_of
 from tabloom.session import scratch
 
 #: Array cells a task computes at once.
@@ -92,6 +93,8 @@ class Trees:
 
         A classifier's outputs are its class probabilities; a boosted one's single output is the margin.
         """
+        if isinstance(model, DeepForest):
+            return cls.given([_nodes(model, *t) for t in model.tables()], [1.0 / len(model.crowns)] * len(model.crowns))
         path = scratch(spark, "trees")
         model.write().save(path)
         saved = spark.read.parquet(f"{path}/data")
@@ -144,6 +147,35 @@ class Trees:
         return phi
 
 
+def _nodes(model: DeepForest, crown: Crown, branches: dict[int, Branch]) -> dict[int, Node]:
+    """One node table of a tree: its upper nodes, and its branches in place of their ends."""
+    nodes: dict[int, Node] = {}
+
+    def add(branch: Branch, names: list[int]) -> None:
+        values = outputs_of(branch.totals, model.std, model.mean, model.classes)
+        for i, at in enumerate(names):
+            n = nodes[at] = Node(float(branch.totals[i, 0]), values[i])
+            if branch.feature[i] >= 0:
+                f, child = int(branch.feature[i]), branch.left[i]
+                cuts = model.cuts[f]
+                n.left, n.right, n.feature = names[child], names[child + 1], f
+                n.threshold = float(cuts[branch.cut[i]]) if branch.cut[i] < len(cuts) else np.inf
+
+    free = len(crown.code)
+    for at, f in enumerate(crown.feature):
+        if f < 0:
+            branch = branches.get(at) or leaf(model.overall)
+            add(branch, [at, *range(free, free + len(branch.feature) - 1)])
+            free += len(branch.feature) - 1
+    for at in reversed(range(len(crown.code))):
+        if crown.feature[at] >= 0:
+            a = crown.left[at]
+            totals = np.array([crown.totals[at]])
+            nodes[at] = Node(float(totals[0, 0]), outputs_of(totals, model.std, model.mean, model.classes)[0], a, a + 1,
+                             crown.feature[at], float(model.cuts[crown.feature[at]][crown.cut[at]]))
+    return nodes
+
+
 def tree_shap(df: DataFrame, trees: Trees, names: list[str], output: int = 0, features: Column | None = None) -> DataFrame:
     """(id, feature, value, shap_value): exact contributions of every feature to one output, a pass without shuffles.
 
