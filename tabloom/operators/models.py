@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import forest
 from tabloom.operators.neighbors import knn_join
-from tabloom.session import checkpointed
+from tabloom.session import checkpointed, training_tasks
 
 Score = Callable[[DataFrame], DataFrame]
 Fit = Callable[[DataFrame, dict], "Trained"]
@@ -51,6 +51,7 @@ class Entry:
 
 
 ROWS_PER_TASK = 20_000  # below this a training task is shorter than its scheduling
+MOST_ROWS = 200_000  # rows of a task once every core has a few tasks: more tasks add only scheduling
 
 
 def packed(train: DataFrame) -> DataFrame:
@@ -58,9 +59,10 @@ def packed(train: DataFrame) -> DataFrame:
 
     Iterative training runs hundreds of short jobs over the same rows. A table of a few
     numbers per row arrives in very few partitions, for it is small in bytes; its rows are
-    dealt by id, so that training has a task per `ROWS_PER_TASK` rows however large it is.
+    dealt by id, a task per `ROWS_PER_TASK` rows, until every core has a few tasks; from there tasks
+    grow to `MOST_ROWS` rows, since each of the hundreds of jobs schedules all of them.
     """
-    return train.repartition(max(1, train.count() // ROWS_PER_TASK), "id").persist()
+    return train.repartition(training_tasks(train.sparkSession, train.count(), ROWS_PER_TASK, MOST_ROWS), "id").persist()
 
 
 def facts(train: DataFrame) -> tuple[int, float, int]:
