@@ -136,6 +136,17 @@ def _board(spark, rows: list[dict], metric: str, columns: list[str], cv: bool) -
 
 # ---- votes over (model, id, ...) tables ----
 
+ROWS_OF_IDS = 100_000  # rows of the ids that one task aggregates
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """`df` of about `rows` rows dealt by key, so that a task aggregates about `ROWS_OF_IDS` of them whatever their number.
+
+    Keys that repeat only a few times make an aggregate as large as its input; a fixed number of tasks would hold ever more.
+    """
+    return df.repartition(max(1, -(-rows // ROWS_OF_IDS)), key)
+
+
 def vote_soft(probabilities: DataFrame) -> DataFrame:
     """(id, prediction, confidence): mean class probability over models, ties to the smallest class."""
     long = probabilities.select("id", F.posexplode("probability").alias("c", "p"))

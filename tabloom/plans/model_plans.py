@@ -207,7 +207,8 @@ def vote_rows(spark, d):
     """Per line the class shares of three made-up models, as (model, id, probability)."""
     t = VOTES(spark, d).withColumn("id", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "a", "b", "c"))
     arr = [F.array(1 - F.col(x), F.col(x) * 0.5, F.col(x) * 0.5) for x in ("a", "b", "c")]
-    return t.groupBy("id").agg(*[F.first(x).alias(f"m{i}") for i, x in enumerate(arr)]).select("id", F.explode(F.array(*[
+    t = automl.dealt(t, "id", load(spark, d, "lineitem").count()).groupBy("id").agg(*[F.first(x).alias(x) for x in ("a", "b", "c")])
+    return t.select("id", *[x.alias(f"m{i}") for i, x in enumerate(arr)]).select("id", F.explode(F.array(*[
         F.struct(F.lit(f"m{i}").alias("model"), F.col(f"m{i}").alias("probability")) for i in range(3)])).alias("s")).select("id", "s.*")
 
 
@@ -229,7 +230,8 @@ v AS (SELECT l_orderkey AS id, ascii(l_returnflag) AS prediction FROM t UNION AL
 
 
 def flag_votes(spark, d):
-    t = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus").distinct()
+    t = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    t = automl.dealt(t, "l_orderkey", t.count()).distinct()
     both = F.explode(F.array(F.ascii("l_returnflag"), F.ascii("l_linestatus")))
     return t.select(F.col("l_orderkey").alias("id"), both.alias("prediction"))
 
