@@ -34,7 +34,7 @@ def _nearest(qid, q, pid, p, k: int, skip_same: bool) -> Iterator[pd.DataFrame]:
     if not len(q) or not len(p):
         return
     p2 = (p * p).sum(axis=1)
-    step = max(1, min(1024, 8_000_000 // max(len(p), 1)))
+    step = max(1, min(1024, DISTANCE_CELLS // max(len(p), 1)))
     for a in range(0, len(q), step):
         part = q[a:a + step]
         d2 = (part * part).sum(axis=1)[:, None] + p2[None, :] - 2 * part @ p.T
