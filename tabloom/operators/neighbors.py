@@ -126,12 +126,14 @@ def _knn_blocks(queries: DataFrame, points: DataFrame, k: int, skip_same: bool,
     rule_rows = spark.createDataFrame(rules)
     per_cell = spark.createDataFrame(rules[["q_cell", "q_blocks", "p_blocks"]].drop_duplicates())
     h = lambda c, n: F.pmod(F.xxhash64(c, F.lit(17)), F.col(n)).cast("int")
+    # both sides' keys are of one type: Spark sends an int and an equal bigint to different tasks
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     left = q.join(F.broadcast(per_cell), q["cell"] == per_cell["q_cell"]).select(  # at most MAX_PIVOTS rows
-        "id", "v", "q_cell", h("id", "q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("pb"))
+        "id", "v", "q_cell", h("id", "q_blocks").alias("qb"), upto("p_blocks").alias("pb"))
     right = p.join(F.broadcast(rule_rows), "cell").where(  # at most MAX_PIVOTS squared rows
         (F.col("reach") >= F.col("low")) & (F.col("reach") <= F.col("high")))
     right = right.select(
-        "id", "v", "q_cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), h("id", "p_blocks").alias("pb"))
+        "id", "v", "q_cell", upto("q_blocks").alias("qb"), h("id", "p_blocks").alias("pb"))
 
     def near_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = list(_nearest(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), k, skip_same))
