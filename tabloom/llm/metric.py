@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.base import map_batches, stored
+from tabloom.llm.base import brief_shuffles, forget, map_batches, stored
 from tabloom.llm.minhash import contracted, node_id
 from tabloom.llm.shingles import WordHashes, mix, shingle_set
 
@@ -392,26 +392,35 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.mapInArrow(linked, "u long, v long")
 
 
-def components(docs: DataFrame, sigs: DataFrame, pivots: Pivots) -> DataFrame:
-    """(node, label) where labels of `sigs` are joined further: equal labels are one component."""
-    cells = sigs.select(F.explode("keys").alias("key"), "label", "node", F.col("n_shingles").alias("n"))
+def components(docs: DataFrame, sigs: DataFrame, keys: DataFrame, pivots: Pivots) -> DataFrame:
+    """(node, label) where labels of `sigs` are joined further: equal labels are one component.
+
+    `keys` are the signatures with their keys. Each table is deleted as soon as nothing reads it any more.
+    """
+    held = [keys]
+    cells = keys.select(F.explode("keys").alias("key"), "label", "node", F.col("n_shingles").alias("n"))
     # pairs of a size and a depth, met by chance among the few sizes of short texts alone, if at all
     asked = [tuple(r) for r in sigs.where("asks is not null").select("n_shingles", "asks").distinct().collect()]
     if asked:
         more = stored(signatures(docs, pivots, asked), "asked")
+        held.append(more)
         cells = cells.union(more.select(F.explode("keys").alias("key"), "label", "node", F.col("n_shingles").alias("n")))
     shared = cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("center"))
-    own = cells.join(stored(shared.where("lo < hi").select("key", "center"), "shared"), "key").distinct()
-    own = stored(own, "own")
-    middle = own.where(F.col("node") == F.col("center")).select("key", F.col("label").alias("x"), F.col("n").alias("m"))
-    own = stored(own.join(middle, "key"), "regions")
+    shared = stored(shared.where("lo < hi").select("key", "center"), "shared")
+    met = stored(cells.join(shared, "key").distinct(), "own")
+    forget(*held, shared)
+    middle = met.where(F.col("node") == F.col("center")).select("key", F.col("label").alias("x"), F.col("n").alias("m"))
+    own = stored(met.join(middle, "key"), "regions")
+    forget(met)
     sets = full_sets(docs, sigs, own.select("node").distinct())
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
     stars = own.where(F.col("label") != F.col("x")).where(fits).select(F.col("center").alias("u"), F.col("node").alias("v"), "x", F.col("label").alias("y"))
     linked = measured(stars.distinct(), sets).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     first = contracted(linked)
     rest = stored(_relabelled(own.select("key", "center", "label", "node", "n"), first), "labelled")
+    forget(own)
     second = contracted(_rings(rest, sets))
+    forget(rest, sets)
     names = sigs.where("node is not null").select("node", "label").distinct()
     return stored(_relabelled(_relabelled(names, first), second), "components")
 
@@ -424,10 +433,12 @@ def joined(docs: DataFrame) -> DataFrame:
     has another. An empty table gives an empty result.
     """
     pivots = chosen_pivots(docs)
-    sigs = stored(signatures(docs, pivots), "signatures")
-    labels = components(docs, sigs, pivots).select(F.col("node").alias("_node"), F.col("label").alias("final"))
-    own = sigs.join(labels, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "final")
-    own = stored(own, "joined")
+    with brief_shuffles(docs.sparkSession):
+        keys = stored(signatures(docs, pivots), "signatures")
+        sigs = stored(keys.drop("keys"), "nodes")
+        labels = components(docs, sigs, keys, pivots).select(F.col("node").alias("_node"), F.col("label").alias("final"))
+        own = sigs.join(labels, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "final")
+        own = stored(own, "joined")
     first = own.where("final is not null").groupBy("final").agg(F.min("doc_id").alias("first"))
     component = F.when(F.col("final").isNull(), F.col("doc_id")).otherwise(F.col("first"))
     return own.join(first, "final", "left").select("doc_id", "n_shingles", component.alias("component_id"))

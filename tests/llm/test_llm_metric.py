@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tabloom.llm import metric
+from tabloom.llm import base, metric
 from tabloom.llm.shingles import WordHashes, shingle_set
 
 
@@ -144,3 +144,15 @@ def test_edges(edges, nothing):
 def test_short_texts():
     h = WordHashes()
     assert [len(shingle_set(t, h, 4)) for t in (None, "", "a", "a b c", "a b c d", "a b c d e", "a a a a a a")] == [0, 0, 1, 1, 1, 2, 1]
+
+
+def test_tables_are_deleted_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    """Keys, regions and full sets are many times the result: they must not stay on disk until the end."""
+    names = []
+    monkeypatch.setattr(base, "scratch", lambda _, name: names.append(name) or f"{tmp_path}/{name}-{len(names)}")
+    rows = corpus(1, 40, 6, 100)
+    out = metric.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert {"signatures", "own", "regions", "sets"} <= set(names) and {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected(rows)
+    assert not {"signatures", "own", "labelled", "sets"} & left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
