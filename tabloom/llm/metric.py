@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.base import brief_shuffles, forget, map_batches, stored
 from tabloom.llm.minhash import contracted, node_id
-from tabloom.llm.shingles import WordHashes, mix, shingle_set
+from tabloom.llm.shingles import mix, text_shingles
 
 WIDTH = 4
 #: Links have 100 * intersection >= PERCENT * union.
@@ -131,8 +131,12 @@ class Pivots:
         at = np.searchsorted(self.keys, x)
         at[at == len(self.keys)] = 0
         at = at[self.keys[at] == x]
-        found = [self.owner[a:b] for a, b in zip(self.first[at], self.last[at])]
-        return np.bincount(np.concatenate(found), minlength=len(self.sizes)) if found else np.zeros(len(self.sizes), np.int64)
+        if not len(at):
+            return np.zeros(len(self.sizes), np.int64)
+        times = self.last[at] - self.first[at]
+        ends = np.cumsum(times)
+        spans = np.repeat(self.first[at] - ends + times, times)
+        return np.bincount(self.owner[spans + np.arange(ends[-1])], minlength=len(self.sizes))
 
     def placed(self, x: np.ndarray) -> tuple[int | None, list[int]]:
         """The node of a pivot that x links to, and the regions x belongs to or visits; 0 is the remote one."""
@@ -156,9 +160,9 @@ def chosen_pivots(docs: DataFrame) -> Pivots:
     texts = docs.select("text", F.xxhash64("text").alias("h")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
     first = texts.select("h").distinct().orderBy("h").limit(SAMPLE)
     rows = texts.join(F.broadcast(first), "h").groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()
-    hashes, kept = WordHashes(), []
+    kept: list[np.ndarray] = []
     for row in rows:
-        s = shingle_set(row.text, hashes, WIDTH)
+        s = text_shingles(row.text, WIDTH)
         if len(s) and all(len(np.intersect1d(s, p, assume_unique=True)) <= (1 - APART) * (len(s) + len(p)) / (2 - APART) for p in kept):
             kept.append(s)
     return Pivots(kept)
@@ -192,12 +196,12 @@ def signatures(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]] | N
     has the same set, and for sets so small that only equal ones link.
     """
 
-    def run(batch: dict[str, list], state: tuple[WordHashes, _Seen, dict]) -> dict[str, list]:
-        hashes, seen, cuts = state
+    def run(batch: dict[str, list], state: tuple[_Seen, dict]) -> dict[str, list]:
+        seen, cuts = state
         names = ("n_shingles", "node", "label", "asks", "keys")
         out: dict[str, list] = {k: [] for k in names}
         for text in batch["text"]:
-            s = shingle_set(text, hashes, WIDTH)
+            s = text_shingles(text, WIDTH)
             n = len(s)
             row = (0, None, None, None, None)
             if n:
@@ -215,7 +219,7 @@ def signatures(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]] | N
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_shingles long, node long, label long, asks int, keys array<long>"
-    return map_batches(docs.select("doc_id", "text"), schema, run, lambda: (WordHashes(), _Seen(), {}))
+    return map_batches(docs.select("doc_id", "text"), schema, run, lambda: (_Seen(), {}))
 
 
 def folded(shingles: np.ndarray) -> bytes:
@@ -273,13 +277,12 @@ def full_sets(docs: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = sigs.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     chosen = docs.select("doc_id", "text").join(stored(ids, "ids"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
-    def run(batch: dict[str, list], state: tuple[WordHashes, _Seen]) -> dict[str, list]:
-        hashes, seen = state
-        sets = [s for t in batch["text"] if len(s := shingle_set(t, hashes, WIDTH)) and seen.new(node_id(s))]
+    def run(batch: dict[str, list], seen: _Seen) -> dict[str, list]:
+        sets = [s for t in batch["text"] if len(s := text_shingles(t, WIDTH)) and seen.new(node_id(s))]
         return {"node": [node_id(s) for s in sets], "members": [s.tobytes() for s in sets], "cells": [folded(s) for s in sets]}
 
     # a set that tasks found twice only repeats a link
-    return stored(map_batches(chosen.select("text"), "node long, members binary, cells binary", run, lambda: (WordHashes(), _Seen())), "sets")
+    return stored(map_batches(chosen.select("text"), "node long, members binary, cells binary", run, _Seen), "sets")
 
 
 def _relabelled(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -52,3 +52,33 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     return np.unique(runs(hashes.of(words_of(text)), width))
+
+
+_WORD = ~np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A number per place in a word, up to a place, and byte.
+_PLACES = 64
+_BYTES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _K)
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """Hash of each lower-cased (A-Z) word in order: a sum of one mixed number per place and byte, for all words at once."""
+    raw = np.frombuffer(text.encode("utf-8", "replace").lower() if text else b"", np.uint8)
+    at = np.flatnonzero(_WORD[raw])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.empty(len(at), bool)
+    first[0] = True
+    np.not_equal(at[1:], at[:-1] + 1, out=first[1:])
+    starts = np.flatnonzero(first)
+    lengths = np.append(starts[1:], len(at)) - starts
+    cell = (np.arange(len(at)) - np.repeat(starts, lengths)) * 256 + raw[at]
+    if lengths.max() <= _PLACES:
+        terms = _BYTES[cell]
+    else:
+        terms = mix((cell + 1).astype(np.uint64) * _K)
+    return mix(np.add.reduceat(terms, starts))
+
+
+def text_shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The shingle set without a table of words: for corpora whose words rarely come again within a task."""
+    return np.unique(runs(hashed_words(text), width))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tabloom.llm import base, metric
-from tabloom.llm.shingles import WordHashes, shingle_set
+from tabloom.llm.shingles import WordHashes, hashed_words, shingle_set, text_shingles
 
 
 def shingles(text):
@@ -156,3 +156,16 @@ def test_tables_are_deleted_when_nothing_reads_them(spark, tmp_path, monkeypatch
     assert {"signatures", "own", "regions", "sets"} <= set(names) and {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected(rows)
     assert not {"signatures", "own", "labelled", "sets"} & left
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_word_hashes_tell_words_apart_as_a_split_does():
+    known = {}
+    long = "q" * 100
+    for text in (None, "", " \t\n", "a", "A a", "ab a b ba  aab", f"x\x0b{long} y {long}Z {long}z", "\u00c4\u00e4 \u00a0x \ud800 aa", "w1 " * 50 + "w2"):
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        got = hashed_words(text).tolist()
+        assert len(got) == len(words)
+        for word, value in zip(words, got):
+            assert known.setdefault(word, value) == value
+        assert len(text_shingles(text, 4)) == len(shingle_set(text, WordHashes(), 4))
+    assert len(set(known.values())) == len(known)
