@@ -8,12 +8,13 @@ ordered; a bracket that is still large is narrowed again.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.session import checkpointed, maybe_broadcast
+from tabloom.session import checkpointed, maybe_broadcast, values_frame
 
 DIRECT_ROWS = 2_000_000
 SMALL_ROWS = 50_000
@@ -47,20 +48,16 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], dire
                      small_rows: int = SMALL_ROWS):
     """{column: [quantiles]} collected as fitted parameters (columns x probs numbers).
 
-    Small tables use `percentile`, which keeps every distinct value in a slow map. Medium
-    ones are read twice: a sketch brackets each rank, then only the values inside the
-    bracket (about half a percent of the rows) come to the driver. Large ones stay distributed.
+    Small tables use `percentile`, which keeps every distinct value in a slow map. Others are read twice: a sketch brackets
+    each rank, then only the values inside the bracket are counted. Medium tables send those (about half a percent of the
+    rows) to the driver. Larger ones keep them as a table, which is bracketed again where it still holds many values.
     """
     if not columns:
         return {}
     rows = df.agg(F.count("*")).first()[0]
     if rows <= small_rows:
         return _direct_columns(df, columns, probs)
-    if rows <= direct_rows * MEDIUM_FACTOR:
-        return _by_probes(df, columns, probs)
-    table = exact_quantiles(long_numeric(df, columns), ["column"], "value", probs, direct_rows)
-    got = {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in table.collect()}
-    return {c: got.get(c, [None] * len(probs)) for c in columns}
+    return _by_probes(df, columns, probs, direct_rows, rows <= direct_rows * MEDIUM_FACTOR)
 
 
 def _direct_columns(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list]:
@@ -71,8 +68,8 @@ def _direct_columns(df: DataFrame, columns: list[str], probs: list[float]) -> di
     return {c: (got[c] or [None] * len(probs)) for c in columns}
 
 
-def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list]:
-    accuracy = 1000
+def _by_probes(df: DataFrame, columns: list[str], probs: list[float], limit: int, medium: bool) -> dict[str, list]:
+    accuracy = 1000 if medium else ACCURACY
     margin = 2.5 / accuracy
     grid = [min(max(q, 0.0), 1.0) for p in probs for q in (p - margin, p + margin)]
     parts = []
@@ -81,7 +78,7 @@ def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[st
         parts.append(df.agg(F.percentile_approx(x, F.array(*[F.lit(g) for g in grid]), accuracy).alias("cuts"), F.count(x).alias("n"),
                             F.min(x).alias("lo"), F.max(x).alias("hi")).select(F.lit(c).alias("column"), "cuts", "n", "lo", "hi"))
     marks = {r["column"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
-    parts, spans = [], {}
+    parts = []
     for c in columns:
         m, x = marks[c], F.col(c).cast("double")
         if not m["n"]:
@@ -89,16 +86,20 @@ def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[st
         for i, p in enumerate(probs):
             lo = m["lo"] if p <= margin else m["cuts"][2 * i]
             hi = m["hi"] if p >= 1 - margin else m["cuts"][2 * i + 1]
-            spans[c, i] = (lo, hi)
             # values in the bracket keep their count, all smaller ones share the NULL group
             counts = df.where(x <= hi).groupBy(F.when(x >= lo, x).alias("x")).agg(F.count("*").alias("k"))
             parts.append(counts.select(F.lit(c).alias("column"), F.lit(i).alias("i"), "x", "k"))
     if not parts:
         return {c: [None] * len(probs) for c in columns}
-    below, held = {}, {}
-    for r in reduce(DataFrame.unionByName, parts).collect():
+    inside = reduce(DataFrame.unionByName, parts)
+    below = {}
+    if not medium:
+        ranks = {(c, i): (marks[c]["n"] - 1) * p for c in columns if marks[c]["n"] for i, p in enumerate(probs)}
+        inside, below = _few_values(inside, ranks, limit)
+    held = {}
+    for r in inside.collect():
         if r["x"] is None:
-            below[r["column"], r["i"]] = r["k"]
+            below[r["column"], r["i"]] = below.get((r["column"], r["i"]), 0) + r["k"]
         else:
             held.setdefault((r["column"], r["i"]), []).append((r["x"], r["k"]))
     out, missed = {}, set()
@@ -110,14 +111,58 @@ def _by_probes(df: DataFrame, columns: list[str], probs: list[float]) -> dict[st
                 continue
             value = _pick(held.get((c, i), []), below.get((c, i), 0), (marks[c]["n"] - 1) * p)
             if value is None:
-                missed.add(c)  # the sketch was off; count this column in full
+                missed.add(c)  # the sketch was off; look at this column in full
             got.append(value)
         out[c] = got
-    if missed:
+    if missed and medium:
         out.update(_direct_columns(df, sorted(missed), probs))
+    elif missed:
+        table = exact_quantiles(long_numeric(df, sorted(missed)), ["column"], "value", probs, limit)
+        out.update({r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in table.collect()})
     return out
 
 
+def _few_values(counts: DataFrame, ranks: dict[tuple[str, int], float], limit: int, cells: int = 1000) -> tuple[DataFrame, dict[tuple[str, int], int]]:
+    """The rows (column, i, x, k) of `counts` that the fractional ranks can lie on, and how many values were left out below them.
+
+    While a bracket has more than a hundredth of `limit` different values, its span is cut into `cells` equal cells, and only those of
+    the wanted ranks are kept. A bracket that does not shrink so, or has no finite span, is left out as a whole.
+    """
+    counts = checkpointed(counts)
+    below: dict[tuple[str, int], int] = {}
+    before: dict[tuple[str, int], int] = {}
+    while True:
+        known = counts.where("x is not null").groupBy("column", "i").agg(F.count("*").alias("values"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        wide = [r for r in known.collect() if r["values"] > limit // 100 and r["lo"] < r["hi"]]
+        if not wide:
+            return counts, below
+        spans = values_frame(counts.sparkSession, [(r["column"], r["i"], r["lo"], (r["hi"] - r["lo"]) / cells) for r in wide],
+                             "column string, i int, lo double, step double")
+        placed = counts.join(F.broadcast(spans), ["column", "i"], "left")
+        placed = placed.withColumn("cell", F.floor((F.col("x") - F.col("lo")) / F.col("step")))
+        sums = placed.where("step is not null").groupBy("column", "i", "cell").agg(F.sum("k").alias("k")).collect()
+        kept = []
+        for r in wide:
+            key = (r["column"], r["i"])
+            cut = sorted(((s["cell"], s["k"]) for s in sums if (s["column"], s["i"]) == key), key=lambda s: -1 if s[0] is None else s[0])
+            upto, least, most, under = below.get(key, 0), None, None, 0
+            for cell, k in cut:
+                if cell is not None and least is None and upto + k > int(ranks[key]):
+                    least, under = cell, upto
+                if cell is not None and upto < ranks[key] + 1:
+                    most = cell
+                upto += k
+            step = (r["hi"] - r["lo"]) / cells
+            if least is None or not 0 < step < math.inf or r["values"] == before.get(key):
+                least, most, under = 0, -1, 0
+            before[key] = r["values"]
+            kept.append((*key, least, most))
+            below[key] = under
+        bounds = values_frame(counts.sparkSession, kept, "column string, i int, least long, most long")
+        placed = placed.join(F.broadcast(bounds), ["column", "i"], "left")
+        counts = checkpointed(placed.where("least is null or cell between least and most").select("column", "i", "x", "k"))
+
+
 def _pick(values: list[tuple[float, int]], below: int, position: float) -> float | None:
     """Linear quantile at a fractional rank, or None if the values do not cover it."""
     lo, hi = int(position), int(position) + (position > int(position))

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import ordering as o
+from tabloom.functions import quantiles
 from tabloom.functions.quantiles import column_quantiles, exact_quantiles
 
 
@@ -69,3 +70,18 @@ def test_quantile_brackets(rows):
     for c in exact:
         assert exact[c] == pytest.approx(narrow[c])
         assert exact[c] == pytest.approx(probed[c])
+
+
+def test_large_tables_are_bracketed_without_rows_per_rank(spark, monkeypatch):
+    """Above the medium size every column gets a few scans of its own; the joins of all values with all ranks are not used."""
+    x = F.xxhash64("id") % 1_000_003
+    df = spark.range(30_000).select(
+        x.cast("double").alias("a"), F.pow(F.lit(10.0), x % 40).alias("b"), (F.col("id") % 3).alias("c"), F.when(x > 0, F.exp(x / 50_000)).alias("d"),
+        F.lit(None).cast("double").alias("e"), F.when(F.col("id") < 15_000, x % 5_000 * 1e-3).otherwise(1e9 + x % 5_000).alias("f"))
+    probs = [0.0, 0.01, 0.5, 0.75, 1.0]
+    want = quantiles._direct_columns(df, df.columns, probs)
+    assert quantiles.column_quantiles(df, df.columns, probs, direct_rows=2_000, small_rows=10) == want
+    assert quantiles.column_quantiles(df, df.columns, probs, direct_rows=100, small_rows=10) == want
+    monkeypatch.setattr(quantiles, "_by_brackets", None)
+    columns = ["a", "b", "c", "d", "e"]
+    assert quantiles.column_quantiles(df, columns, probs, direct_rows=200, small_rows=10) == {c: want[c] for c in columns}
