@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.ordering import row_positions
 from tabloom.operators import prep
 from tabloom.operators.neighbors import BLOCK_ROWS, SMALL_SIDE, _matrix, label_distance_sums
-from tabloom.session import beside, checkpointed, maybe_broadcast, values_frame
+from tabloom.session import beside, checkpointed, maybe_broadcast, values_frame, written
 
 K_RANGE = (2, 10)
 RESTARTS = 10
@@ -368,9 +368,9 @@ def _cell_links(points, full, offsets, shifted, cs, k, xs, side, eps) -> DataFra
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, first): smallest `first` over each connected component, by rounds of neighbour minimum and shortcut."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    state = checkpointed(nodes.select("a", "first"))
-    owner = checkpointed(nodes.select(F.col("a").alias("o"), F.col("first").alias("home")))
+    both = written(both, "edges")
+    state = written(nodes.select("a", "first"), "state")
+    owner = written(nodes.select(F.col("a").alias("o"), F.col("first").alias("home")), "owner")
     while True:
         heard = both.join(state.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("first").alias("heard"))
         step = state.join(heard, "a", "left").select("a", "first", F.least("first", F.coalesce("heard", F.col("first"))).alias("new"))
@@ -378,7 +378,7 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         known = step.join(owner, step["a"] == owner["o"]).select(F.col("home").alias("h"), F.col("new").alias("jump"))
         jumped = step.join(known, step["new"] == known["h"], "left").select(
             "a", "first", F.least("new", F.coalesce("jump", F.col("new"))).alias("new"))
-        jumped = checkpointed(jumped)
+        jumped = written(jumped, "state")
         changed = not jumped.where(F.col("new") < F.col("first")).isEmpty()
         state = jumped.select("a", F.col("new").alias("first"))
         if not changed:

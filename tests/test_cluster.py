@@ -104,6 +104,16 @@ def test_dbscan(spark, dims, eps):
     assert got == brute_dbscan(x, eps, 5)
 
 
+def test_components_of_a_long_path_keep_a_small_plan(spark):
+    """What the optimizer infers of a round must not be handed on: it doubled every round, and with it the time to plan."""
+    node = lambda c: F.struct(F.lit(0).alias("kind"), F.col(c).alias("id"))
+    t = spark.range(96).select((F.col("id") * 37 % 97).alias("i"), ((F.col("id") + 1) * 37 % 97).alias("j"))
+    ids = t.select("i").union(t.select("j")).distinct()
+    out = cluster._components(ids.select(node("i").alias("a"), F.col("i").alias("first")), t.select(node("i").alias("a"), node("j").alias("b")))
+    assert out._jdf.queryExecution().analyzed().constraints().size() < 4
+    assert [tuple(r) for r in out.select("first").distinct().collect()] == [(0,)] and out.count() == 97
+
+
 def test_kmeans_sweep_finds_blobs(spark):
     rng = np.random.default_rng(42)
     x = np.concatenate([rng.normal(c, 0.5, (50, 2)) for c in ((0, 0), (5, 5), (0, 5))])
