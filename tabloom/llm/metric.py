@@ -10,7 +10,8 @@ Jaccard distance is a metric, and documents link within EPSILON. Equal sets are
 2. Unrelated documents are all at distance 1, where no pivot tells them apart. So regions recurse into classes of the
    shingle universe: a linked pair differs in at most D shingles, so of more than D classes that are not empty in a node, one
    is left where both have the same shingles. In that class's own space every distinct projection is a pivot, and its
-   Voronoi region of radius 0 holds exactly the nodes that coincide there. The number of classes follows from the size;
+   Voronoi region of radius 0 holds exactly the nodes that coincide there. A node visits the regions of D + 1 classes, those with
+   most rare shingles: what many unlike texts share, such as a frequent line, would else make regions of all who hold it. The number of classes follows from the size;
    nodes near a step of it visit the next one too, and the few nodes with too many empty classes ask for a finer cut
    from all sizes that could match.
 3. A region that one component owns is finished. Any other takes its smallest node as pivot. The exact distances to it link
@@ -43,6 +44,8 @@ EPSILON = 1 - PERCENT / 100
 RADIUS = 0.5
 #: Texts sampled for pivots, their most bytes, and the least distance between two pivots.
 SAMPLE, SAMPLE_BYTES, APART = 512, 1 << 15, 0.8
+#: Texts sampled for common shingles, how many of them hold one, and the most common shingles kept. All others are RARE.
+COMMON_SAMPLE, COMMON_TEXTS, COMMON, RARE = 4096, 4, 1 << 17, 16
 #: Most shingles of a class on average. More than D classes must stay filled, which is rare to fail but for short texts.
 FILL = 4.5
 #: Sets up to a size are also cut at so many further depths, as theirs are the classes that chance may leave empty.
@@ -83,11 +86,38 @@ def own_depths(n: int) -> list[int]:
     return list(range(depth(n), depth(100 * n // PERCENT) + _extra(n) + 1))
 
 
-def projections(shingles: np.ndarray, k: int) -> np.ndarray:
-    """Keys of what the set holds in its filled classes: the first D + 1 by their own order, or all if they are fewer."""
+class Common:
+    """Shingles that many unlike texts hold, each with the number of times the sample halves until it is as few as hold it."""
+
+    def __init__(self, rows: list[tuple[int, int]] = ()) -> None:
+        rows = sorted((shingle & (1 << 64) - 1, halvings) for shingle, halvings in rows)
+        self.shingles = np.array([r[0] for r in rows], np.uint64)
+        self.halvings = np.array([r[1] for r in rows], np.uint8)
+
+    def rarity(self, x: np.ndarray) -> np.ndarray:
+        """Per shingle the halvings, or RARE."""
+        out = np.full(len(x), RARE, np.uint8)
+        if len(self.shingles):
+            at = np.searchsorted(self.shingles, x)
+            at[at == len(self.shingles)] = 0
+            found = self.shingles[at] == x
+            out[found] = self.halvings[at[found]]
+        return out
+
+
+def projections(shingles: np.ndarray, k: int, rarity: np.ndarray | None = None) -> np.ndarray:
+    """Keys of what the set holds in its filled classes: the first D + 1 by their own order, or all if they are fewer.
+
+    Any order that depends on what a class holds would do. A key begins with its place: classes with most rare shingles come
+    first, then those whose rarest common one is least common. What many unlike texts hold thus seldom makes a region.
+    """
     at, most = _classes(shingles, k), most_apart(len(shingles))
+    rarity = np.full(len(shingles), RARE, np.uint8) if rarity is None else rarity
+    rare = np.minimum(np.add.reduceat((rarity == RARE).astype(np.int64), at), 15)
+    place = 255 - (rare * 16 + np.maximum.reduceat(rarity % RARE, at))
     with np.errstate(over="ignore"):
         keys = mix(np.add.reduceat(mix(shingles ^ _K), at) + np.uint64(k) * _K)
+    keys = place.astype(np.uint64) << np.uint64(56) | keys >> np.uint64(8)
     return np.partition(keys, most)[: most + 1] if len(keys) > most + 1 else keys
 
 
@@ -152,25 +182,43 @@ class Pivots:
         return (self.nodes[linked[0]] if len(linked) else None), regions
 
 
+def sampled(docs: DataFrame, most: int) -> DataFrame:
+    """h and text of the different texts that come first by hash."""
+    texts = docs.select("text", F.xxhash64("text").alias("h")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    first = texts.select("h").distinct().orderBy("h").limit(most)
+    return texts.join(F.broadcast(first), "h").groupBy("h").agg(F.first("text").alias("text"))
+
+
 def chosen_pivots(docs: DataFrame) -> Pivots:
     """Pivots at least APART from each other, from the SAMPLE different texts that come first by hash.
 
     The sample only steers how the work is cut: any pivots, or none, give the same links.
     """
-    texts = docs.select("text", F.xxhash64("text").alias("h")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    first = texts.select("h").distinct().orderBy("h").limit(SAMPLE)
-    rows = texts.join(F.broadcast(first), "h").groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()
     kept: list[np.ndarray] = []
-    for row in rows:
+    for row in sampled(docs, SAMPLE).orderBy("h").collect():
         s = text_shingles(row.text, WIDTH)
         if len(s) and all(len(np.intersect1d(s, p, assume_unique=True)) <= (1 - APART) * (len(s) + len(p)) / (2 - APART) for p in kept):
             kept.append(s)
     return Pivots(kept)
 
 
-def keyed(shingles: np.ndarray, depths: list[int], regions: list[int]) -> np.ndarray:
+def common_shingles(sample: DataFrame) -> Common:
+    """Shingles of at least COMMON_TEXTS sampled texts. They too only steer how the work is cut."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        return {"shingle": np.concatenate([text_shingles(t, WIDTH) for t in batch["text"]]).view(np.int64)}
+
+    texts = F.count("*").alias("texts")
+    found = map_batches(sample.select("text"), "shingle long", run).groupBy("shingle").agg(texts).where(F.col("texts") >= COMMON_TEXTS)
+    halvings = F.greatest(F.lit(0), F.floor(F.log2(COMMON_SAMPLE / F.col("texts")))).cast("int")
+    rows = found.orderBy(F.desc("texts"), "shingle").limit(COMMON).select("shingle", halvings.alias("halvings"))
+    return Common([tuple(r) for r in rows.collect()])
+
+
+def keyed(shingles: np.ndarray, depths: list[int], regions: list[int], common: Common) -> np.ndarray:
     """Keys of all regions that a set belongs to or visits, at the given depths."""
-    cut = np.concatenate([projections(shingles, k) for k in depths])
+    rarity = common.rarity(shingles)
+    cut = np.concatenate([projections(shingles, k, rarity) for k in depths])
     with np.errstate(over="ignore"):
         return np.concatenate([mix(cut + np.uint64(r) * _K) if r else cut for r in regions]).view(np.int64)
 
@@ -189,7 +237,7 @@ class _Seen(set):
         return True
 
 
-def signatures(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]] | None = None) -> DataFrame:
+def signatures(docs: DataFrame, pivots: Pivots, common: Common, asked: list[tuple[int, int]] | None = None) -> DataFrame:
     """doc_id, n_shingles, node (null without words), label (a linked pivot, else the node), the depth it asks for, and keys.
 
     `keys` are those of the own depths, or with `asked` of the depths asked for. They are null where another row of the task
@@ -211,7 +259,7 @@ def signatures(docs: DataFrame, pivots: Pivots, asked: list[tuple[int, int]] | N
                 if most_apart(n) and seen.new(node):
                     if n not in cuts:
                         cuts[n] = own_depths(n) if asked is None else asked_depths(n, asked)
-                    keys = keyed(s, cuts[n], regions) if cuts[n] else None
+                    keys = keyed(s, cuts[n], regions, common) if cuts[n] else None
                 row = (n, node, node if pivot is None else pivot, finer(s), keys)
             for k, v in zip(names, row):
                 out[k].append(v)
@@ -395,7 +443,7 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.mapInArrow(linked, "u long, v long")
 
 
-def components(docs: DataFrame, sigs: DataFrame, keys: DataFrame, pivots: Pivots) -> DataFrame:
+def components(docs: DataFrame, sigs: DataFrame, keys: DataFrame, pivots: Pivots, common: Common) -> DataFrame:
     """(node, label) where labels of `sigs` are joined further: equal labels are one component.
 
     `keys` are the signatures with their keys. Each table is deleted as soon as nothing reads it any more.
@@ -405,7 +453,7 @@ def components(docs: DataFrame, sigs: DataFrame, keys: DataFrame, pivots: Pivots
     # pairs of a size and a depth, met by chance among the few sizes of short texts alone, if at all
     asked = [tuple(r) for r in sigs.where("asks is not null").select("n_shingles", "asks").distinct().collect()]
     if asked:
-        more = stored(signatures(docs, pivots, asked), "asked")
+        more = stored(signatures(docs, pivots, common, asked), "asked")
         held.append(more)
         cells = cells.union(more.select(F.explode("keys").alias("key"), "label", "node", F.col("n_shingles").alias("n")))
     shared = cells.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("center"))
@@ -435,11 +483,12 @@ def joined(docs: DataFrame) -> DataFrame:
     linked. Rows that repeat a doc_id are joined by their own texts, and a row without a doc_id never names a component that
     has another. An empty table gives an empty result.
     """
-    pivots = chosen_pivots(docs)
     with brief_shuffles(docs.sparkSession):
-        keys = stored(signatures(docs, pivots), "signatures")
+        sample = stored(sampled(docs, COMMON_SAMPLE), "sample")
+        pivots, common = chosen_pivots(sample), common_shingles(sample)
+        keys = stored(signatures(docs, pivots, common), "signatures")
         sigs = stored(keys.drop("keys"), "nodes")
-        labels = components(docs, sigs, keys, pivots).select(F.col("node").alias("_node"), F.col("label").alias("final"))
+        labels = components(docs, sigs, keys, pivots, common).select(F.col("node").alias("_node"), F.col("label").alias("final"))
         own = sigs.join(labels, F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", "final")
         own = stored(own, "joined")
     first = own.where("final is not null").groupBy("final").agg(F.min("doc_id").alias("first"))

@@ -169,3 +169,28 @@ def test_word_hashes_tell_words_apart_as_a_split_does():
             assert known.setdefault(word, value) == value
         assert len(text_shingles(text, 4)) == len(shingle_set(text, WordHashes(), 4))
     assert len(set(known.values())) == len(known)
+
+
+def test_what_many_unlike_texts_hold_makes_no_region():
+    """Single shingles, or a line of a tenth of the texts, brought unlike texts together: that grows with the square of the input."""
+    rng = np.random.default_rng(11)
+    new = lambda n: rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+    single, line = new(40), new(10)
+    common = metric.Common([(int(x.astype(np.int64)), 3) for x in line])
+    for n, extra in ((300, single), (30, line)):
+        sets = [np.unique(np.concatenate([new(n), rng.permutation(extra)[:10]])) for _ in range(400)]
+        keys = np.concatenate([np.unique(np.concatenate([metric.projections(s, k, common.rarity(s)) for k in metric.own_depths(len(s))])) for s in sets])
+        assert len(keys) > 5000 and len(keys) - len(np.unique(keys)) < 10
+
+
+def test_common_shingles_leave_the_links(spark, monkeypatch):
+    monkeypatch.setattr(metric, "COMMON_TEXTS", 2)
+    rng = random.Random(3)
+    lines = [" ".join(rng.choices("abcdefgh", k=12)) for _ in range(3)]
+    rows = [(i, f"{t}\n{rng.choice(lines)}" if i % 3 else rng.choice(lines)) for i, t in corpus(6, 60, 6, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = metric.common_shingles(metric.sampled(docs, 4096))
+    assert len(known.shingles) > 20 and (known.rarity(text_shingles(lines[0], 4)) < metric.RARE).all()
+    assert (known.rarity(text_shingles("never met in any text", 4)) == metric.RARE).all()
+    out = metric.joined(docs).collect()
+    assert len(out) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected(rows)
