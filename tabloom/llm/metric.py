@@ -18,7 +18,7 @@ Jaccard distance is a metric, and documents link within EPSILON. Equal sets are
    what is near, and cut the region into rings of width EPSILON: linked nodes lie in the same or in neighbouring rings, so
    each node is copied into the next ring, and rings that still hold several components are compared exactly, in blocks.
    Counts per cell of the hash space bound every similarity from above and spare most nodes the comparison of full sets.
-   Overlapping regions that fit in one block together are joined there at once.
+   Overlapping regions are joined at once, in blocks, where that moves no more rows.
 
 Node and shingle identity rest on 64-bit hashes; every link is confirmed on full sets.
 """
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.base import brief_shuffles, forget, map_batches, stored
@@ -361,11 +361,28 @@ def bridges(sets: list[np.ndarray], labels: list[int]) -> Iterator[tuple[int, in
                 group[group == group[j]] = group[i]
 
 
+def _blocks() -> Column:
+    """Number of blocks of the nodes of a group, from their column n."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _at_once(rows: DataFrame, by: str) -> DataFrame:
+    """Per group its rows, its different nodes and the blocks of these."""
+    nodes = rows.select(by, "node", "n").distinct().groupBy(by).agg(F.count("*").alias("nodes"), _blocks().alias("blocks"))
+    return nodes.join(rows.groupBy(by).agg(F.count("*").alias("rows")), by)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Deal rows (key, ring, node, label, blocks) out to pairs (lo, hi) of blocks."""
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select("key", F.col("ring").cast("int").alias("ring"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
+
+
 def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) of labels inside regions (key, center, label, node, n) that several components still share.
 
-    Regions of equal members are joined once. Regions that overlap are joined as one if they fit in a block together. Any
-    other is cut into rings around its center and bands of sizes; a node goes to its own and the next. Rings of several components are
+    Regions of equal members are joined once. Regions that overlap are joined as one if that moves no more rows. Any other is cut into rings around its center and bands of sizes; a node goes to its own and the next. Rings of several components are
     dealt out in blocks, and a task compares two blocks.
     """
     same = own.groupBy("key").agg(
@@ -377,9 +394,9 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     # regions that share nodes are one family, and a family that fits in a block is compared once, not region by region
     family = contracted(own.select(F.col("center").alias("u"), F.col("node").alias("v"))).withColumnRenamed("label", "family")
     own = own.join(family, "node")
-    fits = (F.count("*") <= BLOCK) & (F.sum("n") * 8 <= BLOCK_BYTES)
-    own = own.join(own.select("family", "node", "n").distinct().groupBy("family").agg(fits.alias("fits")), "family")
-    own = stored(own, "families")
+    # so is a larger one whose blocks hold no more rows than the rings and bands of its regions would, four a member at least
+    fits = _at_once(own, "family").select("family", (F.col("nodes") * F.col("blocks") <= 4 * F.col("rows")).alias("fits"))
+    own = stored(own.join(fits, "family"), "families")
     whole = own.where("fits").select(F.col("family").alias("key"), F.lit(-1).alias("ring"), "node", "label", "n").distinct()
     large = own.where("not fits").select("key", "center", "node", "label", "n")
     pairs = large.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
@@ -391,13 +408,9 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
     rows = stored(rows.select("key", (F.col("ring") * 10_000 + F.col("band")).alias("ring"), "node", "label", "n").union(whole), "ringed")
     groups = rows.groupBy("key", "ring").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"), _blocks().alias("blocks"),
     )
-    cut = rows.join(groups.where("lo < hi").select("key", "ring", "blocks"), ["key", "ring"])
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.col("ring").cast("int").alias("ring"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
+    cut = _dealt(rows.join(groups.where("lo < hi").select("key", "ring", "blocks"), ["key", "ring"]))
     group = ("key", "ring", "lo", "hi")
 
     def grouped(batches: Iterator[pa.RecordBatch], last: str) -> Iterator[tuple[list, list, list, list]]:
@@ -432,13 +445,14 @@ def _rings(own: DataFrame, sets: DataFrame) -> DataFrame:
     # counts per cell are a few hundred bytes a node: what they rule out does not bring its set along
     light = cut.join(sets.select("node", "cells"), "node").repartition(*group).sortWithinPartitions(*group)
     left = stored(light.mapInArrow(chosen, "key long, ring int, lo int, hi int, node long, label long, first long"), "hopeful")
-    # what may link is often met in many regions: where all of it fits in a block, each set is moved once
+    # what may link is often met in many regions: a circle whose blocks hold no more rows than that is compared once
     circle = contracted(left.select(F.col("first").alias("u"), F.col("node").alias("v"))).withColumnRenamed("label", "circle")
-    weights = circle.join(own.select("node", "n").distinct(), "node").groupBy("circle").agg(fits.alias("small"))
-    left = stored(left.join(circle, "node").join(weights, "circle"), "circles")
-    none = F.lit(-1)
-    once = left.where("small").select(F.col("circle").alias("key"), *[none.alias(c) for c in group[1:]], "node", "label").distinct()
-    left = left.where("not small").select(*group, "node", "label").union(once)
+    left = left.join(circle, "node").join(own.select("node", "n").distinct(), "node")
+    left = stored(left.select(*group, "node", "label", "n", "circle"), "circles")
+    small = _at_once(left, "circle").select("circle", "blocks", (F.col("nodes") * F.col("blocks") <= F.col("rows")).alias("small"))
+    left = left.join(small, "circle")
+    once = left.where("small").select(F.col("circle").alias("key"), F.lit(-2).alias("ring"), "node", "label", "blocks").distinct()
+    left = left.where("not small").select(*group, "node", "label").union(_dealt(once))
     whole = left.join(sets.select("node", "members"), "node").repartition(*group).sortWithinPartitions(*group)
     return whole.mapInArrow(linked, "u long, v long")
 
