@@ -194,3 +194,20 @@ def test_common_shingles_leave_the_links(spark, monkeypatch):
     assert (known.rarity(text_shingles("never met in any text", 4)) == metric.RARE).all()
     out = metric.joined(docs).collect()
     assert len(out) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected(rows)
+
+
+def test_overlapping_regions_are_dealt_out_once(spark, monkeypatch):
+    """Forty nodes that share thirty regions are three blocks, not three blocks in every ring of each region."""
+    monkeypatch.setattr(metric, "BLOCK", 16)
+    made, dealt = [], metric._dealt
+    monkeypatch.setattr(metric, "_dealt", lambda rows: made.append(dealt(rows).count()) or dealt(rows))
+    sets = [np.unique(np.random.default_rng(i).integers(0, 2**64, 50, np.uint64, endpoint=False)) for i in range(20)]
+    sets += [np.unique(np.append(s[1:], np.uint64(i))) for i, s in enumerate(sets)]
+    full = [(i, s.tobytes(), metric.folded(s)) for i, s in enumerate(sets)]
+    own = [(k, int(k == 0), i, i, 50) for k in range(30) for i in range(40) if i != k]
+    found = metric._rings(
+        spark.createDataFrame(own, "key long, center long, label long, node long, n long"),
+        spark.createDataFrame(full, "node long, members binary, cells binary"),
+    )
+    assert sorted(tuple(sorted((r.u, r.v))) for r in found.distinct().collect()) == [(i, i + 20) for i in range(20)]
+    assert made[0] == 40 * 3
