@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import automl, explain, forecast, models, sampling
 from tabloom.operators import timeseries as ts
+from tabloom.plans import model_plans
 
 
 @pytest.fixture(scope="module")
@@ -199,3 +200,40 @@ def test_balanced_training_part(spark):
     counts = {r.label: r["count"] for r in automl.balanced(train).groupBy("label").count().collect()}
     assert counts == {0: 90, 1: 90}
     assert automl.balanced(train).select("id").distinct().count() == 180
+
+
+def test_classifying_documents_trains_every_model_of_the_registry(spark, monkeypatch):
+    entry = models.Entry(lambda train, p: (_ for _ in ()).throw(ImportError("not here")))
+    monkeypatch.setattr(automl, "CLASSIFIERS", {name: entry for name in models.CLASSIFIERS})
+    df = table(spark, np.arange(20.0)[:, None], np.arange(20) % 2)
+    monkeypatch.setattr(model_plans, "class_table", lambda *_: df)
+    asked = {r["model"]: r["status"] for r in model_plans.classify_documents(spark, "").collect()}
+    assert asked == {name: "unavailable" for name in models.CLASSIFIERS}
+
+
+def test_a_model_that_fails_in_one_fold_has_no_score(linear, monkeypatch):
+    _, _, df = linear
+    good = models.REGRESSORS["linear_regression"]
+    fits = []
+
+    def broken(train, p):
+        fits.append(train)
+        if len(fits) == 2:
+            raise ValueError("no fit")
+        return good.fit(train, p)
+
+    monkeypatch.setattr(automl, "REGRESSORS", {"good": good, "broken": models.Entry(broken)})
+    rows = {r["model"]: r for r in automl.automl(df, False, folds=3, parallel=1)[0].collect()}
+    assert rows["good"]["status"] == "completed" and rows["good"]["score"] > 0.95 and rows["good"]["r2"] > 0.95
+    assert rows["broken"]["status"] == "failed" and rows["broken"]["score"] is None
+
+
+@pytest.mark.parametrize("held", [1000, 100])
+def test_boosted_stumps_follow_their_weights(spark, monkeypatch, held):
+    monkeypatch.setattr(models, "MOST_ROWS", held)
+    x = np.random.default_rng(4).normal(size=(400, 2)).round(1)
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    df = table(spark, x, y)
+    trained = models.fit_adaboost_classifier(df, {"n_estimators": 12})
+    hit = trained.score(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")), F.max(F.abs(F.col("probability")[0] + F.col("probability")[1] - 1))).first()
+    assert hit[0] > 0.9 and hit[1] < 1e-9
