@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.ordering import row_positions
-from tabloom.operators import prep
+from tabloom.operators import planar, prep
 from tabloom.operators.neighbors import BLOCK_ROWS, SMALL_SIDE, _matrix, label_distance_sums
-from tabloom.session import beside, checkpointed, maybe_broadcast, values_frame, written
+from tabloom.session import beside, checkpointed, maybe_broadcast, small_enough, values_frame, written
 
 K_RANGE = (2, 10)
 RESTARTS = 10
@@ -197,11 +197,15 @@ def kmeans_sweep(
 def silhouette(points: DataFrame, labelings: int = 1, small_side: int = SMALL_SIDE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(labeling, silhouette): mean over all rows, exact Euclidean; negative labels are left out.
 
-    points: (id, v, labels array<int>). The work is quadratic in the rows by definition,
-    so it is cut into pairs of blocks; nothing is sampled.
+    points: (id, v, labels array<int>). Many rows with at most two columns are summed through squares of the plane; else
+    the work is quadratic in the rows, so it is cut into pairs of blocks. Nothing is sampled.
     """
     own = points.select("id", F.posexplode("labels").alias("labeling", "own")).where(F.col("own") >= 0)
     sizes = own.groupBy("labeling", F.col("own").alias("label")).agg(F.count("*").alias("n"))
+    if not small_enough(points, small_side) and small_enough(sizes, planar.MOST_LABELS):
+        scores = planar.silhouettes(points, labelings, [tuple(r) for r in sizes.collect()])
+        if scores is not None:
+            return scores
     sums = label_distance_sums(points, labelings, small_side, block_rows)
     joined = sums.join(maybe_broadcast(sizes), ["labeling", "label"]).join(own, ["id", "labeling"])
     same = F.col("label") == F.col("own")

@@ -271,7 +271,7 @@ d AS (SELECT a.id, a.label AS own, b.label, sum(sqrt((a.x - b.x) ** 2 + (a.y - b
 m AS (SELECT id, max(CASE WHEN own = d.label THEN t / (n - 1) END) AS a, min(CASE WHEN own <> d.label THEN t / n END) AS b FROM d JOIN z ON d.label = z.label GROUP BY 1)
 SELECT 0 AS labeling, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM m""")
 def customer_silhouette(spark, d):
-    return cluster.silhouette(labelled_points(spark, d)).withColumn("silhouette", tidy(F.col("silhouette")))
+    return cluster.silhouette(labelled_points(spark, d).persist()).withColumn("silhouette", tidy(F.col("silhouette")))
 
 
 _CENTER_SQL = f"""WITH {POINT_SQL}, k AS (SELECT * FROM p WHERE label >= 0), c AS (SELECT label, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM k GROUP BY 1),
