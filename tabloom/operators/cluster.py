@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from tabloom.functions.ordering import row_positions
 from tabloom.operators import planar, prep
 from tabloom.operators.neighbors import BLOCK_ROWS, SMALL_SIDE, _matrix, label_distance_sums
-from tabloom.session import beside, checkpointed, maybe_broadcast, small_enough, values_frame, written
+from tabloom.session import beside, checkpointed, maybe_broadcast, small_enough, training_tasks, values_frame, written
 
 K_RANGE = (2, 10)
 RESTARTS = 10
 SEED_ROUNDS = 5  # oversampling rounds over all rows before the k-means++ starts
 MAX_PASSES = 300
+ROWS_PER_TASK, MOST_ROWS = 10_000, 200_000  # of a pass
+PASS_CELLS = 100_000  # distances a task holds at once: few enough for its cache
 
 
 def scaled_vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -50,14 +52,14 @@ def _candidates(points: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np
     first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).toPandas()
     found = _matrix(first["v"])
     for turn in range(SEED_ROUNDS):
-        near = points.select("id", "v", nearest_distance(F.col("v"), found).alias("d2"))
+        near = points.select("id", "v", _nearest_of(found)("v")["d"].alias("d2"))
         total = near.agg(F.sum("d2")).first()[0]
         if not total:
             break
         u = F.pmod(F.xxhash64("id", F.lit(seed + 1 + turn)), F.lit(1 << 40)) / float(1 << 40)
         kept = near.where(u < F.col("d2") * (size / total)).toPandas()["v"]
         found = np.concatenate([found, _matrix(kept)]) if len(kept) else found
-    counts = {r["label"]: r["count"] for r in points.groupBy(nearest_center(F.col("v"), found).alias("label")).count().collect()}
+    counts = {r["label"]: r["count"] for r in points.groupBy(_nearest_of(found)("v")["i"].alias("label")).count().collect()}
     return found, np.array([counts.get(i, 0) for i in range(len(found))], dtype=float)
 
 
@@ -74,8 +76,9 @@ def kmeans_runs(points: DataFrame, ks: list[int], restarts: int = RESTARTS, seed
     spread = points.agg(F.array(*[F.var_pop(F.col("v")[i]) for i in range(start.shape[1])]).alias("v")).first()["v"]
     limit = tol * float(np.mean(spread))
     live = list(range(len(runs)))
+    blocks = _blocks(points)
     for _ in range(MAX_PASSES):
-        sums = _pass(points, {r: runs[r][1] for r in live})
+        sums = _pass(blocks, {r: runs[r][1] for r in live})
         still = []
         for r in live:
             k, old = runs[r]
@@ -88,7 +91,8 @@ def kmeans_runs(points: DataFrame, ks: list[int], restarts: int = RESTARTS, seed
         live = still
         if not live:
             break
-    final = _pass(points, {r: runs[r][1] for r in range(len(runs))})
+    final = _pass(blocks, {r: runs[r][1] for r in range(len(runs))})
+    blocks.unpersist()
     best: dict[int, tuple[float, np.ndarray]] = {}
     for r, (k, centers) in enumerate(runs):
         cost = final[r][2]
@@ -97,41 +101,52 @@ def kmeans_runs(points: DataFrame, ks: list[int], restarts: int = RESTARTS, seed
     return best
 
 
-def _pass(points: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    sent = points.sparkSession.sparkContext.broadcast(centers)
+def _blocks(points: DataFrame) -> DataFrame:
+    """Persisted rows as blocks of bytes: a pass reads them without converting single numbers."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[int, list] = {}
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = _matrix(b["v"])
-            x2 = (x * x).sum(axis=1)
-            for r, c in sent.value.items():
-                d2 = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
-                own = d2.argmin(axis=1)
-                cost = np.maximum(d2[np.arange(len(x)), own] + x2, 0)
-                hot = np.zeros((len(x), len(c)))
-                hot[np.arange(len(x)), own] = 1
-                a = acc.setdefault(r, [np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))])
-                a[0] += hot.sum(axis=0)
-                a[1] += hot.T @ x
-                a[2] += hot.T @ cost
-        rows = [(r, j, float(a[0][j]), a[1][j].tolist(), float(a[2][j])) for r, a in acc.items() for j in range(len(a[0]))]
-        yield pd.DataFrame(rows, columns=["run", "center", "n", "total", "cost"])
-
-    parts = points.select("v").mapInPandas(partial, "run int, center int, n double, total array<double>, cost double")
-    dim = len(next(iter(centers.values()))[0])
-    sums = parts.groupBy("run", "center").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("total")[i]) for i in range(dim)]).alias("total"))
-    out = {r: [np.zeros(len(c)), np.zeros(c.shape), 0.0] for r, c in centers.items()}
-    for row in sums.collect():  # runs x centers rows
-        a = out[row["run"]]
-        a[0][row["center"]] = row["n"]
-        a[1][row["center"]] = row["total"]
-        a[2] += row["cost"]
-    sent.unpersist()
-    return {r: tuple(a) for r, a in out.items()}
+            if len(b):
+                x = _matrix(b["v"])
+                yield pd.DataFrame({"x": [x.tobytes()], "dim": [x.shape[1]]})
+
+    tasks = training_tasks(points.sparkSession, points.count(), ROWS_PER_TASK, MOST_ROWS)
+    return points.select("id", "v").repartition(tasks, "id").mapInPandas(block, "x binary, dim int").persist()
+
+
+def _pass(blocks: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """{run: (rows, sums, cost)} per center; the runs with most centers come first, so that all with a j-th one are neighbours."""
+    order = sorted(centers, key=lambda r: -len(centers[r]))
+    most, n = len(centers[order[0]]), len(order)
+    rows = [np.array([centers[r][j] for r in order if len(centers[r]) > j]) for j in range(most)]
+    dim = rows[0].shape[1]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((dim + 2, n * most))
+        for held, d in ((h, d) for b in batches for h, d in zip(b["x"], b["dim"])):
+            whole = np.frombuffer(held).reshape(-1, d)
+            step = max(1, PASS_CELLS // n)
+            for a in range(0, len(whole), step):
+                x = whole[a:a + step]
+                best, own = np.full((len(x), n), np.inf), np.zeros((len(x), n), dtype=np.int64)
+                for j, c in enumerate(rows):
+                    d2 = x @ (-2 * c.T)
+                    d2 += (c * c).sum(axis=1)
+                    less = d2 < best[:, :len(c)]
+                    np.copyto(best[:, :len(c)], d2, where=less)
+                    np.copyto(own[:, :len(c)], j, where=less)
+                best += (x * x).sum(axis=1)[:, None]
+                own += np.arange(n) * most
+                own = own.ravel()
+                out[0] += np.bincount(own, minlength=n * most)
+                out[1] += np.bincount(own, np.maximum(best, 0).ravel(), n * most)
+                for i in range(dim):
+                    out[2 + i] += np.bincount(own, np.repeat(x[:, i], n), n * most)
+        yield pd.DataFrame({"sums": [out.tobytes()]})
+
+    parts = blocks.mapInPandas(partial, "sums binary").collect()  # a few numbers per center and task
+    sums = np.sum([np.frombuffer(r["sums"]).reshape(dim + 2, n, most) for r in parts], axis=0)
+    return {r: (sums[0, i, :len(centers[r])], sums[2:, i, :len(centers[r])].T, float(sums[1, i].sum())) for i, r in enumerate(order)}
 
 
 def _closest(v: Column, centers: np.ndarray) -> Column:
@@ -145,12 +160,25 @@ def _closest(v: Column, centers: np.ndarray) -> Column:
     return F.array_min(F.transform(table, measure))
 
 
-def nearest_center(v: Column, centers: np.ndarray) -> Column:
-    return _closest(v, centers)["i"]
+def _nearest_of(centers: np.ndarray):
+    """UDF with the fields of `_closest`, for very many centers."""
+
+    @F.pandas_udf("d double, i int")
+    def measure(v: pd.Series) -> pd.DataFrame:
+        x = np.array(v.tolist(), dtype=float).reshape(len(v), -1)
+        d, at = np.empty(len(x)), np.empty(len(x), dtype=np.int32)
+        for a in range(0, len(x), 1024):
+            part = x[a:a + 1024]
+            d2 = sum(np.subtract.outer(part[:, i], c) ** 2 for i, c in enumerate(centers.T))
+            at[a:a + 1024] = d2.argmin(axis=1)
+            d[a:a + 1024] = d2[np.arange(len(part)), at[a:a + 1024]]
+        return pd.DataFrame({"d": d, "i": at})
 
+    return measure
 
-def nearest_distance(v: Column, centers: np.ndarray) -> Column:
-    return _closest(v, centers)["d"]
+
+def nearest_center(v: Column, centers: np.ndarray) -> Column:
+    return _closest(v, centers)["i"]
 
 
 def cluster_assign(points: DataFrame, centers: np.ndarray) -> DataFrame:

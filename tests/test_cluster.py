@@ -122,3 +122,22 @@ def test_kmeans_sweep_finds_blobs(spark):
     assert best["model"] == "kmeans_3" and best["n_clusters"] == 3
     labels = np.array([((x[i] - centers[3]) ** 2).sum(axis=1).argmin() for i in range(len(x))])
     assert best["silhouette"] == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+
+
+def test_a_pass_reads_packed_blocks_without_a_shuffle(spark):
+    x = np.random.default_rng(3).normal(size=(500, 3))
+    centers = {0: x[:2], 1: x[2:7], 2: x[7:9]}
+    got = cluster._pass(cluster._blocks(points(spark, x)), centers)
+    for r, c in centers.items():
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        own = d2.argmin(axis=1)
+        assert np.array_equal(got[r][0], np.bincount(own, minlength=len(c)))
+        assert np.allclose(got[r][1], [x[own == j].sum(axis=0) for j in range(len(c))])
+        assert got[r][2] == pytest.approx(d2.min(axis=1).sum())
+
+
+def test_many_centers_are_measured_as_few_are(spark):
+    x = np.random.default_rng(4).normal(size=(300, 2)).round(2)
+    p = points(spark, x)
+    both = p.select(cluster._closest(F.col("v"), x[:40]).alias("a"), cluster._nearest_of(x[:40])("v").alias("b"))
+    assert both.where((F.col("a.d") != F.col("b.d")) | (F.col("a.i") != F.col("b.i"))).isEmpty()
