@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.ordering import hash_ranks
 from tabloom.operators import evaluate
+from tabloom.operators.forest import DeepForest
 from tabloom.operators.models import Score, Trained
-from tabloom.operators.treeshap import Trees, tree_shap
+from tabloom.operators.treeshap import FEW_FEATURES, Trees, forest_shap, tree_shap
 from tabloom.session import beside, checkpointed, values_frame
 
 REPEATS = 10
@@ -100,6 +101,8 @@ def shap_values(trained: Trained, df: DataFrame, names: list[str], output: Colum
     """
     if not hasattr(trained.model, "featureImportances"):
         return shap_sampled(trained.score, output, df, names)
+    if isinstance(trained.model, DeepForest) and len(trained.model.cuts) <= FEW_FEATURES:
+        return forest_shap(df, trained.model, names, int(trained.model.classes == 2) if which is None else which)
     trees = Trees.of(trained.model, df.sparkSession)
     return tree_shap(df, trees, names, int(len(trees.expected) == 2) if which is None else which)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tabloom.operators import forest, models
+from tabloom.operators import explain, forest, models, treeshap
 from tabloom.operators.treeshap import Trees, tree_shap
 
 
@@ -60,3 +60,18 @@ def test_the_registry_takes_rows_in_any_number_of_tasks(rows):
     trained = models.fit_forest_regressor(rows, {"n_estimators": 10})
     error = trained.score(rows).agg(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2))).first()[0]
     assert error < 0.5
+
+
+@pytest.mark.parametrize("classes, cells", [(0, 2_000_000), (2, 2_000_000), (3, 500)])
+def test_contributions_by_sets_equal_those_by_leaves(rows, spark, monkeypatch, classes, cells):
+    monkeypatch.setattr(treeshap, "TABLE_CELLS", cells)
+    df = rows.withColumn("label", F.least(F.greatest(F.floor("label") - 4, F.lit(0)), F.lit(classes - 1)).cast("double")) if classes else rows
+    model = forest.fit_forest(df, 4, 30, classes, 2, 1, forest.feature_cuts(df), node_rows=300)
+    few = rows.where("id < 40")
+    names = ["a", "b", "c"]
+    which = int(classes == 2)
+    want = {(r["id"], r["feature"]): r["shap_value"] for r in tree_shap(few, Trees.of(model, spark), names, which).collect()}
+    monkeypatch.setattr(Trees, "of", None)  # the whole forest in one place
+    out = explain.shap_values(models.Trained(model.transform, model), few, names, F.col("prediction"))
+    got = {(r["id"], r["feature"]): r["shap_value"] for r in out.collect()}
+    assert len(got) == 120 and got == pytest.approx(want, abs=1e-9)
